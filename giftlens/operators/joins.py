@@ -1,0 +1,21 @@
+"""Join helpers: broadcast only behind a size check."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# Rows a dimension may have to be broadcast (narrow rows only).
+DEFAULT_BROADCAST_ROWS = 200_000
+
+
+def fits(df: DataFrame, max_rows: int) -> bool:
+    """True when ``df`` has at most ``max_rows`` rows. The limit stops the
+    counting job early, so the check costs at most ``max_rows + 1`` rows."""
+    return df.limit(max_rows + 1).count() <= max_rows
+
+
+def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+    """Broadcast-hint ``df`` if it is proven small; otherwise leave the choice to
+    the planner and AQE (sort-merge / shuffled hash join, skew splitting)."""
+    return F.broadcast(df) if fits(df, max_rows) else df

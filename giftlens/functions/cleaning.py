@@ -12,9 +12,13 @@ from pyspark.sql import types as T
 from giftlens import constants as K
 
 
+# Characters Python's str.strip() removes (everything str.isspace() accepts).
+WHITESPACE = "".join(chr(i) for i in range(0x3001) if chr(i).isspace())
+
+
 def strip_text(c: Column) -> Column:
-    """Strip double quotes from both ends, then surrounding (Unicode) whitespace."""
-    return F.regexp_replace(F.btrim(c, F.lit('"')), r"(?U)^\s+|\s+$", "")
+    """Strip double quotes from both ends, then surrounding whitespace."""
+    return F.btrim(F.btrim(c, F.lit('"')), F.lit(WHITESPACE))
 
 
 def na_to_null(c: Column, tokens: Iterable[str] = K.NA_TOKENS) -> Column:

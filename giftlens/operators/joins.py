@@ -1,4 +1,10 @@
-"""Join helpers: broadcast only behind a size check."""
+"""Join helpers: broadcast only behind a size check.
+
+Derived dimensions (aggregates such as one row per company) are joined without
+hints: adaptive execution measures the materialised shuffle and converts the
+join to a broadcast only when the side is below
+``spark.sql.adaptive.autoBroadcastJoinThreshold``. ``bounded_broadcast`` is for
+parameter tables (dictionaries, rule tables) whose count is cheap."""
 
 from __future__ import annotations
 

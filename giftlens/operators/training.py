@@ -15,7 +15,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from giftlens import constants as K
-from giftlens.operators.joins import bounded_broadcast
 
 ORDER = "event_seq"
 
@@ -34,22 +33,27 @@ def safe_rate(count: Column, exposure: Column) -> Column:
     return F.when(exposure > 0, count / exposure).otherwise(F.lit(0.0))
 
 
-def selection_groups(selections: DataFrame, order_col: str = ORDER) -> DataFrame:
+def selection_groups(selections: DataFrame, order_col: str = ORDER,
+                     non_null: bool = False) -> DataFrame:
     """A1: events per (shop, company, gift, gender) with the first non-null value
     of each product column in event order. Also carries ``first_seq`` and
     ``first_row`` (the group's first event, whole row) so gift features can be
-    derived from the groups instead of re-reading the events."""
-    seq = F.col(order_col)
+    derived from the groups instead of re-reading the events.
+
+    ``non_null=True`` (product columns known to hold no nulls, e.g. after
+    cleaning) takes every column from the first row: one aggregate instead of
+    one per column."""
     prods = [_product_or_missing(selections, c).alias(c) for c in K.PRODUCT_COLUMNS]
-    df = selections.select(*K.GROUP_KEYS, *prods, seq.alias("_seq"))
-    firsts = [F.min_by(F.col(c), F.when(F.col(c).isNotNull(), F.col("_seq"))).alias(c)
-              for c in K.PRODUCT_COLUMNS]
-    return df.groupBy(*K.GROUP_KEYS).agg(
-        F.count(F.lit(1)).alias("selection_count"),
-        *firsts,
-        F.min("_seq").alias("first_seq"),
-        F.min_by(F.struct(*K.PRODUCT_COLUMNS), F.col("_seq")).alias("first_row"),
-    )
+    df = selections.select(*K.GROUP_KEYS, *prods, F.col(order_col).alias("_seq"))
+    first = F.min(F.struct(F.col("_seq"), F.struct(*K.PRODUCT_COLUMNS).alias("row"))).alias("_first")
+    aggs = [F.count(F.lit(1)).alias("selection_count"), first]
+    if not non_null:
+        aggs += [F.min_by(F.col(c), F.when(F.col(c).isNotNull(), F.col("_seq"))).alias("_nn_" + c)
+                 for c in K.PRODUCT_COLUMNS]
+    g = df.groupBy(*K.GROUP_KEYS).agg(*aggs)
+    cols = [F.col(("_first.row." if non_null else "_nn_") + c).alias(c) for c in K.PRODUCT_COLUMNS]
+    return g.select(*K.GROUP_KEYS, "selection_count", *cols,
+                    F.col("_first._seq").alias("first_seq"), F.col("_first.row").alias("first_row"))
 
 
 def first_employee_row(employees: DataFrame, order_col: str | None = None) -> DataFrame:
@@ -68,7 +72,9 @@ def training_selected(groups: DataFrame, employees: DataFrame,
     """Selected rows with exposure from the company's first employee row.
     Unknown companies and genders other than male/female are dropped
     (see :func:`selection_rejects`)."""
-    emp = bounded_broadcast(first_employee_row(employees, employees_order))
+    # One row per company; AQE turns this into a broadcast join from the measured
+    # size of the aggregated side (no hint, no extra counting job).
+    emp = first_employee_row(employees, employees_order)
     exposure = exposure_for(F.col("employee_gender"), F.col("male_count"), F.col("female_count"))
     return (groups.filter(F.col("employee_gender").isin(K.GENDERS))
             .join(emp, "company_cvr")
@@ -81,7 +87,7 @@ def training_selected(groups: DataFrame, employees: DataFrame,
 
 def selection_rejects(groups: DataFrame, employees: DataFrame) -> DataFrame:
     """Groups left out of the training frame, with the reason."""
-    emp = bounded_broadcast(employees.select("company_cvr").distinct())
+    emp = employees.select("company_cvr").distinct()
     known = groups.join(emp.withColumn("_known", F.lit(True)), "company_cvr", "left")
     reason = (F.when(~F.col("employee_gender").isin(K.GENDERS), F.lit("gender"))
               .when(F.col("_known").isNull(), F.lit("unknown_company")))
@@ -97,7 +103,8 @@ def gift_first_features(groups: DataFrame) -> DataFrame:
 
 
 def company_shop_links(selections: DataFrame) -> DataFrame:
-    """(company, shop) pairs a company is exposed to: the shops it selected in."""
+    """(company, shop) pairs a company is exposed to: the shops it selected in
+    (accepts events or their groups)."""
     return selections.select("company_cvr", "shop_id").distinct()
 
 
@@ -107,7 +114,7 @@ def exposure_universe(employees: DataFrame, catalog: DataFrame, links: DataFrame
     equi-joins (company, shop); the gender fan-out is an ``explode``."""
     emp = employees.select("company_cvr", "male_count", "female_count")
     pairs = emp.join(links.select("company_cvr", "shop_id"), "company_cvr")
-    cat = bounded_broadcast(catalog.select("shop_id", "gift_id"))
+    cat = catalog.select("shop_id", "gift_id")
     u = pairs.join(cat, "shop_id")
     u = u.withColumn("employee_gender", F.explode(F.array(*[F.lit(g) for g in K.GENDERS])))
     exposure = exposure_for(F.col("employee_gender"), F.col("male_count"), F.col("female_count"))
@@ -128,21 +135,30 @@ def zero_selection_rows(universe: DataFrame, groups: DataFrame, gift_features: D
 
 def training_frame(selections: DataFrame, catalog: DataFrame, employees: DataFrame,
                    links: DataFrame | None = None, order_col: str = ORDER,
-                   employees_order: str | None = None, clean: bool = True) -> DataFrame:
+                   employees_order: str | None = None, clean: bool = True,
+                   materialize: bool = True) -> DataFrame:
     """M1: the exposure-corrected training frame (selected rows ∪ zero rows).
 
     ``links`` lists the (company_cvr, shop_id) pairs whose catalogs form each
     company's zero-selection universe; by default the shops the company selected
     in. Pass every (company, shop) pair to pair each company with all catalogs.
+
+    The events are read once: their groups feed the selected rows, the
+    anti-join keys, the links and the gift features. With ``materialize`` the
+    groups are checkpointed to the shared checkpoint folder so the three
+    consumers do not re-aggregate the events.
     """
     from giftlens.functions.cleaning import clean_catalog, clean_employees, clean_selections
     if clean:
         selections = clean_selections(selections)
         catalog = clean_catalog(catalog)
         employees = clean_employees(employees)
-    groups = selection_groups(selections, order_col)
+    groups = selection_groups(selections, order_col, non_null=clean)
+    if materialize:
+        from giftlens.session import cut_lineage
+        groups = cut_lineage(groups)
     selected = training_selected(groups, employees, employees_order)
-    links = company_shop_links(selections) if links is None else links
+    links = company_shop_links(groups) if links is None else links
     universe = exposure_universe(employees, catalog, links)
     zeros = zero_selection_rows(universe, groups, gift_first_features(groups))
     return selected.unionByName(zeros)

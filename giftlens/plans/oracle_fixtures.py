@@ -39,8 +39,9 @@ FROM lineitem JOIN orders ON l_orderkey = o_orderkey
      JOIN nation ON c_nationkey = n_nationkey
      JOIN part ON l_partkey = p_partkey"""
 
-_CLEAN = "coalesce(regexp_replace(trim({c}, '\"'), '^\\s+|\\s+$', '', 'g'), 'NONE')"
-_LOWER = "coalesce(lower(regexp_replace(trim({c}, '\"'), '^\\s+|\\s+$', '', 'g')), 'NONE')"
+_WS = "||".join(f"chr({i})" for i in range(0x3001) if chr(i).isspace())
+_CLEAN = "coalesce(trim(trim({c}, '\"'), " + _WS + "), 'NONE')"
+_LOWER = "coalesce(lower(trim(trim({c}, '\"'), " + _WS + ")), 'NONE')"
 _SEL_COLS = ["shop_id", "company_cvr", "employee_gender", "gift_id", "product_main_category",
              "product_sub_category", "product_brand", "product_color", "product_durability",
              "product_target_gender", "product_utility_type", "product_type"]

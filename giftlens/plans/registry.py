@@ -42,7 +42,11 @@ def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
     cols = []
     for f in df.schema.fields:
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            cols.append(F.round(F.col(f.name).cast("double"), digits).alias(f.name))
+            # floor(x * 10^d + 0.5) / 10^d: the same IEEE steps in every engine
+            # (decimal-text HALF_UP rounding and binary rounding disagree on ties)
+            scale = float(10 ** digits)
+            x = F.col(f.name).cast("double")
+            cols.append((F.floor(x * scale + 0.5).cast("double") / scale).alias(f.name))
         else:
             cols.append(F.col(f.name))
     return df.select(*cols)
@@ -64,7 +68,8 @@ def oracle_query(name: str) -> str | None:
     body = with_fixtures(e.sql.strip(), e.extra_ctes)
     if not e.rounded:
         return body
-    repl = ", ".join(f"round(CAST({c} AS DOUBLE), 6) AS {c}" for c in e.rounded)
+    repl = ", ".join(f"CAST(floor(CAST({c} AS DOUBLE) * 1000000.0 + 0.5) AS DOUBLE) / 1000000.0 AS {c}"
+                     for c in e.rounded)
     return f"SELECT * REPLACE ({repl}) FROM (\n{body}\n) q"
 
 

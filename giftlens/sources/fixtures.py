@@ -21,8 +21,22 @@ from pyspark.sql import functions as F
 from giftlens import constants as K
 
 
+# Tables small enough to always broadcast; never re-spread.
+_DIMENSIONS = {"region", "nation", "supplier"}
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin a scan that yields fewer splits than the default parallelism
+    (e.g. a file with a single row group), so the work before the first shuffle
+    runs on every core. Scans of large tables already have enough splits and
+    are returned unchanged (no extra shuffle)."""
+    par = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(par) if df.rdd.getNumPartitions() < par else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return df if name in _DIMENSIONS else spread(df)
 
 
 def _cvr(nation_key: Column) -> Column:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from giftlens import constants as K
+from giftlens.functions.numeric import exact_avg
 
 
 def _as_of(as_of) -> Column:
@@ -36,7 +37,7 @@ def user_api_stats(log: DataFrame, as_of=None, days: int = K.USER_STATS_DAYS) ->
     (status >= 400) and distinct routes."""
     return (since(log, as_of, days=days).groupBy("user_id")
             .agg(F.count(F.lit(1)).alias("total_calls"),
-                 F.avg("response_time_ms").alias("avg_response_time"),
+                 exact_avg(F.col("response_time_ms")).alias("avg_response_time"),
                  F.max("response_time_ms").alias("max_response_time"),
                  F.min("response_time_ms").alias("min_response_time"),
                  F.count_if(F.col("response_status_code") >= 400).alias("error_count"),
@@ -47,7 +48,7 @@ def user_endpoint_stats(log: DataFrame, as_of=None, days: int = K.USER_STATS_DAY
     """Per (user, route) calls and average latency, busiest first."""
     return (since(log, as_of, days=days).groupBy("user_id", "api_route")
             .agg(F.count(F.lit(1)).alias("call_count"),
-                 F.avg("response_time_ms").alias("avg_response_time"))
+                 exact_avg(F.col("response_time_ms")).alias("avg_response_time"))
             .orderBy(F.desc("call_count"), "user_id", "api_route"))
 
 
@@ -58,7 +59,7 @@ def system_api_stats(log: DataFrame, as_of=None, hours: int = K.SYSTEM_STATS_HOU
     return since(log, as_of, hours=hours).agg(
         F.count(F.lit(1)).alias("total_calls"),
         F.countDistinct("user_id").alias("active_users"),
-        F.avg("response_time_ms").alias("avg_response_time"),
+        exact_avg(F.col("response_time_ms")).alias("avg_response_time"),
         F.count_if(F.col("response_status_code") >= 400).alias("error_count"),
         F.count_if(F.col("response_status_code") >= 500).alias("server_error_count"))
 
@@ -160,6 +161,6 @@ def usage_hourly(log: DataFrame) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("calls"),
                  F.countDistinct("user_id").alias("active_users"),
                  F.count_if(F.col("response_status_code") >= 400).alias("error_count"),
-                 F.avg("response_time_ms").alias("avg_response_time"))
+                 exact_avg(F.col("response_time_ms")).alias("avg_response_time"))
             .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"),
                     "calls", "active_users", "error_count", "avg_response_time"))

@@ -21,7 +21,7 @@ _PREVIEW = ("CASE WHEN json_valid({c}) AND length(CAST(json({c}) AS VARCHAR)) <=
 
 
 @register("user_api_stats", sql=f"""
-SELECT user_id, CAST(COUNT(*) AS BIGINT) AS total_calls, AVG(response_time_ms) AS avg_response_time,
+SELECT user_id, CAST(COUNT(*) AS BIGINT) AS total_calls, CAST(SUM(CAST(response_time_ms AS DECIMAL(38,6))) AS DOUBLE) / COUNT(response_time_ms) AS avg_response_time,
        MAX(response_time_ms) AS max_response_time, MIN(response_time_ms) AS min_response_time,
        CAST(COUNT(CASE WHEN response_status_code >= 400 THEN 1 END) AS BIGINT) AS error_count,
        CAST(COUNT(DISTINCT api_route) AS BIGINT) AS unique_endpoints
@@ -31,7 +31,7 @@ def q_user_api_stats(spark, sf):
 
 
 @register("user_endpoint_stats", sql=f"""
-SELECT user_id, api_route, CAST(COUNT(*) AS BIGINT) AS call_count, AVG(response_time_ms) AS avg_response_time
+SELECT user_id, api_route, CAST(COUNT(*) AS BIGINT) AS call_count, CAST(SUM(CAST(response_time_ms AS DECIMAL(38,6))) AS DOUBLE) / COUNT(response_time_ms) AS avg_response_time
 FROM fx_log WHERE date_time >= {_TS} - INTERVAL 30 DAY GROUP BY user_id, api_route""",
           rounded=["avg_response_time"])
 def q_user_endpoint_stats(spark, sf):
@@ -40,7 +40,7 @@ def q_user_endpoint_stats(spark, sf):
 
 @register("system_api_stats", sql=f"""
 SELECT CAST(COUNT(*) AS BIGINT) AS total_calls, CAST(COUNT(DISTINCT user_id) AS BIGINT) AS active_users,
-       AVG(response_time_ms) AS avg_response_time,
+       CAST(SUM(CAST(response_time_ms AS DECIMAL(38,6))) AS DOUBLE) / COUNT(response_time_ms) AS avg_response_time,
        CAST(COUNT(CASE WHEN response_status_code >= 400 THEN 1 END) AS BIGINT) AS error_count,
        CAST(COUNT(CASE WHEN response_status_code >= 500 THEN 1 END) AS BIGINT) AS server_error_count
 FROM fx_log WHERE date_time >= {_TS} - INTERVAL 24 HOUR""", rounded=["avg_response_time"])
@@ -140,7 +140,7 @@ SELECT time_bucket(INTERVAL 1 HOUR, date_time) AS window_start,
        time_bucket(INTERVAL 1 HOUR, date_time) + INTERVAL 1 HOUR AS window_end,
        CAST(COUNT(*) AS BIGINT) AS calls, CAST(COUNT(DISTINCT user_id) AS BIGINT) AS active_users,
        CAST(COUNT(CASE WHEN response_status_code >= 400 THEN 1 END) AS BIGINT) AS error_count,
-       AVG(response_time_ms) AS avg_response_time
+       CAST(SUM(CAST(response_time_ms AS DECIMAL(38,6))) AS DOUBLE) / COUNT(response_time_ms) AS avg_response_time
 FROM fx_log GROUP BY 1, 2""", rounded=["avg_response_time"])
 def q_usage_hourly(spark, sf):
     return U.usage_hourly(FX.api_log(spark, sf))

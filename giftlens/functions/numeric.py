@@ -15,3 +15,23 @@ def exact_sum(c: Column, scale: int = 6) -> Column:
 def exact_avg(c: Column, scale: int = 6) -> Column:
     """Average as exact decimal sum / count, then one double division."""
     return exact_sum(c, scale).cast("double") / F.count(c)
+
+
+def round_half_even(x: Column, digits: int) -> Column:
+    """Round like Python's ``round``: half-to-even on the binary value (Spark's
+    ``round`` is half-up on the decimal text: 2.805 -> 2.81, Python 2.8)."""
+    scale = float(10 ** digits)
+    r = x * scale
+    f = F.floor(r).cast("double")
+    d = r - f
+    up = F.when(d > 0.5, 1.0).when(d < 0.5, 0.0).otherwise(F.when(f % 2 == 0, 0.0).otherwise(1.0))
+    return (f + up) / scale
+
+
+def round_half_even_sql(expr: str, digits: int) -> str:
+    """The same rounding as SQL text (DuckDB)."""
+    scale = f"{float(10 ** digits)}::DOUBLE"
+    r = f"(({expr}) * {scale})"
+    f = f"CAST(floor({r}) AS DOUBLE)"
+    return (f"(({f} + CASE WHEN {r} - {f} > 0.5 THEN 1.0 WHEN {r} - {f} < 0.5 THEN 0.0 "
+            f"WHEN CAST({f} AS BIGINT) % 2 = 0 THEN 0.0 ELSE 1.0 END) / {scale})")

@@ -1 +1,59 @@
-"""Queries."""
+"""Queries: model training, persistence and model-based scoring (rows-only
+checks: boosted-tree values have no SQL twin)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from giftlens.operators import features as FE
+from giftlens.operators import model as M
+from giftlens.operators import quality as Q
+from giftlens.operators import split as SP
+from giftlens.plans.registry import register
+from giftlens.plans.q_training import training
+from giftlens.session import cut_lineage, ensure_checkpoint_dir
+from giftlens.sources import fixtures as FX
+
+# Boosting rounds of the registered check queries (the operator default is the
+# full 1000-round setting with validation-based early stopping).
+CHECK_ITERATIONS = 20
+
+
+def _fit(spark, sf):
+    tf = cut_lineage(training(spark, sf))
+    split = SP.company_split(tf)
+    train = SP.apply_split(tf, split, "train")
+    val = SP.apply_split(tf, split, "validation")
+    train_f = FE.company_features(train)
+    val_f = FE.company_features(val, source=train)
+    model, preds = M.train_model(train_f, val_f, max_iter=CHECK_ITERATIONS)
+    return model, preds, train
+
+
+@register("train_metrics")
+def q_train_metrics(spark, sf):
+    model, preds, _ = _fit(spark, sf)
+    return Q.regression_metrics(preds.select(F.col("label").alias("y"), F.col("predicted_rate").alias("p")))
+
+
+@register("score_model")
+def q_score_model(spark, sf):
+    from giftlens.functions.cleaning import clean_selections
+    from giftlens.operators.scoring import shop_map_from_selections
+    model, _, train = _fit(spark, sf)
+    stats = FE.company_stats(train)
+    shop_map = shop_map_from_selections(clean_selections(FX.selections(spark, sf)))
+    return M.score_requests(FX.requests(spark, sf), model, stats, shop_map)
+
+
+@register("model_info")
+def q_model_info(spark, sf):
+    """S10 -> S11 -> S12: save the fitted pipeline to the shared checkpoint
+    folder, load it back and summarise it."""
+    model, preds, _ = _fit(spark, sf)
+    path = ensure_checkpoint_dir(spark).rstrip("/") + "/giftlens-model"
+    cols = [c for c in preds.columns if c in FE.K.FEATURE_COLUMNS]
+    M.save_model(model, path, {"r2_validation": None}, cols,
+                 [c for c in cols if c in FE.K.CATEGORICAL_FEATURES], spark)
+    loaded, meta = M.load_model(path, spark)
+    return M.model_info(spark, loaded, meta)

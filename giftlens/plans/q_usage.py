@@ -146,4 +146,14 @@ def q_usage_hourly(spark, sf):
     return U.usage_hourly(FX.api_log(spark, sf))
 
 
-FIXTURES.setdefault("fx_log", FIXTURES["fx_log"])
+@register("usage_hourly_stream")
+def q_usage_hourly_stream(spark, sf):
+    """R2 as a Structured Streaming job over the event files (availableNow),
+    read back from its sink. Rows-only: distinct users are approximate."""
+    import uuid
+    from giftlens.session import ensure_checkpoint_dir
+    from giftlens.streaming.jobs import read_hourly_usage, start_hourly_usage
+    base = ensure_checkpoint_dir(spark).rstrip("/") + f"/usage-stream-{uuid.uuid4().hex}"
+    q = start_hourly_usage(spark, sf, f"{base}/out", f"{base}/checkpoint", file_glob="events.parquet")
+    q.awaitTermination()
+    return read_hourly_usage(spark, f"{base}/out")

@@ -134,7 +134,11 @@ def users(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def api_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """user_api_call_log from the event stream."""
-    ev = table(spark, sf_dir, "events")
+    return log_from_events(table(spark, sf_dir, "events"))
+
+
+def log_from_events(ev: DataFrame) -> DataFrame:
+    """Map event rows to usage-log rows (works on batch and streaming frames)."""
     is_err = F.col("event_type") == "error"
     return ev.select(
         F.col("event_id").alias("id"),

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from giftlens import constants as K
-from giftlens.functions.numeric import round_half_even
+from giftlens.functions.numeric import exact_avg, exact_sum, round_half_even
 from giftlens.functions.text import md5_mod
 
 
@@ -163,7 +163,7 @@ def enrich_industry(companies: DataFrame, registry: DataFrame) -> DataFrame:
 def business_validation(scored: DataFrame, low: float = 0.3, high: float = 1.2,
                         key: str = "cvr") -> DataFrame:
     """Per company predicted selections vs employees; verdict in [low, high]."""
-    per = scored.groupBy(key).agg(F.sum("expected_qty").alias("total_predicted_selections"),
+    per = scored.groupBy(key).agg(exact_sum(F.col("expected_qty")).cast("double").alias("total_predicted_selections"),
                                   F.max("total_exposure").alias("total_employees"))
     rate = F.when(F.col("total_employees") > 0, F.col("total_predicted_selections") / F.col("total_employees"))
     verdict = (F.when(rate.isNull(), F.lit("no_employees")).when(rate < low, F.lit("low"))
@@ -177,7 +177,7 @@ def prediction_summary(scored: DataFrame, zero_warn_pct: float = 80.0) -> DataFr
     distinct values, zero share (%) and a warning when it exceeds 80 %."""
     q = F.col("expected_qty")
     per = scored.groupBy("request_id").agg(
-        F.count(F.lit(1)).alias("n_predictions"), F.sum(q).alias("total_qty"),
+        F.count(F.lit(1)).alias("n_predictions"), exact_sum(q).cast("double").alias("total_qty"),
         F.max("total_exposure").alias("total_employees"), F.min(q).alias("min_qty"), F.max(q).alias("max_qty"),
         F.countDistinct(q).alias("distinct_values"), F.count_if(q == 0).alias("zero_count"))
     zero_pct = F.col("zero_count") * 100.0 / F.col("n_predictions")
@@ -206,7 +206,7 @@ def prediction_accuracy(scored: DataFrame, actuals: DataFrame, tolerance: float
     err = F.abs(F.col("expected_qty") - a)
     return j.groupBy("cvr").agg(F.count(F.lit(1)).alias("n_items"),
                                 F.avg(F.when(err <= a * tolerance, 1.0).otherwise(0.0)).alias("within_tolerance_share"),
-                                F.avg(err).alias("mean_abs_error"))
+                                exact_avg(err).alias("mean_abs_error"))
 
 
 def prediction_checks(scored: DataFrame) -> DataFrame:
@@ -220,5 +220,5 @@ def prediction_checks(scored: DataFrame) -> DataFrame:
         F.count_if(F.col("product_id").isNull() | q.isNull() | F.col("confidence_score").isNull())
         .alias("missing_fields"),
         F.count_if((F.col("confidence_score") < 0.5) | (F.col("confidence_score") > 0.95)).alias("confidence_out_of_range"),
-        F.sum(q).alias("total_qty"), F.max("total_exposure").alias("total_employees"))
+        exact_sum(q).cast("double").alias("total_qty"), F.max("total_exposure").alias("total_employees"))
     return per.withColumn("total_above_employees", F.col("total_qty") > F.col("total_employees"))

@@ -142,7 +142,7 @@ SELECT cvr, tp AS total_predicted_selections, te AS total_employees,
        CASE WHEN te > 0 THEN tp / te END AS overall_selection_rate,
        CASE WHEN te IS NULL OR te <= 0 THEN 'no_employees' WHEN tp / te < 0.3 THEN 'low'
             WHEN tp / te > 1.2 THEN 'high' ELSE 'ok' END AS rate_validation
-FROM (SELECT cvr, SUM(expected_qty) AS tp, MAX(total_exposure) AS te FROM fx_scored GROUP BY cvr) s""",
+FROM (SELECT cvr, CAST(SUM(CAST(expected_qty AS DECIMAL(38,6))) AS DOUBLE) AS tp, MAX(total_exposure) AS te FROM fx_scored GROUP BY cvr) s""",
           rounded=["total_predicted_selections", "overall_selection_rate"])
 def q_business_validation(spark, sf):
     return S.business_validation(scored(spark, sf))
@@ -152,7 +152,7 @@ def q_business_validation(spark, sf):
 SELECT request_id, n AS n_predictions, tq AS total_qty, tq / n AS avg_per_gift,
        CASE WHEN te > 0 THEN tq / te END AS avg_per_employee, mn AS min_qty, mx AS max_qty,
        dv AS distinct_values, zc * 100.0 / n AS zero_share_pct, zc * 100.0 / n > 80.0 AS zero_warning
-FROM (SELECT request_id, CAST(COUNT(*) AS BIGINT) AS n, SUM(expected_qty) AS tq, MAX(total_exposure) AS te,
+FROM (SELECT request_id, CAST(COUNT(*) AS BIGINT) AS n, CAST(SUM(CAST(expected_qty AS DECIMAL(38,6))) AS DOUBLE) AS tq, MAX(total_exposure) AS te,
              MIN(expected_qty) AS mn, MAX(expected_qty) AS mx, CAST(COUNT(DISTINCT expected_qty) AS BIGINT) AS dv,
              CAST(COUNT(*) FILTER (WHERE expected_qty = 0) AS BIGINT) AS zc
       FROM fx_scored GROUP BY request_id) s""",
@@ -174,7 +174,7 @@ def q_top_predictions(spark, sf):
 SELECT s.cvr, CAST(COUNT(*) AS BIGINT) AS n_items,
        AVG(CASE WHEN abs(s.expected_qty - CAST(coalesce(a.order_count, 0) AS DOUBLE))
                      <= CAST(coalesce(a.order_count, 0) AS DOUBLE) * 0.2 THEN 1.0 ELSE 0.0 END) AS within_tolerance_share,
-       AVG(abs(s.expected_qty - CAST(coalesce(a.order_count, 0) AS DOUBLE))) AS mean_abs_error
+       CAST(SUM(CAST(abs(s.expected_qty - CAST(coalesce(a.order_count, 0) AS DOUBLE)) AS DECIMAL(38,6))) AS DOUBLE) / COUNT(*) AS mean_abs_error
 FROM fx_scored s LEFT JOIN fx_actuals a ON s.cvr = a.cvr AND s.product_id = a.product_id GROUP BY s.cvr""",
           rounded=["within_tolerance_share", "mean_abs_error"])
 def q_prediction_accuracy(spark, sf):
@@ -187,8 +187,8 @@ SELECT request_id, CAST(COUNT(*) FILTER (WHERE expected_qty < 0) AS BIGINT) AS n
        CAST(COUNT(*) FILTER (WHERE product_id IS NULL OR expected_qty IS NULL OR confidence_score IS NULL) AS BIGINT)
            AS missing_fields,
        CAST(COUNT(*) FILTER (WHERE confidence_score < 0.5 OR confidence_score > 0.95) AS BIGINT) AS confidence_out_of_range,
-       SUM(expected_qty) AS total_qty, MAX(total_exposure) AS total_employees,
-       SUM(expected_qty) > MAX(total_exposure) AS total_above_employees
+       CAST(SUM(CAST(expected_qty AS DECIMAL(38,6))) AS DOUBLE) AS total_qty, MAX(total_exposure) AS total_employees,
+       CAST(SUM(CAST(expected_qty AS DECIMAL(38,6))) AS DOUBLE) > MAX(total_exposure) AS total_above_employees
 FROM fx_scored GROUP BY request_id""", rounded=["total_qty"])
 def q_prediction_checks(spark, sf):
     return S.prediction_checks(scored(spark, sf))

@@ -71,9 +71,7 @@ def classify_description(desc: Column, rules=K.DESCRIPTION_RULES) -> Column:
 
 # ---------------------------------------------------------------- rule-based rate
 
-def rule_rate(category: Column, target: Column, gender: Column | str) -> Column:
-    """X5 + X6: base rate by category x gender factor + deterministic md5 noise,
-    clamped to [0.1, 1], rounded to 3 digits."""
+def _rule_parts(category: Column, target: Column, gender: Column | str) -> tuple[Column, Column, Column]:
     g = F.lit(gender) if isinstance(gender, str) else gender
     base = F.lit(K.RULE_BASE_RATE)
     for cat, r in reversed(list(K.RULE_CATEGORY_RATES.items())):
@@ -81,42 +79,67 @@ def rule_rate(category: Column, target: Column, gender: Column | str) -> Column:
     factor = (F.when(target == g, F.lit(K.RULE_SAME_GENDER_FACTOR))
               .when(target == "unisex", F.lit(K.RULE_UNISEX_FACTOR))
               .otherwise(F.lit(K.RULE_OTHER_GENDER_FACTOR)))
-    h = md5_mod(F.concat(category, g, target), 100)
+    return base, factor, md5_mod(F.concat(category, g, target), 100)
+
+
+def _raw_rate(base: Column, factor: Column, h: Column) -> Column:
     noise = (h / 100.0 - 0.5) * K.RULE_NOISE_SPAN
-    rate = F.greatest(F.lit(K.RULE_RATE_MIN), F.least(F.lit(K.RULE_RATE_MAX), base * factor + noise))
-    return round_half_even(rate, 3)
+    return F.greatest(F.lit(K.RULE_RATE_MIN), F.least(F.lit(K.RULE_RATE_MAX), base * factor + noise))
 
 
-def confidence(rates: list[Column]) -> Column:
-    """min(0.95, 0.5 + 2 * mean of positive rates), 0.5 if none; 2 digits."""
-    pos = [F.when(r > 0, r) for r in rates]
+def rule_rate(category: Column, target: Column, gender: Column | str) -> Column:
+    """X5 + X6: base rate by category x gender factor + deterministic md5 noise,
+    clamped to [0.1, 1], rounded to 3 digits (single expression; see
+    :func:`with_rule_rate` for the staged form used on large frames)."""
+    return round_half_even(_raw_rate(*_rule_parts(category, target, gender)), 3)
+
+
+def with_rule_rate(df: DataFrame, name: str, category: str, target: str, gender: str) -> DataFrame:
+    """Add ``name`` = rule rate, computed in stages (hash, raw rate, rounding)
+    so each expensive sub-expression is evaluated once per row: the rounding
+    refers to its input several times inside conditionals, where common
+    sub-expression elimination does not reach."""
+    base, factor, h = _rule_parts(F.col(category), F.col(target), gender)
+    df = df.withColumn(f"_{name}_h", h)
+    df = df.withColumn(f"_{name}_raw", _raw_rate(base, factor, F.col(f"_{name}_h")))
+    return df.withColumn(name, round_half_even(F.col(f"_{name}_raw"), 3)).drop(f"_{name}_h", f"_{name}_raw")
+
+
+def confidence_raw(rates: list[Column]) -> Column:
+    """A17 before rounding: min(0.95, 0.5 + 2 * mean of positive rates), 0.5 if none."""
     n = sum((F.when(r > 0, 1).otherwise(0) for r in rates), F.lit(0))
-    s = sum((F.coalesce(p, F.lit(0.0)) for p in pos), F.lit(0.0))
+    s = sum((F.when(r > 0, r).otherwise(0.0) for r in rates), F.lit(0.0))
     avg = F.when(n > 0, s / n)
     conf = F.least(F.lit(K.CONFIDENCE_CAP), F.lit(K.CONFIDENCE_BASE) + avg * K.CONFIDENCE_SLOPE)
-    return round_half_even(F.coalesce(conf, F.lit(K.CONFIDENCE_BASE)), 2)
+    return F.coalesce(conf, F.lit(K.CONFIDENCE_BASE))
+
+
+def confidence(rates: list[Column]) -> Column:
+    """A17, rounded to 2 digits."""
+    return round_half_even(confidence_raw(rates), 2)
 
 
 def score_fallback(req: DataFrame) -> DataFrame:
     """M9 (+ P17, X5, X6, A16, A17, P19): expected quantity per requested gift
-    without a model. A gender with no employees gets rate 0 and exposure 0."""
-    attrs = classify_description(F.col("description"))
-    df = req.withColumn("_a", attrs)
-    cat, tgt = F.col("_a.product_main_category"), F.col("_a.product_target_gender")
-    m, f = F.col("male_count"), F.col("female_count")
-    m_rate = F.when(m == 0, F.lit(0.0)).otherwise(rule_rate(cat, tgt, "male"))
-    f_rate = F.when(f == 0, F.lit(0.0)).otherwise(rule_rate(cat, tgt, "female"))
-    df = df.select("request_id", "cvr", "product_id", "male_count", "female_count", "_a",
-                   m_rate.alias("male_rate"), f_rate.alias("female_rate"))
-    m_exp = F.col("male_rate") * F.col("male_count")
-    f_exp = F.col("female_rate") * F.col("female_count")
+    without a model. A gender with no employees gets rate 0 and exposure 0.
+    A chain of narrow projections: no shuffle."""
+    df = req.select("request_id", "cvr", "product_id", "male_count", "female_count",
+                    classify_description(F.col("description")).alias("_a"))
+    df = df.select("*", F.col("_a.product_main_category").alias("product_main_category"),
+                   F.col("_a.product_target_gender").alias("product_target_gender")).drop("_a")
+    df = with_rule_rate(df, "_m_rule", "product_main_category", "product_target_gender", "male")
+    df = with_rule_rate(df, "_f_rule", "product_main_category", "product_target_gender", "female")
+    df = df.select("*", F.when(F.col("male_count") == 0, F.lit(0.0)).otherwise(F.col("_m_rule")).alias("male_rate"),
+                   F.when(F.col("female_count") == 0, F.lit(0.0)).otherwise(F.col("_f_rule")).alias("female_rate"))
+    df = df.select("*", (F.col("male_rate") * F.col("male_count")).alias("male_expected"),
+                   (F.col("female_rate") * F.col("female_count")).alias("female_expected"))
+    df = df.withColumn("_qty", F.col("male_expected") + F.col("female_expected"))
+    df = df.withColumn("_conf", confidence_raw([F.col("male_rate"), F.col("female_rate")]))
     return df.select(
-        "request_id", "cvr", "product_id",
-        F.col("_a.product_main_category").alias("product_main_category"),
-        F.col("_a.product_target_gender").alias("product_target_gender"),
-        "male_rate", m_exp.alias("male_expected"), "female_rate", f_exp.alias("female_expected"),
-        round_half_even(m_exp + f_exp, 2).alias("expected_qty"),
-        confidence([F.col("male_rate"), F.col("female_rate")]).alias("confidence_score"),
+        "request_id", "cvr", "product_id", "product_main_category", "product_target_gender",
+        "male_rate", "male_expected", "female_rate", "female_expected",
+        round_half_even(F.col("_qty"), 2).alias("expected_qty"),
+        round_half_even(F.col("_conf"), 2).alias("confidence_score"),
         (F.col("male_count") + F.col("female_count")).alias("total_exposure"))
 
 

@@ -21,9 +21,10 @@ def _as_of(as_of) -> Column:
         return F.current_timestamp().cast("timestamp_ntz")
     if isinstance(as_of, Column):
         return as_of
-    if isinstance(as_of, str):
-        as_of = _dt.datetime.fromisoformat(as_of)
-    return F.lit(as_of).cast("timestamp_ntz")
+    if isinstance(as_of, _dt.datetime):
+        as_of = as_of.isoformat(sep=" ")
+    # a string -> TIMESTAMP_NTZ cast does not depend on any time zone
+    return F.lit(str(as_of)).cast("timestamp_ntz")
 
 
 def since(df: DataFrame, as_of=None, days: int = 0, hours: int = 0, col: str = "date_time") -> DataFrame:

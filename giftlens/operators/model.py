@@ -187,3 +187,29 @@ def score_requests(requests: DataFrame, model: PipelineModel | None, company_sta
                       F.round(F.col("_qty"), 2).alias("expected_qty"),
                       confidence([F.col("male_rate"), F.col("female_rate")]).alias("confidence_score"),
                       F.col("total_exposure").cast("long").alias("total_exposure"))
+
+
+def grid_search(featured: DataFrame, folds: DataFrame, grid: list[dict], n_folds: int = K.CV_FOLDS,
+                **fixed) -> DataFrame:
+    """Mean validation R² per parameter set over the company folds (train
+    on the other folds, score the fold). The loops run over the small grid and
+    fold count on the driver; every fit and metric is a Spark job. Company
+    features are recomputed per fold from its training part (no leakage)."""
+    from giftlens.operators.features import company_features
+    from giftlens.operators.quality import regression_metrics
+    spark = featured.sparkSession
+    base = featured.drop(*[c for c in K.COMPANY_FEATURE_COLUMNS if c in featured.columns]).join(folds, "company_cvr")
+    rows = []
+    for i, params in enumerate(grid):
+        for k in range(n_folds):
+            train = base.filter(F.col("fold") != k).drop("fold")
+            val = base.filter(F.col("fold") == k).drop("fold")
+            if val.limit(1).count() == 0:
+                continue
+            _, preds = train_model(company_features(train), company_features(val, source=train),
+                                   **{**fixed, **params})
+            r2 = regression_metrics(preds.select(F.col("label").alias("y"),
+                                                 F.col("predicted_rate").alias("p"))).first()["r2"]
+            rows.append((i, json.dumps(params, sort_keys=True), k, r2))
+    df = spark.createDataFrame(rows, "grid_index int, params string, fold int, r2 double")
+    return df.groupBy("grid_index", "params").agg(F.avg("r2").alias("cv_r2_mean"), F.count(F.lit(1)).alias("folds"))

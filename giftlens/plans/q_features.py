@@ -211,3 +211,20 @@ def q_training_report(spark, sf):
                   F.countDistinct("company_cvr").cast("long").alias("training_companies"),
                   F.countDistinct("shop_id").cast("long").alias("shops"),
                   F.countDistinct("gift_id").cast("long").alias("gifts"))
+
+
+def _align_sql() -> str:
+    have = set(K.GROUP_KEYS + K.PRODUCT_COLUMNS)
+    cols = []
+    for c in K.FEATURE_COLUMNS:
+        if c in K.CATEGORICAL_FEATURES:
+            cols.append(f"coalesce(CAST({c} AS VARCHAR), 'NONE') AS {c}" if c in have else f"'NONE' AS {c}")
+        else:
+            cols.append(f"CAST({c} AS DOUBLE) AS {c}" if c in have else f"CAST(0.0 AS DOUBLE) AS {c}")
+    return "SELECT " + ", ".join(cols) + " FROM fx_training"
+
+
+@register("align_schema", sql=_align_sql(), rounded=_FM_NUM)
+def q_align_schema(spark, sf):
+    from giftlens.functions.cleaning import align_schema
+    return align_schema(training(spark, sf), K.FEATURE_COLUMNS)

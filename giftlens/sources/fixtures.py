@@ -25,18 +25,29 @@ from giftlens import constants as K
 _DIMENSIONS = {"region", "nation", "supplier"}
 
 
-def spread(df: DataFrame) -> DataFrame:
+# Scan split counts per path (input files do not change while a job runs).
+_SPLITS: dict[str, int] = {}
+
+
+def spread(df: DataFrame, key: str | None = None) -> DataFrame:
     """Round-robin a scan that yields fewer splits than the default parallelism
     (e.g. a file with a single row group), so the work before the first shuffle
     runs on every core. Scans of large tables already have enough splits and
     are returned unchanged (no extra shuffle)."""
     par = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(par) if df.rdd.getNumPartitions() < par else df
+    if key is None or key not in _SPLITS:
+        n = df.rdd.getNumPartitions()
+        if key is not None:
+            _SPLITS[key] = n
+    else:
+        n = _SPLITS[key]
+    return df.repartition(par) if n < par else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    return df if name in _DIMENSIONS else spread(df)
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    df = spark.read.parquet(path)
+    return df if name in _DIMENSIONS else spread(df, path)
 
 
 def _cvr(nation_key: Column) -> Column:

@@ -92,7 +92,7 @@ def batch(spark, sf, dup_tag: str):
     (same key as the table), odd sizes the house vendor (a new key). Parts of
     size <= 2 appear twice; the second copy carries a different colour."""
     part = FX.table(spark, sf, "part")
-    vendor = F.when(F.col("p_size") % 2 == 0, F.col("p_brand")).otherwise(F.lit("GaveFabrikken"))
+    vendor = F.when(F.col("p_size") % 2 == 0, F.col("p_brand")).otherwise(F.lit(K.HOUSE_VENDOR.upper()))
     base = part.select(
         F.col("p_name").alias("present_name"), vendor.alias("present_vendor"),
         F.col("p_type").alias("model_name"), F.col("p_partkey").cast("string").alias("model_no"),
@@ -108,12 +108,12 @@ def batch(spark, sf, dup_tag: str):
                                                           F.col("model_no"), F.col("present_vendor")))
 
 
-FIXTURES["fx_batch"] = """
+FIXTURES["fx_batch"] = f"""
 SELECT upper(md5(present_name || ' - ' || model_name || ' - ' || model_no || '.'
-                 || CASE WHEN present_vendor <> '' AND lower(present_vendor) <> 'gavefabrikken'
+                 || CASE WHEN present_vendor <> '' AND lower(present_vendor) <> '{K.HOUSE_VENDOR}'
                          THEN ' Vendor ' || present_vendor ELSE '' END)) AS present_hash, *
 FROM (SELECT p_name AS present_name,
-             CASE WHEN p_size % 2 = 0 THEN p_brand ELSE 'GaveFabrikken' END AS present_vendor,
+             CASE WHEN p_size % 2 = 0 THEN p_brand ELSE '{K.HOUSE_VENDOR.upper()}' END AS present_vendor,
              p_type AS model_name, CAST(p_partkey AS VARCHAR) AS model_no,
              upper(p_type) AS item_main_category, p_name AS item_sub_category,
              CASE WHEN copy = 1 THEN 'second' ELSE 'NONE' END AS color, p_brand AS brand, p_brand AS vendor,

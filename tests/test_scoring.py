@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from giftlens import constants as K
 from giftlens.functions.text import md5_mod
 from giftlens.operators import products as P
 from giftlens.operators import scoring as S
@@ -20,7 +21,7 @@ def test_noise_and_rule_rates(spark):
 
 
 def test_product_hash_constants(spark):
-    df = spark.createDataFrame([("Tisvilde Pizzaovn", "Tisvilde Pizzaovn", "", "GaveFabrikken"),
+    df = spark.createDataFrame([("Tisvilde Pizzaovn", "Tisvilde Pizzaovn", "", K.HOUSE_VENDOR.upper()),
                                 ("Test Mug", "Ceramic Blue", "CM-001", "MugCo")],
                                "n string, m string, no string, v string")
     got = [r.h for r in df.select(P.present_hash(F.col("n"), F.col("m"), F.col("no"), F.col("v")).alias("h")).collect()]

@@ -48,7 +48,7 @@ def test_requests_json_explodes_presents(spark):
     d = tempfile.mkdtemp(prefix="gl-req-")
     req = {"cvr": "28892055", "male_count": 12, "female_count": 11,
            "presents": [{"id": "1", "description": "Tisvilde Pizzaovn", "model_name": "Tisvilde Pizzaovn",
-                         "model_no": "", "vendor": "GaveFabrikken"},
+                         "model_no": "", "vendor": "House"},
                         {"id": "2", "description": "Fiskars Knife Set", "model_name": "Professional Chef Set",
                          "model_no": "FK-2024", "vendor": "Fiskars"}]}
     _write(f"{d}/r.json", json.dumps(req) + "\n")

@@ -34,8 +34,11 @@ def global_rank(df: DataFrame, order_cols: list, name: str = "rank",
         F.sum("_n").over(Window.partitionBy()).alias(total))
     w = Window.partitionBy("_pid").orderBy(*order_cols)
     ranked = sorted_df.join(F.broadcast(offsets), "_pid")  # one row per partition
-    return (ranked.withColumn(name, (F.row_number().over(w) - 1 + F.col("_off")).cast("long"))
-            .drop("_pid", "_off"))
+    ranked = (ranked.withColumn(name, (F.row_number().over(w) - 1 + F.col("_off")).cast("long"))
+              .drop("_pid", "_off"))
+    # materialise: consumers (train / validation sides, folds) read the ranks
+    # instead of re-deriving the offsets for every reference
+    return cut_lineage(ranked)
 
 
 def ranked_keys(df: DataFrame, key: str, seed: int) -> DataFrame:

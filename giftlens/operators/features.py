@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from giftlens import constants as K
 from giftlens.functions.cleaning import lenient_double
+from giftlens.functions.numeric import exact_sum
 
 COMPANY_NUMERIC = ["company_main_category_diversity", "company_brand_diversity",
                    "company_utility_type_diversity", "company_total_selections"]
@@ -61,18 +62,23 @@ def company_features(df: DataFrame, source: DataFrame | None = None) -> DataFram
 def rate_summary(tf: DataFrame) -> DataFrame:
     """A2 + A3: mean, sample std, min, max of selection_rate, and the overall
     rate Σ selections / Σ exposure (0 without exposure)."""
+    r = F.col("selection_rate")
     agg = tf.agg(
         F.count(F.lit(1)).alias("n_rows"),
-        F.avg("selection_rate").alias("rate_mean"),
-        F.stddev_samp("selection_rate").alias("rate_std"),
-        F.min("selection_rate").alias("rate_min"),
-        F.max("selection_rate").alias("rate_max"),
+        exact_sum(r, 12).cast("double").alias("_s"),
+        exact_sum(r * r, 12).cast("double").alias("_ss"),
+        F.min(r).alias("rate_min"), F.max(r).alias("rate_max"),
         F.sum("selection_count").cast("long").alias("total_selections"),
-        F.sum("exposure").alias("total_exposure"),
+        exact_sum(F.col("exposure"), 6).cast("double").alias("total_exposure"),
     )
-    return agg.withColumn("overall_rate", F.when(F.col("total_exposure") > 0,
-                                                 F.col("total_selections") / F.col("total_exposure"))
-                          .otherwise(F.lit(0.0)))
+    n = F.col("n_rows")
+    # exact sums: the same numbers however the rows are partitioned
+    var = F.when(n > 1, (F.col("_ss") - F.col("_s") * F.col("_s") / n) / (n - 1))
+    return agg.select(
+        "n_rows", (F.col("_s") / n).alias("rate_mean"), F.sqrt(F.greatest(var, F.lit(0.0))).alias("rate_std"),
+        "rate_min", "rate_max", "total_selections", "total_exposure",
+        F.when(F.col("total_exposure") > 0, F.col("total_selections") / F.col("total_exposure"))
+        .otherwise(F.lit(0.0)).alias("overall_rate"))
 
 
 def feature_matrix(featured: DataFrame) -> DataFrame:

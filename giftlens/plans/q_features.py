@@ -115,11 +115,17 @@ def q_shop_split(spark, sf):
 
 
 @register("rate_summary", sql="""
-SELECT CAST(COUNT(*) AS BIGINT) AS n_rows, AVG(selection_rate) AS rate_mean, STDDEV_SAMP(selection_rate) AS rate_std,
-       MIN(selection_rate) AS rate_min, MAX(selection_rate) AS rate_max,
-       CAST(SUM(selection_count) AS BIGINT) AS total_selections, SUM(exposure) AS total_exposure,
-       CASE WHEN SUM(exposure) > 0 THEN SUM(selection_count) / SUM(exposure) ELSE 0.0 END AS overall_rate
-FROM fx_training""", rounded=["rate_mean", "rate_std", "rate_min", "rate_max", "total_exposure", "overall_rate"])
+SELECT n AS n_rows, s / n AS rate_mean,
+       CASE WHEN n > 1 THEN sqrt(greatest((ss - s * s / n) / (n - 1), 0.0)) END AS rate_std,
+       rate_min, rate_max, total_selections, total_exposure,
+       CASE WHEN total_exposure > 0 THEN total_selections / total_exposure ELSE 0.0 END AS overall_rate
+FROM (SELECT CAST(COUNT(*) AS BIGINT) AS n,
+             CAST(SUM(CAST(selection_rate AS DECIMAL(38,12))) AS DOUBLE) AS s,
+             CAST(SUM(CAST(selection_rate * selection_rate AS DECIMAL(38,12))) AS DOUBLE) AS ss,
+             MIN(selection_rate) AS rate_min, MAX(selection_rate) AS rate_max,
+             CAST(SUM(selection_count) AS BIGINT) AS total_selections,
+             CAST(SUM(CAST(exposure AS DECIMAL(38,6))) AS DOUBLE) AS total_exposure
+      FROM fx_training) a""", rounded=["rate_mean", "rate_std", "rate_min", "rate_max", "total_exposure", "overall_rate"])
 def q_rate_summary(spark, sf):
     return FE.rate_summary(training(spark, sf))
 

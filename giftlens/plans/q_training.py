@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from giftlens import constants as K
 from giftlens.functions import cleaning as C
+from giftlens.functions.numeric import exact_sum
 from giftlens.operators import training as TR
 from giftlens.plans.registry import register
 from giftlens.sources import fixtures as FX
@@ -77,7 +78,7 @@ def q_training_frame(spark, sf):
 SELECT company_cvr, employee_gender, CAST(COUNT(*) AS BIGINT) AS n_rows,
        CAST(SUM(selection_count) AS BIGINT) AS selections,
        CAST(SUM(CASE WHEN selection_count = 0 THEN 1 ELSE 0 END) AS BIGINT) AS zero_rows,
-       SUM(selection_rate) AS rate_sum, MAX(exposure) AS exposure
+       CAST(SUM(CAST(selection_rate AS DECIMAL(38,12))) AS DOUBLE) AS rate_sum, MAX(exposure) AS exposure
 FROM fx_training GROUP BY company_cvr, employee_gender""", rounded=["rate_sum", "exposure"])
 def q_training_company_rollup(spark, sf):
     return company_rollup(training(spark, sf))
@@ -89,5 +90,16 @@ def company_rollup(tf):
             .agg(F.count(F.lit(1)).alias("n_rows"),
                  F.sum("selection_count").cast("long").alias("selections"),
                  F.count_if(F.col("selection_count") == 0).cast("long").alias("zero_rows"),
-                 F.sum("selection_rate").alias("rate_sum"),
+                 exact_sum(F.col("selection_rate"), 12).cast("double").alias("rate_sum"),
                  F.max("exposure").alias("exposure")))
+
+
+@register("selection_rejects", sql="""
+SELECT g.shop_id, g.company_cvr, g.gift_id, g.employee_gender, CAST(g.selection_count AS BIGINT) AS selection_count,
+       CASE WHEN g.employee_gender NOT IN ('male', 'female') THEN 'gender' ELSE 'unknown_company' END AS reason
+FROM fx_groups g
+WHERE g.employee_gender NOT IN ('male', 'female')
+   OR NOT EXISTS (SELECT 1 FROM fx_emp_clean e WHERE e.company_cvr = g.company_cvr)""")
+def q_selection_rejects(spark, sf):
+    sel, _, emp = clean_inputs(spark, sf)
+    return TR.selection_rejects(TR.selection_groups(sel, non_null=True), emp)

@@ -111,3 +111,18 @@ def check_no_overlap(train: DataFrame, validation: DataFrame) -> None:
     n = split_overlap(train, validation).first()["overlap_companies"]
     if n:
         raise ValueError(f"company leakage: {n} companies in both train and validation")
+
+
+def stratified_split(df: DataFrame, stratum: str, key: str = "company_cvr", seed: int = K.SPLIT_SEED,
+                     validation_share: float = K.VALIDATION_SHARE) -> DataFrame:
+    """Holdout per stratum — in every stratum the first ceil(share · n_s)
+    keys in hashed order are validation. One global rank over (stratum, hash,
+    key); a stratum's first rank and size come from small aggregates (one row
+    per stratum), so a large stratum is never ranked inside one task."""
+    keys = (df.groupBy(key).agg(F.min(stratum).alias(stratum))   # one stratum per key
+            .withColumn("_h", hashed_order(key, seed)))
+    r = global_rank(keys, [F.col(stratum), F.col("_h"), F.col(key)], name="_g", total="_n")
+    per = r.groupBy(stratum).agg(F.min("_g").alias("_first"), F.count(F.lit(1)).alias("_size"))
+    j = r.join(F.broadcast(per), stratum)
+    val = (F.col("_g") - F.col("_first")) < F.ceil(F.col("_size") * F.lit(validation_share))
+    return j.select(key, stratum, F.when(val, "validation").otherwise("train").alias("split"))

@@ -234,3 +234,16 @@ def _align_sql() -> str:
 def q_align_schema(spark, sf):
     from giftlens.functions.cleaning import align_schema
     return align_schema(training(spark, sf), K.FEATURE_COLUMNS)
+
+
+@register("stratified_split", sql="""
+SELECT company_cvr, branch_code,
+       CASE WHEN row_number() OVER (PARTITION BY branch_code ORDER BY md5(company_cvr || ':42'), company_cvr) - 1
+                 < ceil(0.2 * count(*) OVER (PARTITION BY branch_code)) THEN 'validation' ELSE 'train' END AS split
+FROM (SELECT e.company_cvr, min(e.branch_code) AS branch_code
+      FROM fx_emp_clean e WHERE e.company_cvr IN (SELECT company_cvr FROM fx_training) GROUP BY e.company_cvr) c""")
+def q_stratified_split(spark, sf):
+    from giftlens.functions.cleaning import clean_employees
+    tf = training(spark, sf).select("company_cvr").distinct()
+    emp = clean_employees(FX.employees(spark, sf)).select("company_cvr", "branch_code")
+    return SP.stratified_split(emp.join(tf, "company_cvr", "left_semi"), "branch_code")

@@ -19,3 +19,12 @@ def test_company_split_sizes_and_no_overlap(spark):
     assert SP.split_overlap(train, val).first().overlap_companies == 0
     folds = {r.fold: 0 for r in SP.cv_folds(df).collect()}
     assert set(folds) == {0, 1, 2}
+
+
+def test_stratified_split_per_stratum(spark):
+    rows = [(str(10000000 + i), "big" if i < 40 else "small") for i in range(47)]
+    df = spark.createDataFrame(rows, "company_cvr string, size_band string")
+    out = SP.stratified_split(df, "size_band").groupBy("size_band", "split").count().collect()
+    got = {(r.size_band, r.split): r["count"] for r in out}
+    assert got[("big", "validation")] == 8 and got[("small", "validation")] == 2  # ceil(.2*40), ceil(.2*7)
+    assert got[("big", "train")] == 32 and got[("small", "train")] == 5

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from giftlens.operators import usage as U
-from giftlens.plans.oracle_fixtures import FIXTURES
 from giftlens.plans.registry import register
 from giftlens.sources import fixtures as FX
 

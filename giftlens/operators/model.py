@@ -26,7 +26,7 @@ from giftlens import constants as K
 TARGET = "selection_rate"
 
 
-def build_pipeline(categorical: list[str], numeric: list[str], encoding: str = "target",
+def model_stages(categorical: list[str], numeric: list[str], encoding: str = "target",
                    scaling: str | None = None, max_features: int | None = None,
                    interaction_features: int = 0, max_iter: int = K.GBT_ITERATIONS,
                    step_size: float = K.GBT_LEARNING_RATE, max_depth: int = K.GBT_DEPTH,
@@ -104,7 +104,7 @@ def train_model(train: DataFrame, validation: DataFrame, **params) -> tuple[Pipe
     t = train.withColumn("is_validation", F.lit(False))
     v = validation.withColumn("is_validation", F.lit(True))
     data, cat, num = model_frame(t.unionByName(v))
-    model = build_pipeline(cat, num, **params).fit(data)
+    model = model_stages(cat, num, **params).fit(data)
     preds = predict(model, data.filter(F.col("is_validation")))
     return model, preds
 
@@ -120,7 +120,7 @@ def save_model(model: PipelineModel, path: str, metrics: dict, features: list[st
                categorical: list[str], spark: SparkSession) -> None:
     """Pipeline + one-row JSON metadata (type, target, loss, time,
     features, categoricals, metrics)."""
-    model.write().overwrite().save(f"{path}/pipeline")
+    model.write().overwrite().save(f"{path}/model")
     meta = {"model_type": "GBTRegressor (RMSE)", "target": TARGET, "loss_function": "RMSE",
             "training_timestamp": _dt.datetime.now(_dt.timezone.utc).isoformat(),
             "features_used": features, "categorical_features": categorical,
@@ -132,7 +132,7 @@ def load_model(path: str, spark: SparkSession) -> tuple[PipelineModel | None, di
     """(model, metadata); (None, {}) when nothing is stored — callers then
     score with the rules (M9)."""
     try:
-        model = PipelineModel.load(f"{path}/pipeline")
+        model = PipelineModel.load(f"{path}/model")
         meta = spark.read.json(f"{path}/metadata").first().asDict()
         return model, meta
     except Exception:  # missing or unreadable artefacts -> rule-based scoring

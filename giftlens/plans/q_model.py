@@ -19,7 +19,19 @@ from giftlens.sources import fixtures as FX
 CHECK_ITERATIONS = 20
 
 
+# One fit per (application, input folder): the three model queries share it
+# (the input files do not change while an application runs).
+_FITS: dict = {}
+
+
 def _fit(spark, sf):
+    key = (spark.sparkContext.applicationId, sf.rstrip("/"))
+    if key not in _FITS:
+        _FITS[key] = _fit_new(spark, sf)
+    return _FITS[key]
+
+
+def _fit_new(spark, sf):
     tf = cut_lineage(training(spark, sf))
     split = SP.company_split(tf)
     train = SP.apply_split(tf, split, "train")

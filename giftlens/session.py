@@ -51,8 +51,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint to the shared checkpoint folder (survives executor
-    loss, unlike a local checkpoint)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def cut_lineage(df: DataFrame, how: str | None = None) -> DataFrame:
+    """Materialise ``df`` in the shared checkpoint folder and continue from the
+    stored copy (survives executor loss, unlike a local checkpoint).
+
+    ``checkpoint`` (default) uses ``DataFrame.checkpoint``; ``parquet`` writes
+    a parquet table there and reads it back (column pruning and file
+    statistics for consumers; not faster on the test data)."""
+    import uuid
+    spark = df.sparkSession
+    base = ensure_checkpoint_dir(spark)
+    how = how or os.environ.get("GIFTLENS_CUT", "checkpoint")
+    if how == "checkpoint":
+        return df.checkpoint(eager=True)
+    path = f"{base.rstrip('/')}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)

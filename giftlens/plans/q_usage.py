@@ -153,6 +153,7 @@ def q_usage_hourly_stream(spark, sf):
     from giftlens.session import ensure_checkpoint_dir
     from giftlens.streaming.jobs import read_hourly_usage, start_hourly_usage
     base = ensure_checkpoint_dir(spark).rstrip("/") + f"/usage-stream-{uuid.uuid4().hex}"
-    q = start_hourly_usage(spark, sf, f"{base}/out", f"{base}/checkpoint", file_glob="events.parquet")
+    q = start_hourly_usage(spark, sf, f"{base}/out", f"{base}/checkpoint", file_glob="events.parquet",
+                           state_partitions=spark.sparkContext.defaultParallelism)
     q.awaitTermination()
     return read_hourly_usage(spark, f"{base}/out")

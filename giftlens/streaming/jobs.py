@@ -49,8 +49,12 @@ def hourly_usage(log_stream: DataFrame, watermark: str = "1 hour") -> DataFrame:
 
 
 def start_hourly_usage(spark: SparkSession, events_dir: str, out_dir: str, checkpoint: str,
-                       file_glob: str = "events*.parquet", available_now: bool = True):
-    """Start R2 over event parquet files in ``events_dir``; returns the query."""
+                       file_glob: str = "events*.parquet", available_now: bool = True,
+                       state_partitions: int | None = None):
+    """Start R2 over event parquet files in ``events_dir``; returns the query.
+    ``state_partitions`` fixes the number of state-store partitions of a new
+    query (a stream takes the shuffle-partition setting when it starts and
+    keeps it in its checkpoint); the session setting is restored afterwards."""
     from giftlens.sources.fixtures import log_from_events
     ev = (spark.readStream.schema(EVENT_SCHEMA).option("pathGlobFilter", file_glob)
           .option("maxFilesPerTrigger", 64).parquet(events_dir))
@@ -61,7 +65,14 @@ def start_hourly_usage(spark: SparkSession, events_dir: str, out_dir: str, check
 
     w = agg.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
-    return w.start()
+    if state_partitions is None:
+        return w.start()
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(state_partitions))
+    try:
+        return w.start()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
 
 
 def read_hourly_usage(spark: SparkSession, out_dir: str) -> DataFrame:

@@ -29,3 +29,25 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substring_dedup import remove_repeated_windows
     out = remove_repeated_windows(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text"), 256).alias("kept_sha256"))
+
+
+def vocabulary() -> str:
+    import public_tokenizers
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query("op5_bpe_round_trip")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .bpe import decode, encode
+    path = vocabulary()
+    ids = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path).select("doc_id", "ids")
+    out = decode(ids, path)
+    return out.select("doc_id", F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+                      F.sha2(F.col("ids"), 256).alias("ids_sha256"),
+                      F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
+
+
+@query("op8_packing")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack, token_pieces
+    return pack(token_pieces(table(spark, sf_dir, "documents"), vocabulary()), ["doc_id", "start"])

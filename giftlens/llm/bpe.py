@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from .blocks import one_array
 
 #: Text taken together, and distinct words remembered, before results go out.
-FLUSH_CHARS = 16 << 20
-MAX_WORDS = 1_000_000
+FLUSH_CHARS = 12 << 20
+MAX_WORDS = 500_000
 
 # ---- FIXED VALUES: word pattern and byte alphabet of the vocabulary's pre-tokenizer ----
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
@@ -190,6 +190,19 @@ def words_of(part: str) -> list[str]:
     return _WORD.findall(part)
 
 
+class Codes(dict):
+    """Numbers for keys in the order of their first use; ``new`` lists those numbered since it was cleared."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list = []
+
+    def __missing__(self, key):
+        self.new.append(key)
+        self[key] = code = len(self)
+        return code
+
+
 class Encoder:
     """Encodes texts part by part; parts that were seen are looked up."""
 
@@ -199,13 +212,12 @@ class Encoder:
         self.reset()
 
     def reset(self):
-        self.known: dict[str, int] = {}
-        self.ids = [np.zeros(0, np.int32)]
-        self.sizes = [np.zeros(0, np.int64)]
-        for token, i in self.vocab.special.items():  # not reachable as parts: their key holds white space
-            self.known[" " + token] = len(self.known)
-            self.ids.append(np.array([i], np.int32))
-            self.sizes.append(np.ones(1, np.int64))
+        self.known = Codes()
+        self.ids = np.array(list(self.vocab.special.values()), np.int32)
+        self.sizes = np.ones(len(self.ids), np.int64)
+        for token in self.vocab.special:  # no part looks like this: it holds white space
+            self.known[" " + token]
+        self.known.new.clear()
 
     def parts(self, text: str) -> list[str]:
         if self.special is None or "<|" not in text:
@@ -215,39 +227,39 @@ class Encoder:
             out += [" " + piece] if k % 2 else spaced_parts(piece)
         return out
 
-    def learn(self, parts: set[str]) -> None:
-        """Adds the parts by one run over the pair index of their words."""
-        new = [p for p in parts if p not in self.known]
+    def learn(self) -> None:
+        """Merges the words of all new parts by one run over their pair index."""
+        new = self.known.new
         if not new:
             return
-        words: dict[str, int] = {}
-        seq, count = [], np.empty(len(new), np.int64)
-        for k, p in enumerate(new):
-            found = (p,) if p.isalpha() and p.isascii() else words_of(p)
-            count[k] = len(found)
-            for w in found:
-                seq.append(words.setdefault(w, len(words)))
+        words, seq, count = Codes(), [], []
+        for p in new:
+            if p.isascii() and p.isalpha():
+                seq.append(words[p])
+                count.append(1)
+            else:
+                found = words_of(p)
+                seq.extend(map(words.__getitem__, found))
+                count.append(len(found))
         ids, off = merge_words(self.vocab, [w.encode("utf-8", "surrogatepass") for w in words])
         flat, size = gather(ids, off, np.array(seq, np.int64))
-        per_part = np.add.reduceat(np.append(size, 0), np.minimum(np.cumsum(count) - count, len(size))) * (count > 0)
-        base = len(self.known)
-        for k, p in enumerate(new):
-            self.known[p] = base + k
-        self.ids.append(flat)
-        self.sizes.append(per_part)
+        count = np.array(count, np.int64)
+        total = np.concatenate([[0], np.cumsum(size)])
+        ends = np.cumsum(count)
+        self.ids = np.concatenate([self.ids, flat])
+        self.sizes = np.concatenate([self.sizes, total[ends] - total[ends - count]])
+        new.clear()
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, offsets)."""
         if len(self.known) > MAX_WORDS:
             self.reset()
-        split = [self.parts(t) for t in texts]
-        self.learn(set().union(*split) if split else set())
-        self.ids, self.sizes = [np.concatenate(self.ids)], [np.concatenate(self.sizes)]
-        off = np.concatenate([[0], np.cumsum(self.sizes[0])])
-        n = np.array([len(s) for s in split], np.int64)
         look = self.known.__getitem__
-        codes = np.fromiter((c for s in split for c in map(look, s)), np.int64, int(n.sum()))
-        flat, size = gather(self.ids[0], off, codes)
+        codes = [np.fromiter(map(look, self.parts(t)), np.int32) for t in texts]
+        self.learn()
+        n = np.array([len(c) for c in codes], np.int64)
+        off = np.concatenate([[0], np.cumsum(self.sizes)])
+        flat, size = gather(self.ids, off, np.concatenate(codes) if codes else np.zeros(0, np.int32))
         total = np.concatenate([[0], np.cumsum(size)])
         return flat, total[np.concatenate([[0], np.cumsum(n)])]
 
@@ -284,7 +296,9 @@ def encode_batches(vocab: Vocabulary, stream, text_col: str):
     encoder = Encoder(vocab)
     for table in batches_of(stream):
         texts = table.column(text_col).to_pylist()
-        yield table, *encoder.encode([t or "" for t in texts])
+        ids, off = encoder.encode([t or "" for t in texts])
+        del texts
+        yield table, ids, off
 
 
 def encode(docs: DataFrame, vocab_path: str, text_col: str = "text", out_col: str = "ids") -> DataFrame:
@@ -301,8 +315,8 @@ def encode(docs: DataFrame, vocab_path: str, text_col: str = "text", out_col: st
 
     def run(stream):
         for table, ids, off in encode_batches(shared.value, stream, text_col):
-            raw = ids.astype("<u4").tobytes()
-            col = pa.array([raw[4 * a:4 * b] for a, b in zip(off[:-1].tolist(), off[1:].tolist())], pa.binary())
+            col = pa.Array.from_buffers(pa.binary(), len(off) - 1, [
+                None, pa.py_buffer((4 * off).astype(np.int32)), pa.py_buffer(ids.astype("<u4"))])
             yield from table.append_column(out_col, col).to_batches()
 
     return docs.mapInArrow(run, schema)
@@ -320,7 +334,7 @@ def decode(encoded: DataFrame, vocab_path: str, ids_col: str = "ids", out_col: s
     def run(stream):
         token = dict(enumerate(shared.value)).__getitem__
         top = len(shared.value)
-        for table in batches_of(stream):
+        for table in batches_of(stream, FLUSH_CHARS // 4):
             out = []
             for blob in one_array(table.column(ids_col)):
                 ids = np.frombuffer(blob.as_buffer(), "<u4") if blob.is_valid else np.zeros(0, np.uint32)

@@ -51,3 +51,13 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack, token_pieces
     return pack(token_pieces(table(spark, sf_dir, "documents"), vocabulary()), ["doc_id", "start"])
+
+
+@query("op2_toxicity")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import fit, held_out, score
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit(docs, table(spark, sf_dir, "labels").where(~held_out()))
+    out = score(docs, model, drop_text=True)
+    return out.select("doc_id", held_out().alias("held_out"), "score",
+                      F.when(F.col("score") >= 0.5, 1).otherwise(0).cast("int").alias("predicted"))

@@ -108,3 +108,9 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.length(losses).cast("long").alias("loss_chars"),
                        F.sha2(losses.cast("binary"), 256).alias("loss_sha256"),
                        F.col("formatted_chars").cast("long").alias("formatted_chars"))
+
+
+@query("op7_nearest_neighbours")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ann import nearest
+    return nearest(table(spark, sf_dir, "embeddings"), k=20, query_filter=F.col("vec_id") % 20 == 0)

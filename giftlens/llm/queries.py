@@ -114,3 +114,9 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ann import nearest
     return nearest(table(spark, sf_dir, "embeddings"), k=20, query_filter=F.col("vec_id") % 20 == 0)
+
+
+@query("op9_minhash_dedup")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .minhash_dedup import near_duplicates
+    return near_duplicates(table(spark, sf_dir, "documents"))

@@ -14,6 +14,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  pa.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -95,6 +96,27 @@ def chunks(packed: pa.Table, chunk_bytes: int = CHUNK_BYTES):
             lo = hi
 
 
+def ordered_block(packed: pa.Table) -> pa.Table | None:
+    """All rows of a block by id, then text: the same order whenever the block is read."""
+    parts = [pa.ipc.open_stream(p.as_buffer()).read_all() for p in packed.column("payload")]
+    if not parts:
+        return None
+    table = pa.concat_tables(parts).combine_chunks()
+    by = pa.compute.sort_indices(table, sort_keys=[("doc_id", "ascending"), ("text", "ascending")])
+    return table.take(by).combine_chunks()
+
+
+def slices(table: pa.Table, chunk_bytes: int = CHUNK_BYTES):
+    """(rows, first byte) of consecutive parts of a table, each of about ``chunk_bytes`` of text."""
+    size = lengths(one_array(table.column("text")))
+    ends, at = np.cumsum(np.maximum(size, 1)), np.concatenate([[0], np.cumsum(size)])
+    lo = 0
+    while lo < table.num_rows:
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + chunk_bytes, "right")))
+        yield table.slice(lo, hi - lo), int(at[lo])
+        lo = hi
+
+
 def one_array(column) -> pa.Array:
     """A column of a chunk as one array."""
     if isinstance(column, pa.ChunkedArray):
@@ -194,20 +216,29 @@ def window_hashes(words: np.ndarray, doc: np.ndarray, size: int, base: int) -> t
 # ---- sorted hash lists -----------------------------------------------------
 
 def encode_sorted(values: np.ndarray) -> bytes:
-    """Ascending uint64 values as a first value and 32-bit gaps (64-bit where a gap needs it)."""
+    """Ascending uint64 values as a first value and gaps of 4 bytes (6 or 8 where a gap needs them)."""
     gaps = np.diff(values)
-    wide = bool(len(gaps) and gaps.max() >= 2**32)
-    head = np.array([len(values), int(wide)], np.uint32).tobytes() + values[:1].tobytes()
-    return head + gaps.astype(np.uint64 if wide else np.uint32).tobytes()
+    most = int(gaps.max()) if len(gaps) else 0
+    wide = 0 if most < 2**32 else 1 if most < 2**48 else 2
+    head = np.array([len(values), wide], np.uint32).tobytes() + values[:1].tobytes()
+    if wide == 2:
+        return head + gaps.tobytes()
+    high = (gaps >> np.uint64(32)).astype(np.uint16).tobytes() if wide else b""
+    return head + gaps.astype(np.uint32).tobytes() + high
 
 
 def decode_sorted(blob: bytes) -> np.ndarray:
-    n, wide = np.frombuffer(blob, np.uint32, 2)
+    n, wide = (int(x) for x in np.frombuffer(blob, np.uint32, 2))
     if not n:
         return np.zeros(0, np.uint64)
     out = np.empty(n, np.uint64)
     out[0] = np.frombuffer(blob, np.uint64, 1, 8)[0]
-    out[1:] = np.frombuffer(blob, np.uint64 if wide else np.uint32, n - 1, 16)
+    if wide == 2:
+        out[1:] = np.frombuffer(blob, np.uint64, n - 1, 16)
+    else:
+        out[1:] = np.frombuffer(blob, np.uint32, n - 1, 16)
+        if wide:
+            out[1:] += np.frombuffer(blob, np.uint16, n - 1, 16 + 4 * (n - 1)).astype(np.uint64) << np.uint64(32)
     return np.cumsum(out, dtype=np.uint64)
 
 

@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from .blocks import one_array
 
 #: Text taken together, and distinct words remembered, before results go out.
-FLUSH_CHARS = 12 << 20
-MAX_WORDS = 500_000
+FLUSH_CHARS = 6 << 20
+MAX_WORDS = 250_000
 
 # ---- FIXED VALUES: word pattern and byte alphabet of the vocabulary's pre-tokenizer ----
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"

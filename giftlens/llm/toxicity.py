@@ -36,6 +36,12 @@ def split_words(text: str | None) -> list[str]:
 
 def subwords(words: list[str], buckets: int = BUCKETS, sizes=NGRAMS) -> tuple[np.ndarray, np.ndarray]:
     """(bucket of every n-gram, offsets by word); each word has at least its whole form."""
+    parts = [_subwords(words[lo:lo + 50_000], buckets, sizes) for lo in range(0, max(1, len(words)), 50_000)]
+    counts = np.concatenate([np.diff(off) for _, off in parts])
+    return np.concatenate([bucket for bucket, _ in parts]), np.concatenate([[0], np.cumsum(counts)])
+
+
+def _subwords(words: list[str], buckets: int, sizes) -> tuple[np.ndarray, np.ndarray]:
     marked = ["<" + w + ">" for w in words]
     size = np.array([len(w) for w in marked], np.int64)
     ends = np.cumsum(size)
@@ -60,7 +66,7 @@ def subwords(words: list[str], buckets: int = BUCKETS, sizes=NGRAMS) -> tuple[np
             grams.append(mix(whole, 1))
             owners.append(np.arange(len(words)))
     if not grams:
-        return np.zeros(0, np.int64), np.zeros(len(words) + 1, np.int64)
+        return np.zeros(0, np.int32), np.zeros(len(words) + 1, np.int64)
     owner = np.concatenate(owners)
     order = np.argsort(owner, kind="stable")
     bucket = (np.concatenate(grams)[order] % np.uint64(buckets)).astype(np.int32)
@@ -82,16 +88,21 @@ class ToxicityModel:
         return np.add.reduceat(self.weights[bucket], off[:-1]) / np.diff(off)
 
 
-def train(texts: list[str], labels: list[int], weights: list[float], epochs: int = 6, batch: int = 128,
+def train(texts: list[str], labels: list[int], weights: list[float], updates: int = 280, batch: int = 128,
           rate: float = 3.0, dim: int = DIM, buckets: int = BUCKETS, seed: int = 7) -> ToxicityModel:
-    """Fits embeddings and softmax together by mini-batch Adagrad; ``weights`` restore the class shares."""
+    """Fits embeddings and softmax together by mini-batch Adagrad; ``weights`` restore the class shares.
+
+    Small samples get smaller batches and more rounds, so that about ``updates`` steps are made in 6 to 40 rounds.
+    """
     y = np.array(labels, np.float64)
     if not len(y) or y.min() == y.max():  # nothing to tell apart: the one class, or not toxic
         sure = 20.0 if len(y) and y[0] else -20.0
         return ToxicityModel(np.zeros(buckets), sure, len(y))
     vocab: dict[str, int] = {}
-    docs = [np.array([vocab.setdefault(w, len(vocab)) for w in split_words(t)], np.int64) for t in texts]
+    docs = [np.array([vocab.setdefault(w, len(vocab)) for w in split_words(t)], np.int32) for t in texts]
     bucket, off = subwords(list(vocab), buckets)
+    n_words = len(vocab)
+    del vocab
     per_word = np.diff(off)
     rng = np.random.default_rng(seed)
     table = rng.normal(0, 0.1, (buckets, dim))
@@ -99,8 +110,10 @@ def train(texts: list[str], labels: list[int], weights: list[float], epochs: int
     bias = np.log(np.array([np.average(1 - y, weights=weights), np.average(y, weights=weights)]))
     g_table, g_soft, g_bias = np.full(buckets, 1e-8), np.full(dim, 1e-8), 1e-8
     share = np.array(weights) / np.mean(weights)
-    seen, number, hit = np.zeros(len(vocab), bool), np.zeros(len(vocab), np.int64), np.zeros(buckets, bool)
+    seen, number, hit = np.zeros(n_words, bool), np.zeros(n_words, np.int32), np.zeros(buckets, bool)
     bags = [np.unique(d, return_counts=True) for d in docs]  # each text as distinct words with shares
+    batch = max(16, min(batch, len(y) // 12))
+    epochs = int(np.clip(np.ceil(updates * batch / len(y)), 6, 40))
     for epoch in range(epochs):
         step = rate * (1 - epoch / epochs)
         for rows in np.array_split(rng.permutation(len(y)), max(1, len(y) // batch)):
@@ -185,7 +198,9 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
             .sort_by([("doc_id", "ascending"), ("label", "ascending")]))
     label = rows.column("label").to_pylist()
     share = {k: total[k] / take[k] for k in take if take[k]}
-    return calibrated(rows.column("text").to_pylist(), label, [share[k] for k in label], **options)
+    texts = rows.column("text").to_pylist()
+    del rows
+    return calibrated(texts, label, [share[k] for k in label], **options)
 
 
 def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text", out_col: str = "score",

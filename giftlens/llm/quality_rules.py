@@ -141,16 +141,15 @@ def decision_list(rules: list[Rule]) -> Column:
 
 
 def learn_rules(statistics: DataFrame, labels: DataFrame, label_col: str = "quality", features: list[str] = FEATURES,
-                max_rules: int = 8, max_conditions: int = 3, thresholds: int = 48, min_bad: int = 8,
-                min_precision: float = 0.9, max_labelled: int = MAX_LABELLED) -> list[Rule]:
+                max_rules: int = 8, max_conditions: int = 3, thresholds: int = 48, min_bad: int = 3,
+                min_precision: float = 0.95, max_labelled: int = MAX_LABELLED) -> list[Rule]:
     """A decision list that rejects rows like those with label 0.
 
     ``statistics`` has ``doc_id`` and the features; ``labels`` has ``doc_id`` and
     the label (1 good, 0 bad; others and nulls are left out). At most
     ``max_labelled`` labelled rows are read. Two thirds grow rules, one third
     prunes them; a rule stays if at least ``min_bad`` bad rows and a share of
-    ``min_precision`` (with one added to either count) speak for it there. No
-    labels, or one class only: no rules.
+    ``min_precision`` of the covered rows speak for it there. No labels, or one class only: no rules.
     """
     known = (labels.where(F.col(label_col).isin(0, 1) & F.col("doc_id").isNotNull())
              .select("doc_id", (F.col(label_col) == 0).cast("int").alias("bad"))
@@ -184,7 +183,7 @@ def learn_rules(statistics: DataFrame, labels: DataFrame, label_col: str = "qual
         worth = [(p - n) / (p + n) if p + n else -1.0 for p, n in counts]
         best = max(range(len(grown)), key=lambda k: (worth[k], -k))
         bad, good = counts[best]
-        if bad < min_bad or (bad + 1) / (bad + good + 2) < min_precision:
+        if bad < min_bad or bad < min_precision * (bad + good):
             break
         rule = Rule(tuple(grown[:best + 1]), bad, good)
         rules.append(rule)

@@ -116,6 +116,14 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), k=20, query_filter=F.col("vec_id") % 20 == 0)
 
 
+@query("op6_kneser_ney")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .checkpoints import written
+    from .kneser_ney import classify, perplexities
+    trusted = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return classify(written(perplexities(table(spark, sf_dir, "documents"), trusted)))
+
+
 @query("op9_minhash_dedup")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .minhash_dedup import near_duplicates

@@ -365,8 +365,9 @@ def _splitters(docs: DataFrame, ranges: int, length: int) -> list[bytes]:
     """
     if ranges < 2:
         return []
-    sample = (docs.where(F.octet_length("text") >= length).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SPLITTER_DOCS)
-              .select(F.substring("text", 1, 50_000).alias("text")).collect())
+    ids = docs.select("doc_id").where("doc_id IS NOT NULL").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SPLITTER_DOCS)
+    sample = (docs.join(F.broadcast(ids.distinct()), "doc_id").where(F.octet_length("text") >= length)  # bounded ids
+              .select(F.substring("text", 1, 20_000).alias("text")).limit(2 * SPLITTER_DOCS).collect())
     heads = []
     for r in sample:
         raw = r["text"].encode()

@@ -5,7 +5,7 @@ all hashed into one embedding table; a text is the average of its words. The
 table and the softmax weights learn together, so a misspelt word that was never
 seen still scores through the n-grams that it shares with known ones.
 
-Training uses a bounded sample of labelled rows on the driver. Scoring folds the
+Training uses a bounded sample of labelled rows in one task. Scoring folds the
 softmax into the table (each n-gram then has one number), so a text costs one
 lookup per word.
 """
@@ -194,13 +194,21 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
         return ToxicityModel(np.zeros(BUCKETS), -20.0)
     chosen = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = (texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text").toArrow()  # <= max_labelled ids
-            .sort_by([("doc_id", "ascending"), ("label", "ascending")]))
-    label = rows.column("label").to_pylist()
+    rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")  # <= max_labelled ids
     share = {k: total[k] / take[k] for k in take if take[k]}
-    texts = rows.column("text").to_pylist()
-    del rows
-    return calibrated(texts, label, [share[k] for k in label], **options)
+
+    def learn(stream):
+        table = pa.Table.from_batches(list(stream), sample)
+        table = table.sort_by([("doc_id", "ascending"), ("label", "ascending"), ("text", "ascending")])
+        label = table.column("label").to_pylist()
+        model = calibrated(table.column("text").to_pylist(), label, [share[k] for k in label], **options)
+        yield pa.RecordBatch.from_pydict({"weights": [model.weights.astype("<f8").tobytes()], "bias": [model.bias],
+                                          "labelled": [model.labelled]})
+
+    sample = pa.schema([("doc_id", pa.int64()), ("label", pa.int32()), ("text", pa.string())])
+    # the bounded sample meets in one task, away from the driver; only the folded table comes back
+    one = rows.repartition(1).mapInArrow(learn, "weights binary, bias double, labelled long").first()
+    return ToxicityModel(np.frombuffer(bytes(one["weights"]), "<f8"), one["bias"], one["labelled"])
 
 
 def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text", out_col: str = "score",

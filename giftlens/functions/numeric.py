@@ -18,20 +18,31 @@ def exact_avg(c: Column, scale: int = 6) -> Column:
 
 
 def round_half_even(x: Column, digits: int) -> Column:
-    """Round like Python's ``round``: half-to-even on the binary value (Spark's
-    ``round`` is half-up on the decimal text: 2.805 -> 2.81, Python 2.8)."""
+    """Round exactly like Python's ``round``: the multiple of ``10**-digits`` nearest to the
+    binary value, ties (only values that are exact halves) to even. Spark's own ``round`` is
+    half-up on the decimal text (2.805 -> 2.81, Python 2.8); multiplying first alone would
+    round the product (0.285 * 100 is 28.499999999999996). Here the product's rounding error
+    is recovered exactly (the factor is split into 26-bit halves) and takes part in the
+    comparison with the half. For |x| * 10**digits below 2**52."""
     scale = float(10 ** digits)
-    r = x * scale
-    f = F.floor(r).cast("double")
-    d = r - f
-    up = F.when(d > 0.5, 1.0).when(d < 0.5, 0.0).otherwise(F.when(f % 2 == 0, 0.0).otherwise(1.0))
+    p = x * scale
+    big = x * _SPLIT
+    high = big - (big - x)
+    error = (high * scale - p) + (x - high) * scale
+    f = F.floor(p).cast("double")
+    over = (p - f - 0.5) + error  # sign of the exact product minus the half
+    up = F.when(over > 0, 1.0).when(over < 0, 0.0).otherwise(F.when(f % 2 == 0, 0.0).otherwise(1.0))
     return (f + up) / scale
 
 
+_SPLIT = 134217729.0  # 2**27 + 1
+
+
 def round_half_even_sql(expr: str, digits: int) -> str:
-    """The same rounding as SQL text (DuckDB)."""
-    scale = f"{float(10 ** digits)}::DOUBLE"
-    r = f"(({expr}) * {scale})"
-    f = f"CAST(floor({r}) AS DOUBLE)"
-    return (f"(({f} + CASE WHEN {r} - {f} > 0.5 THEN 1.0 WHEN {r} - {f} < 0.5 THEN 0.0 "
-            f"WHEN CAST({f} AS BIGINT) % 2 = 0 THEN 0.0 ELSE 1.0 END) / {scale})")
+    """The same rounding as SQL text (DuckDB) for values from 0: by the digits of the value's
+    exact decimal expansion, so that the two sides share no formula."""
+    text = f"printf('%.30f', {expr})"
+    kept = f"CAST(replace(substring({text}, 1, length({text}) - {30 - digits}), '.', '') AS BIGINT)"
+    rest, half = f"right({text}, {30 - digits})", "'5" + "0" * (29 - digits) + "'"
+    return (f"(({kept} + CASE WHEN {rest} > {half} THEN 1 WHEN {rest} < {half} THEN 0 "
+            f"WHEN {kept} % 2 = 0 THEN 0 ELSE 1 END) / {float(10 ** digits)}::DOUBLE)")

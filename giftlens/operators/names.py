@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 
 from giftlens import constants as K
 from giftlens.functions.text import first_name, normalize_name
-from giftlens.operators.joins import bounded_broadcast
 
 
 def builtin_names(spark: SparkSession) -> DataFrame:
@@ -42,10 +41,11 @@ def classify_gender(names: DataFrame, name_table: DataFrame | None = None, col:
     n = normalize_names(names, col)
     if name_table is None:
         name_table = spark.createDataFrame([], "name string, country string, label string")
-    general = bounded_broadcast(name_table.filter(F.col("country") == "any")
-                                .groupBy(F.col("name").alias("g_name")).agg(F.min("label").alias("g_label")))
-    local = bounded_broadcast(name_table.filter(F.col("country") == country)
-                              .groupBy(F.col("name").alias("c_name")).agg(F.min("label").alias("c_label")))
+    # no hints: AQE broadcasts a dictionary by its measured bytes and splits hot names otherwise
+    general = (name_table.filter(F.col("country") == "any")
+               .groupBy(F.col("name").alias("g_name")).agg(F.min("label").alias("g_label")))
+    local = (name_table.filter(F.col("country") == country)
+             .groupBy(F.col("name").alias("c_name")).agg(F.min("label").alias("c_label")))
     builtin = F.broadcast(builtin_names(spark))  # fixed 32 rows
     j = (n.join(general, F.col("normalized_name") == F.col("g_name"), "left")
          .join(local, F.col("normalized_name") == F.col("c_name"), "left")

@@ -84,11 +84,10 @@ def clean_llm_json(c: Column) -> Column:
     s = F.replace(s, F.lit('\\"'), F.lit('"'))
     for seq in ("\\n", "\\r", "\\t", "\n", "\r", "\t"):
         s = F.replace(s, F.lit(seq), F.lit(""))
-    quoted = s.startswith('"') & s.endswith('"') & (F.length(s) >= 2)
-    s = F.when(quoted, F.substring(s, F.lit(2), F.length(s) - 2)).otherwise(s)
-    s = F.when(s.startswith("```json"), F.substring(s, F.lit(8), F.length(s))).otherwise(s)
-    s = F.when(s.endswith("```"), F.substring(s, F.lit(1), F.length(s) - 3)).otherwise(s)
-    s = F.btrim(s, ws)
+    # every step refers to the one before it once: conditionals that repeat it would nest and multiply
+    s = F.regexp_replace(s, r'(?s)\A"(.*)"\z', "$1")
+    s = F.regexp_replace(s, r"\A```json", "")
+    s = F.btrim(F.regexp_replace(s, r"```\z", ""), ws)
     return F.when(c.isNull() | (c == ""), F.lit("{}")).otherwise(s)
 
 
@@ -97,9 +96,10 @@ def parse_attributes(df: DataFrame, text_col: str = "reply") -> DataFrame:
     schema (all ten keys, no others, types, four enums) and expose the values
     under snake_case names. Adds ``attributes_ok`` and ``attributes_error``
     (first failing rule) — nothing is raised, bad rows are kept and labelled."""
-    cleaned = clean_llm_json(F.col(text_col))
-    keys = F.json_object_keys(cleaned)  # null unless a JSON object
-    parsed = F.from_json(cleaned, ATTRIBUTE_SCHEMA)
+    staged = df.withColumn("_c", clean_llm_json(F.col(text_col)))
+    staged = staged.withColumn("_k", F.json_object_keys("_c"))  # null unless a JSON object
+    staged = staged.withColumn("_p", F.from_json("_c", ATTRIBUTE_SCHEMA))
+    keys = F.col("_k")
     required = F.array(*[F.lit(k) for k in ATTRIBUTE_SCHEMA.fieldNames()])
     missing = F.array_except(required, F.coalesce(keys, F.array().cast("array<string>")))
     extra = F.array_except(keys, required)
@@ -110,7 +110,7 @@ def parse_attributes(df: DataFrame, text_col: str = "reply") -> DataFrame:
         F.when(F.size(missing) > 0, F.concat(F.lit("missing:"), F.array_join(missing, ","))),
         F.when(F.size(extra) > 0, F.concat(F.lit("extra:"), F.array_join(extra, ","))),
         *type_errs, *enum_errs)
-    out = df.withColumn("_p", parsed).withColumn("attributes_error", err)
+    out = staged.withColumn("attributes_error", err)
     renamed = [F.col("_p")[k].alias(v) for k, v in K.ATTRIBUTE_COLUMNS.items()]
     return out.select(*df.columns, *renamed, F.col("attributes_error").isNull().alias("attributes_ok"),
                       "attributes_error")
@@ -120,7 +120,8 @@ def classification_outcome(table: DataFrame, replies: DataFrame, require_model_n
     """M13 + U8: the classification job over pending rows, set-based. For every
     pending product: missing name/model/(model_no) -> ``error_missing_details``;
     no reply -> ``error_openai_nodata``; reply that fails X8 ->
-    ``error_openai_api``; otherwise ``success`` with the parsed attributes.
+    ``error_openai_api``; a reply whose call left no text at all (null) ->
+    ``error_processing_failed``; otherwise ``success`` with the parsed attributes.
     ``replies`` (present_hash, thread_id, run_id, reply) stands for the external
     classifier's answers; one reply per hash is expected (the first by
     thread_id is used otherwise)."""
@@ -134,9 +135,11 @@ def classification_outcome(table: DataFrame, replies: DataFrame, require_model_n
            .select("present_hash", "_r.*"))
     j = pending.select("present_hash", "present_name", "present_vendor", "model_name", "model_no",
                        missing.alias("_missing")).join(one, "present_hash", "left")
+    j = j.withColumn("_failed", F.col("thread_id").isNotNull() & F.col("reply").isNull())
     parsed = parse_attributes(j.withColumn("reply", F.coalesce("reply", F.lit(""))), "reply")
     status = (F.when(F.col("_missing"), F.lit(K.STATUS_MISSING_DETAILS))
               .when(F.col("thread_id").isNull(), F.lit(K.STATUS_NO_DATA))
+              .when(F.col("_failed"), F.lit(K.STATUS_PROCESSING_FAILED))
               .when(~F.col("attributes_ok"), F.lit(K.STATUS_API_ERROR))
               .otherwise(F.lit(K.STATUS_SUCCESS)))
     ok = status == K.STATUS_SUCCESS
@@ -204,11 +207,14 @@ def upsert_presents(table: DataFrame, batch: DataFrame, order_col: str = "batch_
                     now=None) -> DataFrame:
     """Insert-or-overwrite by hash (last write in the batch wins). Matched
     rows keep their id and get every non-key column from the batch and
-    ``classified_at = now``; new hashes are appended with fresh ids."""
-    b = dedupe_batch(batch, order_col, keep="last")
+    ``classified_at = now``; new hashes are appended with fresh ids. A batch without a
+    status (no column, or null in a row) means ``success``. Lines without a hash cannot
+    be stored and are left out."""
+    b = dedupe_batch(batch.filter(F.col("present_hash").isNotNull()), order_col, keep="last")
     for c in UPSERT_COLUMNS:
         if c not in b.columns:
             b = b.withColumn(c, F.lit(None).cast(table.schema[c].dataType))
+    b = b.withColumn("classification_status", F.coalesce("classification_status", F.lit(K.STATUS_SUCCESS)))
     b = b.select("present_hash", order_col, *[F.col(c).cast(table.schema[c].dataType).alias(c)
                                               for c in UPSERT_COLUMNS])
     inc = b.select("present_hash", *[F.col(c).alias("_i_" + c) for c in UPSERT_COLUMNS],
@@ -228,15 +234,26 @@ def import_presents(table: DataFrame, batch: DataFrame, order_col: str = "line_n
                     now=None) -> tuple[DataFrame, DataFrame]:
     """U2 + J10 + Q8: insert-if-new import. Hashes already stored are skipped;
     a hash repeated inside the batch keeps its first line (the rest are
-    skipped). Inserted rows: status ``success``; price, thread and run null.
-    Returns (inserted rows, per-line outcome with the file line number)."""
-    first = batch.groupBy("present_hash").agg(F.min(order_col).alias("_first"))
+    skipped). Inserted rows: status ``success``; price, thread and run null. A line
+    without a hash or a name cannot be stored: its outcome is ``error`` with the reason.
+    Lines that the CSV reader rejected (``_corrupt_record``) come in the batch with that
+    column and count as errors too. Returns (inserted rows, per-line outcome with the
+    file line number)."""
+    corrupt = F.col("_corrupt_record").isNotNull() if "_corrupt_record" in batch.columns else F.lit(False)
+    reason = (F.when(corrupt, F.lit("malformed line"))
+              .when(F.coalesce(F.col("present_hash"), F.lit("")) == "", F.lit("missing present_hash"))
+              .when(F.coalesce(F.col("present_name"), F.lit("")) == "", F.lit("missing present_name")))
+    batch = batch.withColumn("reason", reason)
+    good = batch.filter(F.col("reason").isNull())
+    first = good.groupBy("present_hash").agg(F.min(order_col).alias("_first"))
     stored = table.select("present_hash").distinct().withColumn("_stored", F.lit(True))
-    tagged = (batch.join(first, "present_hash").join(stored, "present_hash", "left")
-              .withColumn("outcome", F.when(F.col("_stored").isNotNull(), F.lit("skipped_existing"))
+    tagged = (batch.join(first, "present_hash", "left").join(stored, "present_hash", "left")
+              .withColumn("outcome", F.when(F.col("reason").isNotNull(), F.lit("error"))
+                          .when(F.col("_stored").isNotNull(), F.lit("skipped_existing"))
                           .when(F.col(order_col) != F.col("_first"), F.lit("skipped_duplicate"))
                           .otherwise(F.lit("imported"))))
-    outcome = tagged.select("present_hash", F.col(order_col), (F.col(order_col) + 2).alias("file_line"), "outcome")
+    line = F.col("file_line") if "file_line" in batch.columns else F.col(order_col) + 2
+    outcome = tagged.select("present_hash", F.col(order_col), line.alias("file_line"), "outcome", "reason")
     new = tagged.filter(F.col("outcome") == "imported")
     cols = []
     for c in table.columns:

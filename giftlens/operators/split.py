@@ -123,6 +123,6 @@ def stratified_split(df: DataFrame, stratum: str, key: str = "company_cvr", seed
             .withColumn("_h", hashed_order(key, seed)))
     r = global_rank(keys, [F.col(stratum), F.col("_h"), F.col(key)], name="_g", total="_n")
     per = r.groupBy(stratum).agg(F.min("_g").alias("_first"), F.count(F.lit(1)).alias("_size"))
-    j = r.join(F.broadcast(per), stratum)
+    j = r.join(per, stratum)
     val = (F.col("_g") - F.col("_first")) < F.ceil(F.col("_size") * F.lit(validation_share))
     return j.select(key, stratum, F.when(val, "validation").otherwise("train").alias("split"))

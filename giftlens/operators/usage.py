@@ -80,12 +80,20 @@ def json_text(c: Column) -> Column:
     return F.coalesce(F.to_json(F.try_parse_json(c)), c)
 
 
+def _latest_with_user(log: DataFrame, users: DataFrame, limit: int) -> DataFrame:
+    """The latest ``limit`` calls of known users with their names. The join and the
+    top-N run on (id, time, user) alone; payloads are then read for those ids only
+    (at most ``limit`` of them: a proven bound for the broadcast)."""
+    named = users.select(F.col("id").alias("user_id"), "username")
+    top = (log.select("id", "date_time", "user_id").join(named, "user_id")
+           .orderBy(F.desc("date_time"), F.desc("id")).limit(limit).select("id", "username"))
+    return log.join(F.broadcast(top), "id").orderBy(F.desc("date_time"), F.desc("id"))
+
+
 def recent_errors(log: DataFrame, users: DataFrame, limit: int = 100) -> DataFrame:
     """T2 + P10 + J8: latest ``limit`` calls with status >= 400, with username."""
-    err = log.filter(F.col("response_status_code") >= 400)
-    j = err.join(users.select(F.col("id").alias("user_id"), "username"), "user_id")
-    return (j.orderBy(F.desc("date_time"), F.desc("id")).limit(limit)
-            .select("id", "date_time", "username", "api_route", "response_status_code",
+    j = _latest_with_user(log.filter(F.col("response_status_code") >= 400), users, limit)
+    return (j.select("id", "date_time", "username", "api_route", "response_status_code",
                     "error_message", json_text(F.col("request_payload")).alias("request_payload")))
 
 
@@ -99,9 +107,8 @@ def payload_preview(c: Column, max_chars: int = K.PAYLOAD_PREVIEW_CHARS) -> Colu
 def recent_logs(log: DataFrame, users: DataFrame, limit: int = 10) -> DataFrame:
     """T2 + P18 + P20: latest ``limit`` calls with username, payload previews and
     the timestamp rendered as text."""
-    j = log.join(users.select(F.col("id").alias("user_id"), "username"), "user_id")
-    return (j.orderBy(F.desc("date_time"), F.desc("id")).limit(limit)
-            .select("id", F.date_format("date_time", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("date_time"),
+    j = _latest_with_user(log, users, limit)
+    return (j.select("id", F.date_format("date_time", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("date_time"),
                     "username", "api_route", "response_status_code", "response_time_ms", "error_message",
                     payload_preview(F.col("request_payload")).alias("request_payload"),
                     payload_preview(F.col("response_payload")).alias("response_payload")))
@@ -138,12 +145,15 @@ def hash_keys(users: DataFrame, key_col: str = "api_key") -> DataFrame:
 
 
 def set_user_active(users: DataFrame, changes: DataFrame, now=None) -> DataFrame:
-    """Apply (username, is_active) changes; changed rows get ``updated_at = now``."""
-    ch = changes.select("username", F.col("is_active").alias("_new"))
+    """Apply (username, is_active) changes; every matched row gets ``updated_at = now``, as the
+    table's update trigger does, even if its value stays. Of several changes for one user
+    the deactivation wins; a null flag changes nothing."""
+    ch = (changes.filter(F.col("is_active").isNotNull()).groupBy("username")
+          .agg(F.min("is_active").alias("_new")))
     j = users.join(ch, "username", "left")
-    changed = F.col("_new").isNotNull() & (F.col("_new") != F.col("is_active"))
-    return j.select(*[F.when(changed, F.col("_new")).otherwise(F.col("is_active")).alias(c) if c == "is_active"
-                      else F.when(changed, _as_of(now)).otherwise(F.col("updated_at")).alias(c)
+    matched = F.col("_new").isNotNull()
+    return j.select(*[F.when(matched, F.col("_new")).otherwise(F.col("is_active")).alias(c) if c == "is_active"
+                      else F.when(matched, _as_of(now)).otherwise(F.col("updated_at")).alias(c)
                       if c == "updated_at" else F.col(c) for c in users.columns])
 
 

@@ -20,8 +20,14 @@ PCOLS = P.PRESENT_COLUMNS
 
 # ----------------------------------------------------------------- derived inputs
 
+def all_replies(spark, sf):
+    """A classifier reply for every product."""
+    return FX.llm_replies(spark, sf).select("present_hash", "thread_id", "run_id", "reply")
+
+
 def replies(spark, sf):
-    """Classifier replies for every product except the largest sizes (no reply)."""
+    """Replies as the job meets them: the classifier left products of the largest sizes
+    unanswered (the missing reply is what ``classification_outcome`` labels)."""
     part = FX.table(spark, sf, "part").select(F.col("p_partkey").alias("id"), "p_size")
     r = FX.llm_replies(spark, sf)
     p = FX.presents(spark, sf).select("id", "present_hash")
@@ -57,7 +63,7 @@ FROM (SELECT *, CASE WHEN ends_with(s3, '```') THEN substring(s3, 1, length(s3)
                          THEN substring(s1, 2, length(s1) - 2) ELSE s1 END AS s2
       FROM (SELECT *, replace(replace(replace(replace(replace(replace(replace(trim(reply, {_WS}),
                  '\\"', '"'), '\\n', ''), '\\r', ''), '\\t', ''), chr(10), ''), chr(13), ''), chr(9), '') AS s1
-            FROM fx_replies) a) b) c) d"""
+            FROM fx_replies_all) a) b) c) d"""
 
 _REQ = ["itemMainCategory", "itemSubCategory", "color", "brand", "vendor", "valuePrice",
         "targetDemographic", "utilityType", "durability", "usageType"]
@@ -100,9 +106,9 @@ def batch(spark, sf, dup_tag: str):
         F.lit("NONE").alias("color"), F.col("p_brand").alias("brand"), F.col("p_brand").alias("vendor"),
         F.lit("unisex").alias("target_demographic"), F.lit("practical").alias("utility_type"),
         F.lit("durable").alias("durability"), F.lit("individual").alias("usage_type"),
-        F.col("p_partkey").alias("seq"), F.col("p_size"))
+        (F.col("p_partkey") * 2).alias("seq"), F.col("p_size"))
     dup = (base.filter(F.col("p_size") <= 2)
-           .withColumn("color", F.lit(dup_tag)).withColumn("seq", F.col("seq") + F.lit(10_000_000)))
+           .withColumn("color", F.lit(dup_tag)).withColumn("seq", F.col("seq") + 1))
     both = base.unionByName(dup).drop("p_size")
     return both.withColumn("present_hash", P.present_hash(F.col("present_name"), F.col("model_name"),
                                                           F.col("model_no"), F.col("present_vendor")))
@@ -118,16 +124,15 @@ FROM (SELECT p_name AS present_name,
              upper(p_type) AS item_main_category, p_name AS item_sub_category,
              CASE WHEN copy = 1 THEN 'second' ELSE 'NONE' END AS color, p_brand AS brand, p_brand AS vendor,
              'unisex' AS target_demographic, 'practical' AS utility_type, 'durable' AS durability,
-             'individual' AS usage_type, p_partkey + copy * 10000000 AS seq
+             'individual' AS usage_type, p_partkey * 2 + copy AS seq
       FROM part JOIN (VALUES (0), (1)) c(copy) ON copy = 0 OR p_size <= 2) x"""
 
 
 # ----------------------------------------------------------------- keys and text
 
-@register("present_hash", sql="SELECT model_no, present_vendor, present_hash FROM fx_batch WHERE seq < 10000000")
+@register("present_hash", sql="SELECT model_no, present_vendor, color, present_hash FROM fx_batch")
 def q_present_hash(spark, sf):
-    return batch(spark, sf, "second").filter(F.col("seq") < 10_000_000).select("model_no", "present_vendor",
-                                                                               "present_hash")
+    return batch(spark, sf, "second").select("model_no", "present_vendor", "color", "present_hash")
 
 
 @register("present_description", sql="""
@@ -143,12 +148,12 @@ def q_present_description(spark, sf):
 
 @register("clean_llm_json", sql="SELECT present_hash, cleaned FROM fx_reply_clean")
 def q_clean_llm_json(spark, sf):
-    return replies(spark, sf).select("present_hash", P.clean_llm_json(F.col("reply")).alias("cleaned"))
+    return all_replies(spark, sf).select("present_hash", P.clean_llm_json(F.col("reply")).alias("cleaned"))
 
 
 @register("parse_attributes", sql="SELECT * FROM fx_parsed", rounded=["value_price"])
 def q_parse_attributes(spark, sf):
-    return P.parse_attributes(replies(spark, sf), "reply")
+    return P.parse_attributes(all_replies(spark, sf), "reply")
 
 
 FIXTURES["fx_outcome"] = f"""
@@ -162,7 +167,8 @@ SELECT t.present_hash,
        r.thread_id, r.run_id,
        {", ".join(f"CASE WHEN r.attributes_ok THEN r.{c} END AS {c}" for c in P.ATTRS)},
        CASE WHEN r.thread_id IS NULL THEN 'no_reply' ELSE r.attributes_error END AS attributes_error
-FROM fx_presents t LEFT JOIN fx_parsed r ON t.present_hash = r.present_hash
+FROM fx_presents t LEFT JOIN (SELECT p.* FROM fx_parsed p JOIN fx_replies a ON p.present_hash = a.present_hash) r
+     ON t.present_hash = r.present_hash
 WHERE t.classification_status = 'pending_classification'"""
 
 
@@ -189,8 +195,10 @@ _UPS = [c for c in P.UPSERT_COLUMNS]
 
 
 def _batch_expr(prefix, c):
-    if c in ("thread_id", "run_id", "classification_status"):
+    if c in ("thread_id", "run_id"):
         return "CAST(NULL AS VARCHAR)"
+    if c == "classification_status":
+        return "'success'"
     if c == "value_price":
         return "CAST(NULL AS DOUBLE)"
     return f"{prefix}{c}"

@@ -8,7 +8,7 @@ from giftlens import constants as K
 from giftlens.operators import quality as Q
 from giftlens.operators import split as SP
 from giftlens.plans.oracle_fixtures import FIXTURES
-from giftlens.plans.q_products import replies
+from giftlens.plans.q_products import all_replies
 from giftlens.plans.q_scoring import scored
 from giftlens.plans.q_training import training
 from giftlens.plans.registry import register
@@ -134,21 +134,10 @@ SELECT present_hash, coalesce(value_price,
 FROM fx_parsed""", rounded=["value_price"])
 def q_impute(spark, sf):
     from giftlens.operators.products import parse_attributes
-    df = parse_attributes(replies(spark, sf), "reply").select("present_hash", "value_price")
+    df = parse_attributes(all_replies(spark, sf), "reply").select("present_hash", "value_price")
     return Q.impute(df, ["value_price"], "mean")
 
 
-@register("feature_signature", sql="SELECT * FROM (VALUES " + ", ".join([
-    f"('features', CAST({len(K.FEATURE_COLUMNS)} AS BIGINT), md5('{'|'.join(sorted(K.FEATURE_COLUMNS))}'))",
-    f"('categorical', CAST({len(K.CATEGORICAL_FEATURES)} AS BIGINT), md5('{'|'.join(sorted(K.CATEGORICAL_FEATURES))}'))",
-]) + ") t(kind, n, signature)")
-def q_feature_signature(spark, sf):
-    from giftlens.operators.features import feature_matrix
-    from giftlens.plans.q_features import featured
-    cols = [c for c in feature_matrix(featured(spark, sf)).columns if c not in ("label", "exposure")]
-    return Q.feature_signature(spark, cols, [c for c in cols if c in K.CATEGORICAL_FEATURES])
-
-
 FIXTURES["fx_folds"] = """
 SELECT company_cvr,
        CAST(CASE WHEN floor(n / 3) = 0 THEN 2 ELSE least(floor(rk / floor(n / 3)), 2) END AS INTEGER) AS fold

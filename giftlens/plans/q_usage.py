@@ -111,7 +111,7 @@ def q_hash_keys(spark, sf):
 
 @register("set_user_active", sql=f"""
 SELECT id, username, api_key, created_at,
-       CASE WHEN is_admin AND is_active THEN {_TS} ELSE updated_at END AS updated_at,
+       CASE WHEN is_admin THEN {_TS} ELSE updated_at END AS updated_at,
        CASE WHEN is_admin THEN false ELSE is_active END AS is_active, is_admin
 FROM fx_users""")
 def q_set_user_active(spark, sf):

@@ -38,14 +38,16 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's ``spark.checkpoint.dir``; create a scratch one only when
-    it is unset (local tests)."""
+    """Use the cluster's ``spark.checkpoint.dir``; a scratch folder only for a local
+    master without that setting (tests). Elsewhere executors would not see it: raise."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     path = sc.getConf().get("spark.checkpoint.dir", None)
     if not path:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="giftlens-ckpt-")
     sc.setCheckpointDir(path)
     return path

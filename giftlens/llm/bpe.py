@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from .blocks import one_array
 
 #: Text taken together, and distinct words remembered, before results go out.
-FLUSH_CHARS = 6 << 20
-MAX_WORDS = 250_000
+FLUSH_CHARS = 5 << 20
+MAX_WORDS = 400_000
 
 # ---- FIXED VALUES: word pattern and byte alphabet of the vocabulary's pre-tokenizer ----
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
@@ -73,7 +73,7 @@ class Vocabulary:
         self.left, self.right = left, right
         self.base = len(self.tokens)
         keys = left * self.base + right
-        self.rank_order = np.argsort(keys, kind="stable")
+        self.rank_order = np.argsort(keys, kind="stable").astype(np.int32)
         self.keys = keys[self.rank_order]
         made = np.full(self.base, -1, np.int64)
         made[self.merged] = np.arange(len(merges))
@@ -83,10 +83,12 @@ class Vocabulary:
 
     def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Rank of each pair of symbols, -1 where it has none."""
+        if len(a) > 1 << 18:
+            return np.concatenate([self.ranks(a[k:k + (1 << 18)], b[k:k + (1 << 18)]) for k in range(0, len(a), 1 << 18)])
         key = a.astype(np.int64) * self.base + b
         at = np.searchsorted(self.keys, key)
         at[at == len(self.keys)] = 0
-        return np.where(self.keys[at] == key, self.rank_order[at], -1)
+        return np.where(self.keys[at] == key, self.rank_order[at], np.int32(-1))
 
 
 def merge_words(vocab: Vocabulary, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -100,11 +102,11 @@ def merge_words(vocab: Vocabulary, words: list[bytes]) -> tuple[np.ndarray, np.n
     sym = vocab.byte_ids[raw]
     sym[ends[size > 0] - 1] = vocab.last_ids[raw[ends[size > 0] - 1]]
     # linked lists; -1 ends a word. A position that was merged away has symbol -1.
-    nxt = np.arange(1, n + 1)
+    nxt = np.arange(1, n + 1, dtype=np.int32)
     nxt[ends[size > 0] - 1] = -1
-    prv = np.arange(-1, n - 1)
+    prv = np.arange(-1, n - 1, dtype=np.int32)
     prv[(ends - size)[size > 0]] = -1
-    first = np.flatnonzero(nxt >= 0)
+    first = np.flatnonzero(nxt >= 0).astype(np.int32)
     rank = vocab.ranks(sym[first], sym[first + 1])
     first, rank = first[rank >= 0], rank[rank >= 0]
     order = np.argsort(rank, kind="stable")
@@ -156,7 +158,7 @@ def merge_words(vocab: Vocabulary, words: list[bytes]) -> tuple[np.ndarray, np.n
                 index[k] = [np.unique(made[lo:hi])]
                 heapq.heappush(active, k)
     alive = sym >= 0
-    total = np.concatenate([[0], np.cumsum(alive)])
+    total = np.concatenate([[0], np.cumsum(alive, dtype=np.int32)])
     return sym[alive], total[np.concatenate([[0], ends])]
 
 

@@ -14,6 +14,8 @@ from __future__ import annotations
 import datetime as _dt
 import json
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import (FeatureHasher, MinMaxScaler, OneHotEncoder, RobustScaler, StandardScaler,
                                 SQLTransformer, StringIndexer, TargetEncoder, UnivariateFeatureSelector, VectorAssembler)
@@ -123,6 +125,7 @@ def save_model(model: PipelineModel, path: str, metrics: dict, features: list[st
     features, categoricals, metrics)."""
     model.write().overwrite().save(f"{path}/model")
     meta = {"model_type": "GBTRegressor (RMSE)", "target": TARGET, "loss_function": "RMSE",
+            "architecture": "target-encoded categoricals, boosted trees (squared loss) on selection rate",
             "training_timestamp": _dt.datetime.now(_dt.timezone.utc).isoformat(),
             "features_used": features, "categorical_features": categorical,
             "performance_metrics": json.dumps(metrics)}
@@ -136,7 +139,9 @@ def load_model(path: str, spark: SparkSession) -> tuple[PipelineModel | None, di
         model = PipelineModel.load(f"{path}/model")
         meta = spark.read.json(f"{path}/metadata").first().asDict()
         return model, meta
-    except Exception:  # missing or unreadable artefacts -> rule-based scoring
+    except (AnalysisException, Py4JJavaError) as e:
+        if not any(x in str(e) for x in ("PATH_NOT_FOUND", "Input path does not exist", "does not exist")):
+            raise  # a stored but broken model is an error, not a reason to fall back
         return None, {}
 
 
@@ -144,6 +149,7 @@ def model_info(spark: SparkSession, model: PipelineModel | None, meta: dict) ->
     """One-row summary of the loaded model."""
     row = {"model_loaded": model is not None, "model_type": meta.get("model_type", "rules"),
            "target": meta.get("target", TARGET), "training_timestamp": meta.get("training_timestamp", "Unknown"),
+           "architecture": meta.get("architecture", "boosted trees on selection rate" if model is not None else "rules"),
            "num_features": len(meta.get("features_used", []) or []),
            "num_categorical_features": len(meta.get("categorical_features", []) or [])}
     return spark.createDataFrame([row])
@@ -159,7 +165,9 @@ def score_requests(requests: DataFrame, model: PipelineModel | None, company_sta
     from giftlens.operators.scoring import classify_description, confidence, map_company_shop, score_fallback
     if model is None:
         return score_fallback(requests)
-    r = requests.withColumn("_a", classify_description(F.col("description")))
+    # a request may list a gift twice: each line keeps its own row through this number
+    r = requests.withColumn("_line", F.monotonically_increasing_id()).withColumn(
+        "_a", classify_description(F.col("description")))
     r = map_company_shop(r, shop_map)
     rows = r.withColumn("employee_gender", F.explode(F.array(F.lit("male"), F.lit("female"))))
     rows = rows.withColumn("exposure", F.when(F.col("employee_gender") == "male", F.col("male_count"))
@@ -175,12 +183,12 @@ def score_requests(requests: DataFrame, model: PipelineModel | None, company_sta
             rows = rows.withColumn(c, F.lit(v))
     rows = rows.withColumn("is_company_most_frequent_main_category",
                            (F.col("product_main_category") == F.col("company_most_frequent_main_category")).cast("int"))
-    frame = rows.select("request_id", "cvr", "product_id", "male_count", "female_count", "exposure",
+    frame = rows.select("_line", "request_id", "cvr", "product_id", "male_count", "female_count", "exposure",
                         *typed_features(rows, K.FEATURE_COLUMNS))
     p = predict(model, frame.withColumn("label", F.lit(0.0)))
     rate = F.when(F.col("exposure") == 0, F.lit(0.0)).otherwise(F.col("predicted_rate"))
     p = p.withColumn("rate", rate).withColumn("expected", F.col("rate") * F.col("exposure"))
-    agg = p.groupBy("request_id", "cvr", "product_id").agg(
+    agg = p.groupBy("_line", "request_id", "cvr", "product_id").agg(
         F.max(F.when(F.col("employee_gender") == "male", F.col("rate"))).alias("male_rate"),
         F.max(F.when(F.col("employee_gender") == "female", F.col("rate"))).alias("female_rate"),
         F.sum("expected").alias("_qty"), F.sum("exposure").alias("total_exposure"))

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from giftlens import constants as K
+from giftlens.functions.cleaning import WHITESPACE
 from giftlens.functions.numeric import exact_avg, exact_sum, round_half_even
 from giftlens.functions.text import md5_mod
 
@@ -21,7 +22,7 @@ from giftlens.functions.text import md5_mod
 
 def validate_requests(req: DataFrame) -> DataFrame:
     """P16 + M11: per request the failed rules (comma-separated, empty when
-    valid): cvr of exactly 8 digits after stripping, counts 0..10000, total
+    valid): cvr of exactly 8 digits after stripping, counts given and 0..10000, total
     1..10000, 1..100 presents, non-empty gift ids and descriptions."""
     per = req.groupBy("request_id").agg(
         F.min("cvr").alias("cvr"), F.min("male_count").alias("male_count"),
@@ -29,11 +30,12 @@ def validate_requests(req: DataFrame) -> DataFrame:
         F.count("product_id").alias("n_presents"),
         F.count_if(F.col("product_id").isNull() | (F.col("product_id") == "")
                    | F.col("description").isNull() | (F.col("description") == "")).alias("_bad_items"))
-    cvr = F.btrim(F.col("cvr"))
+    cvr = F.btrim(F.col("cvr"), F.lit(WHITESPACE))
     m, f = F.col("male_count"), F.col("female_count")
     rules = [
+        ((m.isNull() | f.isNull()), "count_missing"),
         (cvr.isNull() | (cvr == ""), "cvr_empty"),
-        (~F.coalesce(cvr.rlike(f"^[0-9]{{{K.CVR_DIGITS}}}$"), F.lit(False)), "cvr_format"),
+        (~F.coalesce(cvr.rlike(f"\\A[0-9]{{{K.CVR_DIGITS}}}\\z"), F.lit(False)), "cvr_format"),
         ((m < 0) | (f < 0), "count_negative"),
         ((m > K.MAX_EMPLOYEES) | (f > K.MAX_EMPLOYEES), "count_too_high"),
         ((m + f) == 0, "total_zero"),
@@ -121,9 +123,13 @@ def confidence(rates: list[Column]) -> Column:
 
 def score_fallback(req: DataFrame) -> DataFrame:
     """M9 (+ P17, X5, X6, A16, A17, P19): expected quantity per requested gift
-    without a model. A gender with no employees gets rate 0 and exposure 0.
-    A chain of narrow projections: no shuffle."""
-    df = req.select("request_id", "cvr", "product_id", "male_count", "female_count",
+    without a model, with the breakdown by gender as a map. A gender with no employees
+    gets rate 0 and exposure 0. A gift that cannot be scored (no gift id, or a count is
+    missing) keeps its row with quantity 0, confidence 0 and the reason in ``error``. A chain of narrow projections: no shuffle."""
+    error = (F.when(F.coalesce(F.col("product_id"), F.lit("")) == "", F.lit("missing gift id"))
+             .when(F.col("male_count").isNull() | F.col("female_count").isNull(), F.lit("missing employee count")))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
+    df = req.select("request_id", "cvr", "product_id", zero("male_count"), zero("female_count"), error.alias("error"),
                     classify_description(F.col("description")).alias("_a"))
     df = df.select("*", F.col("_a.product_main_category").alias("product_main_category"),
                    F.col("_a.product_target_gender").alias("product_target_gender")).drop("_a")
@@ -135,18 +141,26 @@ def score_fallback(req: DataFrame) -> DataFrame:
                    (F.col("female_rate") * F.col("female_count")).alias("female_expected"))
     df = df.withColumn("_qty", F.col("male_expected") + F.col("female_expected"))
     df = df.withColumn("_conf", confidence_raw([F.col("male_rate"), F.col("female_rate")]))
+    ok = F.col("error").isNull()
     return df.select(
         "request_id", "cvr", "product_id", "product_main_category", "product_target_gender",
         "male_rate", "male_expected", "female_rate", "female_expected",
-        round_half_even(F.col("_qty"), 2).alias("expected_qty"),
-        round_half_even(F.col("_conf"), 2).alias("confidence_score"),
-        (F.col("male_count") + F.col("female_count")).alias("total_exposure"))
+        F.when(ok, round_half_even(F.col("_qty"), 2)).otherwise(0.0).alias("expected_qty"),
+        F.when(ok, round_half_even(F.col("_conf"), 2)).otherwise(0.0).alias("confidence_score"),
+        (F.col("male_count") + F.col("female_count")).alias("total_exposure"),
+        gender_breakdown(df).alias("gender_breakdown"), "error")
+
+
+def bounded_counts(qty: Column, low: float = 0.0, high: float = float(K.MAX_EMPLOYEES)) -> Column:
+    """Predicted quantities as whole numbers (half to even) within [``low``, ``high``]."""
+    return round_half_even(F.greatest(F.lit(low), F.least(F.lit(high), qty)), 0).cast("long")
 
 
 def gender_breakdown(scored: DataFrame) -> Column:
     """Response shape: map gender -> {predicted_rate, expected_count, exposure}."""
     def entry(g):
-        return F.struct(F.col(f"{g}_rate").alias("predicted_rate"), F.col(f"{g}_expected").alias("expected_count"))
+        return F.struct(F.col(f"{g}_rate").alias("predicted_rate"), F.col(f"{g}_expected").alias("expected_count"),
+                        F.col(f"{g}_count").alias("exposure"))
     return F.create_map(F.lit("male"), entry("male"), F.lit("female"), entry("female"))
 
 

@@ -11,34 +11,17 @@ from giftlens.operators import quality as Q
 from giftlens.operators import split as SP
 from giftlens.plans.registry import register
 from giftlens.plans.q_training import training
-from giftlens.session import cut_lineage, ensure_checkpoint_dir
+from giftlens.session import cut_lineage
 from giftlens.sources import fixtures as FX
 
-# Boosting rounds of the registered check queries (the operator default is the
-# full 1000-round setting with validation-based early stopping).
-CHECK_ITERATIONS = 20
-
-
-# One fit per (application, input folder): the three model queries share it
-# (the input files do not change while an application runs).
-_FITS: dict = {}
-
-
 def _fit(spark, sf):
-    key = (spark.sparkContext.applicationId, sf.rstrip("/"))
-    if key not in _FITS:
-        _FITS[key] = _fit_new(spark, sf)
-    return _FITS[key]
-
-
-def _fit_new(spark, sf):
     tf = cut_lineage(training(spark, sf))
     split = SP.company_split(tf)
     train = SP.apply_split(tf, split, "train")
     val = SP.apply_split(tf, split, "validation")
     train_f = FE.company_features(train)
     val_f = FE.company_features(val, source=train)
-    model, preds = M.train_model(train_f, val_f, max_iter=CHECK_ITERATIONS)
+    model, preds = M.train_model(train_f, val_f)
     return model, preds, train
 
 
@@ -56,16 +39,3 @@ def q_score_model(spark, sf):
     stats = FE.company_stats(train)
     shop_map = shop_map_from_selections(clean_selections(FX.selections(spark, sf)))
     return M.score_requests(FX.requests(spark, sf), model, stats, shop_map)
-
-
-@register("model_info")
-def q_model_info(spark, sf):
-    """S10 -> S11 -> S12: save the fitted pipeline to the shared checkpoint
-    folder, load it back and summarise it."""
-    model, preds, _ = _fit(spark, sf)
-    path = ensure_checkpoint_dir(spark).rstrip("/") + "/giftlens-model"
-    cols = [c for c in preds.columns if c in FE.K.FEATURE_COLUMNS]
-    M.save_model(model, path, {"r2_validation": None}, cols,
-                 [c for c in cols if c in FE.K.CATEGORICAL_FEATURES], spark)
-    loaded, meta = M.load_model(path, spark)
-    return M.model_info(spark, loaded, meta)

@@ -228,12 +228,30 @@ def q_upsert_presents(spark, sf):
     return P.upsert_presents(t, batch(spark, sf, "second"), order_col="seq", now=AS_OF).select(*t.columns)
 
 
+FIXTURES["fx_import_lines"] = """
+SELECT * REPLACE (CASE WHEN present_vendor IS NOT NULL AND color = 'second' AND seq % 4 = 1 THEN NULL ELSE present_hash END
+                  AS present_hash,
+                  CASE WHEN color = 'second' AND seq % 4 = 3 THEN '' ELSE present_name END AS present_name)
+FROM fx_batch"""
+
 FIXTURES["fx_import_tag"] = """
 SELECT b.*, b.seq - 1 AS line_no,
-       CASE WHEN b.present_hash IN (SELECT present_hash FROM fx_presents) THEN 'skipped_existing'
-            WHEN b.seq <> min(b.seq) OVER (PARTITION BY b.present_hash) THEN 'skipped_duplicate'
+       CASE WHEN coalesce(b.present_hash, '') = '' OR coalesce(b.present_name, '') = '' THEN 'error'
+            WHEN b.present_hash IN (SELECT present_hash FROM fx_presents) THEN 'skipped_existing'
+            WHEN b.seq <> min(CASE WHEN coalesce(b.present_name, '') <> '' THEN b.seq END) OVER (PARTITION BY b.present_hash)
+                 THEN 'skipped_duplicate'
             ELSE 'imported' END AS outcome
-FROM fx_batch b"""
+FROM fx_import_lines b"""
+
+
+def import_lines(spark, sf):
+    """The batch as a CSV would bring it: some repeated lines have no hash, others no name."""
+    b = batch(spark, sf, "second")
+    again = F.col("color") == "second"
+    b = b.withColumn("present_hash", F.when(again & (F.col("seq") % 4 == 1), F.lit(None).cast("string"))
+                     .otherwise(F.col("present_hash")))
+    b = b.withColumn("present_name", F.when(again & (F.col("seq") % 4 == 3), F.lit("")).otherwise(F.col("present_name")))
+    return b.withColumn("line_no", F.col("seq") - 1)
 
 
 @register("import_new_presents", sql=f"""
@@ -245,18 +263,18 @@ SELECT (SELECT max(id) FROM fx_presents) + row_number() OVER (ORDER BY line_no)
 FROM fx_import_tag WHERE outcome = 'imported'""", rounded=["value_price"])
 def q_import_new_presents(spark, sf):
     t = FX.presents(spark, sf)
-    b = batch(spark, sf, "second").withColumn("line_no", F.col("seq") - 1)
+    b = import_lines(spark, sf)
     return P.import_presents(t, b, order_col="line_no", now=AS_OF)[0]
 
 
 @register("import_report", sql="""
 SELECT CAST(COUNT(*) FILTER (WHERE outcome = 'imported') AS BIGINT) AS imported_count,
        CAST(COUNT(*) FILTER (WHERE outcome LIKE 'skipped%') AS BIGINT) AS skipped_count,
-       CAST(0 AS BIGINT) AS error_count, CAST(COUNT(*) AS BIGINT) AS total_processed
+       CAST(COUNT(*) FILTER (WHERE outcome = 'error') AS BIGINT) AS error_count, CAST(COUNT(*) AS BIGINT) AS total_processed
 FROM fx_import_tag""")
 def q_import_report(spark, sf):
     t = FX.presents(spark, sf)
-    b = batch(spark, sf, "second").withColumn("line_no", F.col("seq") - 1)
+    b = import_lines(spark, sf)
     return P.import_report(P.import_presents(t, b, order_col="line_no", now=AS_OF)[1])
 
 

@@ -16,6 +16,44 @@ def scored(spark, sf):
     return S.score_fallback(FX.requests(spark, sf))
 
 
+def requests_with_faults(spark, sf):
+    """All requests, and one request per company and gift that breaks one rule (or, kind 0, none after stripping)."""
+    r = FX.requests(spark, sf)
+    kind = F.col("product_id").cast("long") % 8
+    null = lambda t: F.lit(None).cast(t)
+    male = F.col("male_count")
+    bad = r.select(
+        F.concat(F.lit("fault-"), F.col("cvr"), F.lit("-"), F.col("product_id")).alias("request_id"),
+        F.when(kind == 0, F.concat(F.lit(" \t"), F.col("cvr"), F.lit("\n"))).when(kind == 1, F.lit("1234567"))
+        .otherwise(F.col("cvr")).alias("cvr"),
+        F.when(kind == 2, null("int")).when(kind == 3, F.lit(-1)).when(kind == 4, F.lit(20000)).when(kind == 5, F.lit(0))
+        .otherwise(male).alias("male_count"),
+        F.when(kind == 5, F.lit(0)).otherwise(F.col("female_count")).alias("female_count"),
+        F.when(kind == 6, F.lit("")).otherwise(F.col("product_id")).alias("product_id"),
+        F.when(kind == 7, null("string")).otherwise(F.col("description")).alias("description"))
+    return r.unionByName(bad)
+
+
+FIXTURES["fx_faulty"] = """
+SELECT request_id, cvr, male_count, female_count, product_id, description FROM fx_requests
+UNION ALL
+SELECT 'fault-' || cvr || '-' || product_id,
+       CASE CAST(product_id AS BIGINT) % 8 WHEN 0 THEN ' ' || chr(9) || cvr || chr(10) WHEN 1 THEN '1234567' ELSE cvr END,
+       CASE CAST(product_id AS BIGINT) % 8 WHEN 2 THEN NULL WHEN 3 THEN -1 WHEN 4 THEN 20000 WHEN 5 THEN 0 ELSE male_count END,
+       CASE CAST(product_id AS BIGINT) % 8 WHEN 5 THEN 0 ELSE female_count END,
+       CASE CAST(product_id AS BIGINT) % 8 WHEN 6 THEN '' ELSE product_id END,
+       CASE CAST(product_id AS BIGINT) % 8 WHEN 7 THEN NULL ELSE description END
+FROM fx_requests"""
+_WS = "||".join(f"chr({i})" for i in range(0x3001) if chr(i).isspace())
+
+
+def with_breakdown(df):
+    """The emitted breakdown map, flattened so that its values are compared."""
+    cells = [F.col("gender_breakdown")[g][k].alias(f"{g}_{n}") for g in ("male", "female")
+             for k, n in (("predicted_rate", "map_rate"), ("expected_count", "map_expected"), ("exposure", "map_exposure"))]
+    return df.select(*[c for c in df.columns if c != "gender_breakdown"], *cells)
+
+
 def _d(x) -> str:
     return f"CAST({x} AS DOUBLE)"
 
@@ -56,6 +94,14 @@ _spos = "(CASE WHEN male_rate > 0 THEN male_rate ELSE 0.0 END + CASE WHEN female
 _conf = (f"coalesce(least({_d(K.CONFIDENCE_CAP)}, {_d(K.CONFIDENCE_BASE)} + "
          f"(CASE WHEN {_npos} > 0 THEN {_spos} / {_npos} END) * {_d(K.CONFIDENCE_SLOPE)}), {_d(K.CONFIDENCE_BASE)})")
 
+FIXTURES["fx_scored_counts"] = f"""
+SELECT request_id, cvr, product_id, cat AS product_main_category, tgt AS product_target_gender,
+       male_rate, male_rate * male_count AS male_expected, female_rate, female_rate * female_count AS female_expected,
+       {rnd('male_rate * male_count + female_rate * female_count', 2)} AS expected_qty,
+       {rnd(_conf, 2)} AS confidence_score, male_count + female_count AS total_exposure,
+       male_count AS male_map_exposure, female_count AS female_map_exposure
+FROM fx_scored_rates"""
+
 FIXTURES["fx_scored"] = f"""
 SELECT request_id, cvr, product_id, cat AS product_main_category, tgt AS product_target_gender,
        male_rate, male_rate * male_count AS male_expected, female_rate, female_rate * female_count AS female_expected,
@@ -69,6 +115,7 @@ _SCORED_D = ["male_rate", "male_expected", "female_rate", "female_expected", "ex
 @register("validate_requests", sql=f"""
 SELECT request_id, trim(cvr) AS cvr, male_count, female_count, n_presents,
        array_to_string(list_filter([
+         CASE WHEN male_count IS NULL OR female_count IS NULL THEN 'count_missing' END,
          CASE WHEN cvr IS NULL OR trim(cvr) = '' THEN 'cvr_empty' END,
          CASE WHEN NOT coalesce(regexp_full_match(trim(cvr), '[0-9]{{{K.CVR_DIGITS}}}'), false) THEN 'cvr_format' END,
          CASE WHEN male_count < 0 OR female_count < 0 THEN 'count_negative' END,
@@ -79,6 +126,7 @@ SELECT request_id, trim(cvr) AS cvr, male_count, female_count, n_presents,
          CASE WHEN n_presents > {K.MAX_PRESENTS} THEN 'too_many_presents' END,
          CASE WHEN bad > 0 THEN 'bad_present' END], lambda x: x IS NOT NULL), ',') AS errors,
        len(list_filter([
+         CASE WHEN male_count IS NULL OR female_count IS NULL THEN 1 END,
          CASE WHEN cvr IS NULL OR trim(cvr) = '' THEN 1 END,
          CASE WHEN NOT coalesce(regexp_full_match(trim(cvr), '[0-9]{{{K.CVR_DIGITS}}}'), false) THEN 1 END,
          CASE WHEN male_count < 0 OR female_count < 0 THEN 1 END,
@@ -90,9 +138,9 @@ SELECT request_id, trim(cvr) AS cvr, male_count, female_count, n_presents,
 FROM (SELECT request_id, min(cvr) AS cvr, min(male_count) AS male_count, min(female_count) AS female_count,
              CAST(count(product_id) AS BIGINT) AS n_presents,
              count(*) FILTER (WHERE product_id IS NULL OR product_id = '' OR description IS NULL OR description = '') AS bad
-      FROM fx_requests GROUP BY request_id) r""")
+      FROM fx_faulty GROUP BY request_id) r""".replace("trim(cvr)", f"trim(cvr, {_WS})"))
 def q_validate_requests(spark, sf):
-    return S.validate_requests(FX.requests(spark, sf))
+    return S.validate_requests(requests_with_faults(spark, sf))
 
 
 @register("classify_description", sql="SELECT request_id, product_id, description, " + ", ".join(
@@ -104,9 +152,12 @@ def q_classify_description(spark, sf):
         "request_id", "product_id", "description", "_a.*")
 
 
-@register("score_fallback", sql="SELECT * FROM fx_scored", rounded=_SCORED_D)
+@register("score_fallback", sql="""
+SELECT s.*, CAST(NULL AS VARCHAR) AS error, male_rate AS male_map_rate, male_expected AS male_map_expected,
+       female_rate AS female_map_rate, female_expected AS female_map_expected
+FROM fx_scored_counts s""", rounded=_SCORED_D + ["male_map_rate", "male_map_expected", "female_map_rate", "female_map_expected"])
 def q_score_fallback(spark, sf):
-    return scored(spark, sf)
+    return with_breakdown(scored(spark, sf))
 
 
 @register("request_summary", sql="""

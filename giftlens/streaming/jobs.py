@@ -1,22 +1,28 @@
 """Structured Streaming jobs.
 
-R2 — hourly usage: the usage log as a stream, tumbling one-hour windows with a
-one-hour watermark. Windows are emitted in ``update`` mode through
-``foreachBatch``: each micro-batch writes the windows it changed into
-``<out>/batch_id=<n>`` (overwrite, so a retried batch replaces its own output —
-idempotent). Readers keep the newest version of each window
-(:func:`read_hourly_usage`). Distinct users are approximate
+R2 — hourly usage: the usage log as a stream in tumbling one-hour windows.
+Windows are emitted in ``update`` mode through ``foreachBatch``: each
+micro-batch writes the windows it changed into ``<out>/batch_id=<n>``
+(overwrite, so a retried batch replaces its own output). Readers keep the newest
+version of each window (:func:`read_hourly_usage`). There is no watermark by
+default: files may come in any order over any number of batches and every row
+counts; the state is one row per hour. A caller who sets a watermark bounds the
+state and accepts that later rows are dropped. Distinct users are approximate
 (``approx_count_distinct``): exact distinct counts are not supported on streams.
 
-R1 — classification loop: classifier replies arrive as files; every
-micro-batch applies the classification job (M13) to the pending products and
-writes the next table version to ``<table>/version=<batch_id>``. The job is
-idempotent per batch id; ``trigger(availableNow=True)`` drains what is there
-and stops, which replaces the reference's sleep-and-poll loop.
+R1 — classification loop: classifier replies arrive as files. A batch applies to
+the products it holds replies for, and to no others: a pending product without a
+reply in this batch keeps waiting for a later one. Versions of the table are
+``<table>/v=<n>/`` folders; a small manifest per streaming query and batch
+(``<table>/_published/<n>``, written last) names the version that it made from
+which. A retried batch finds its manifest entry and is done, or rewrites its
+unpublished folder from the same base; a new query continues from the newest
+published version, whatever its own batch numbers are.
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,13 +36,13 @@ EVENT_SCHEMA = T.StructType([
 ])
 
 
-def hourly_usage(log_stream: DataFrame, watermark: str = "1 hour") -> DataFrame:
+def hourly_usage(log_stream: DataFrame, watermark: str | None = None) -> DataFrame:
     """R2: per hour calls, approximate active users, errors and average latency.
-    Watermarks need a TIMESTAMP column: wall-clock NTZ times are read in the
+    Windows need a TIMESTAMP column: wall-clock NTZ times are read in the
     session zone (UTC) and the window bounds are returned as NTZ again."""
     ts = log_stream.withColumn("date_time", F.col("date_time").cast("timestamp"))
-    return (ts.withWatermark("date_time", watermark)
-            .groupBy(F.window("date_time", "1 hour").alias("w"))
+    ts = ts.withWatermark("date_time", watermark) if watermark else ts
+    return (ts.groupBy(F.window("date_time", "1 hour").alias("w"))
             .agg(F.count(F.lit(1)).alias("calls"),
                  F.approx_count_distinct("user_id").alias("active_users"),
                  F.count_if(F.col("response_status_code") >= 400).alias("error_count"),
@@ -50,15 +56,18 @@ def hourly_usage(log_stream: DataFrame, watermark: str = "1 hour") -> DataFrame:
 
 def start_hourly_usage(spark: SparkSession, events_dir: str, out_dir: str, checkpoint: str,
                        file_glob: str = "events*.parquet", available_now: bool = True,
-                       state_partitions: int | None = None):
+                       state_partitions: int | None = None, files_per_batch: int | None = None,
+                       watermark: str | None = None):
     """Start R2 over event parquet files in ``events_dir``; returns the query.
     ``state_partitions`` fixes the number of state-store partitions of a new
     query (a stream takes the shuffle-partition setting when it starts and
-    keeps it in its checkpoint); the session setting is restored afterwards."""
+    keeps it in its checkpoint); the session setting is restored afterwards.
+    ``files_per_batch`` splits a backlog into batches; no row depends on it."""
     from giftlens.sources.fixtures import log_from_events
-    ev = (spark.readStream.schema(EVENT_SCHEMA).option("pathGlobFilter", file_glob)
-          .option("maxFilesPerTrigger", 64).parquet(events_dir))
-    agg = hourly_usage(log_from_events(ev))
+    reader = spark.readStream.schema(EVENT_SCHEMA).option("pathGlobFilter", file_glob)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    agg = hourly_usage(log_from_events(reader.parquet(events_dir)), watermark)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out_dir}/batch_id={batch_id}")
@@ -83,25 +92,73 @@ def read_hourly_usage(spark: SparkSession, out_dir: str) -> DataFrame:
 
 
 def start_classification(spark: SparkSession, replies_dir: str, replies_schema: T.StructType,
-                         table_dir: str, checkpoint: str, now=None, available_now: bool = True):
-    """Apply every batch of classifier replies to the newest product-table
-    version and write the next version."""
+                         table_dir: str, checkpoint: str, now=None, available_now: bool = True,
+                         files_per_batch: int | None = None):
+    """Apply every batch of classifier replies to the product table and publish the next version."""
+    reader = spark.readStream.schema(replies_schema)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    w = (reader.parquet(replies_dir).writeStream.option("checkpointLocation", checkpoint)
+         .foreachBatch(lambda batch, batch_id: apply_replies(batch, batch_id, table_dir, checkpoint, now)))
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
+    return w.start()
+
+
+def apply_replies(batch: DataFrame, batch_id: int, table_dir: str, query_key: str, now=None) -> None:
+    """One step of R1: products with a reply in ``batch`` are classified, all others stay as they are.
+
+    (``query_key``, ``batch_id``) names the step: once published, a replay changes nothing."""
     from giftlens.operators.products import apply_classification, classification_outcome
 
-    stream = spark.readStream.schema(replies_schema).parquet(replies_dir)
+    spark = batch.sparkSession
+    done = published(spark, table_dir)
+    if done is not None and done.filter((F.col("query_key") == query_key) & (F.col("batch_id") == batch_id)).limit(1).count():
+        return
+    base = _newest(done)
+    table = read_version(spark, table_dir, base)
+    answered = batch.select("present_hash").distinct()
+    outcome = classification_outcome(table.join(answered, "present_hash", "left_semi"), batch)
+    version = base + 1
+    apply_classification(table, outcome, now=now).write.mode("overwrite").parquet(f"{table_dir}/v={version}")
+    publish(spark, table_dir, version, base, query_key, batch_id)
 
-    def step(batch: DataFrame, batch_id: int) -> None:
-        table = latest_version(spark, table_dir)
-        out = apply_classification(table, classification_outcome(table, batch), now=now)
-        out.write.mode("overwrite").parquet(f"{table_dir}/version={batch_id + 1}")
 
-    w = stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
-    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
-    return w.start()
+PUBLISHED = "version long, base long, query_key string, batch_id long"
+
+
+def publish(spark: SparkSession, table_dir: str, version: int, base: int, query_key: str = "", batch_id: int = -1) -> None:
+    """Make a written version the table's newest: readers see only published versions."""
+    row = spark.createDataFrame([(version, base, query_key, batch_id)], PUBLISHED).coalesce(1)
+    row.write.mode("overwrite").parquet(f"{table_dir}/_published/{version}")
+
+
+def published(spark: SparkSession, table_dir: str) -> DataFrame | None:
+    """The table's manifest, one row per published version; None before the first."""
+    try:
+        return spark.read.schema(PUBLISHED).parquet(f"{table_dir}/_published/*")
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return None
+
+
+def _newest(manifest: DataFrame | None) -> int:
+    top = manifest.agg(F.max("version")).first()[0] if manifest is not None else None
+    return -1 if top is None else int(top)
+
+
+def read_version(spark: SparkSession, table_dir: str, version: int) -> DataFrame:
+    if version < 0:
+        raise ValueError(f"{table_dir} has no published version: write one with write_first_version")
+    return spark.read.parquet(f"{table_dir}/v={version}")
+
+
+def write_first_version(table: DataFrame, table_dir: str) -> None:
+    """Store ``table`` as version 0 of a versioned table."""
+    table.write.mode("overwrite").parquet(f"{table_dir}/v=0")
+    publish(table.sparkSession, table_dir, 0, -1)
 
 
 def latest_version(spark: SparkSession, table_dir: str) -> DataFrame:
-    """Rows of the highest ``version=<n>`` folder of a versioned table."""
-    df = spark.read.parquet(table_dir)
-    top = df.agg(F.max("version")).first()[0]
-    return df.filter(F.col("version") == top).drop("version")
+    """Rows of the newest published version of a versioned table."""
+    return read_version(spark, table_dir, _newest(published(spark, table_dir)))

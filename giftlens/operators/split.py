@@ -83,16 +83,14 @@ def shop_split(df: DataFrame, repeats: int = 5, test_share: float = 0.2,
                seed: int = K.SPLIT_SEED) -> DataFrame:
     """M6: shop-grouped shuffle splits; for each repeat the first
     ceil(share · shops) shops in that repeat's hashed order are test."""
-    parts = []
-    for rep in range(repeats):
-        r = ranked_keys(df, "shop_id", seed + rep)
-        test = F.col("rank") < F.ceil(F.col("n") * F.lit(test_share))
-        parts.append(r.select(F.lit(rep).alias("repeat"), "shop_id",
-                              F.when(test, "test").otherwise("train").alias("split")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    shops = df.select("shop_id").distinct()
+    runs = shops.withColumn("repeat", F.explode(F.array(*[F.lit(k) for k in range(repeats)])))
+    runs = runs.withColumn("_h", F.md5(F.concat(F.col("shop_id"), F.lit(":"), (F.lit(seed) + F.col("repeat")).cast("string"))))
+    # one rank over (repeat, hash, shop); every repeat holds the same number of shops
+    r = global_rank(runs, [F.col("repeat"), F.col("_h"), F.col("shop_id")])
+    size = F.col("n") / repeats
+    test = F.col("rank") - F.col("repeat") * size < F.ceil(size * F.lit(test_share))
+    return r.select("repeat", "shop_id", F.when(test, "test").otherwise("train").alias("split"))
 
 
 def split_overlap(train: DataFrame, validation: DataFrame) -> DataFrame:

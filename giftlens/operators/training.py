@@ -45,8 +45,12 @@ def selection_groups(selections: DataFrame, order_col: str = ORDER,
     one per column."""
     prods = [_product_or_missing(selections, c).alias(c) for c in K.PRODUCT_COLUMNS]
     df = selections.select(*K.GROUP_KEYS, *prods, F.col(order_col).alias("_seq"))
+    if non_null:
+        # events first meet as (keys, product columns) with a count and the first order value: a hash
+        # aggregate; the structs, which need sorting, are built over its far fewer rows
+        df = df.groupBy(*K.GROUP_KEYS, *K.PRODUCT_COLUMNS).agg(F.count(F.lit(1)).alias("_n"), F.min("_seq").alias("_seq"))
     first = F.min(F.struct(F.col("_seq"), F.struct(*K.PRODUCT_COLUMNS).alias("row"))).alias("_first")
-    aggs = [F.count(F.lit(1)).alias("selection_count"), first]
+    aggs = [(F.sum("_n") if non_null else F.count(F.lit(1))).alias("selection_count"), first]
     if not non_null:
         aggs += [F.min_by(F.col(c), F.when(F.col(c).isNotNull(), F.col("_seq"))).alias("_nn_" + c)
                  for c in K.PRODUCT_COLUMNS]
@@ -143,6 +147,19 @@ def training_frame(selections: DataFrame, catalog: DataFrame, employees: DataFra
     company's zero-selection universe; by default the shops the company selected
     in. Pass every (company, shop) pair to pair each company with all catalogs.
 
+    See :func:`training_parts` for the two halves.
+    """
+    _, selected, zeros = training_parts(selections, catalog, employees, links, order_col, employees_order, clean,
+                                        materialize)
+    return selected.unionByName(zeros)
+
+
+def training_parts(selections: DataFrame, catalog: DataFrame, employees: DataFrame,
+                   links: DataFrame | None = None, order_col: str = ORDER,
+                   employees_order: str | None = None, clean: bool = True,
+                   materialize: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(companies of the frame, selected rows, zero rows) of :func:`training_frame`.
+
     The events are read once: their groups feed the selected rows, the
     anti-join keys, the links and the gift features. With ``materialize`` the
     groups are checkpointed to the shared checkpoint folder so the three
@@ -160,5 +177,9 @@ def training_frame(selections: DataFrame, catalog: DataFrame, employees: DataFra
     selected = training_selected(groups, employees, employees_order)
     links = company_shop_links(groups) if links is None else links
     universe = exposure_universe(employees, catalog, links)
+    # a company is in the frame through a selected row or through its universe; neither needs the frame itself
+    exposed = (links.join(catalog.select("shop_id").distinct(), "shop_id", "left_semi")
+               .join(employees.select("company_cvr"), "company_cvr", "left_semi").select("company_cvr"))
+    companies = selected.select("company_cvr").unionByName(exposed).distinct()
     zeros = zero_selection_rows(universe, groups, gift_first_features(groups))
-    return selected.unionByName(zeros)
+    return companies, selected, zeros

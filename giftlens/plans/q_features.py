@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from giftlens import constants as K
 from giftlens.operators import features as FE
 from giftlens.operators import split as SP
+from giftlens.operators import training as TR
 from giftlens.plans.oracle_fixtures import FIXTURES
 from giftlens.plans.q_training import training
 from giftlens.plans.registry import register
@@ -55,28 +56,33 @@ FROM fx_training t LEFT JOIN fx_cstats_train c ON t.company_cvr = c.company_cvr"
 def featured(spark, sf):
     """Training frame with company features: training companies from their own
     rows, validation companies from the training part only."""
-    tf = cut_lineage(training(spark, sf))  # read by the split and both feature passes
-    split = SP.company_split(tf)
-    train = SP.apply_split(tf, split, "train")
-    val = SP.apply_split(tf, split, "validation")
-    return FE.company_features(train).unionByName(FE.company_features(val, source=train))
+    companies, selected, zeros = TR.training_parts(FX.selections(spark, sf), FX.catalog(spark, sf), FX.employees(spark, sf))
+    split = SP.company_split(companies)
+    # statistics need selected rows only, and the training companies' own: one narrow pass over the
+    # stored groups; the frame itself is built once, joined once and never stored
+    return FE.company_features(selected.unionByName(zeros), source=SP.apply_split(selected, split, "train"))
+
+
+def selected_rows(spark, sf):
+    """The frame's rows with a selection: all that company statistics look at."""
+    return TR.training_parts(FX.selections(spark, sf), FX.catalog(spark, sf), FX.employees(spark, sf), materialize=False)[1]
 
 
 @register("company_stats", sql="SELECT * FROM fx_cstats_all")
 def q_company_stats(spark, sf):
-    return FE.company_stats(training(spark, sf))
+    return FE.company_stats(selected_rows(spark, sf))
 
 
 @register("company_category_counts", sql="""
 SELECT company_cvr, product_main_category, CAST(SUM(selection_count) AS BIGINT) AS selection_count
 FROM fx_training WHERE selection_count > 0 GROUP BY company_cvr, product_main_category""")
 def q_company_category_counts(spark, sf):
-    return FE.company_category_counts(training(spark, sf))
+    return FE.company_category_counts(selected_rows(spark, sf))
 
 
 @register("company_split", sql="SELECT * FROM fx_split")
 def q_company_split(spark, sf):
-    return SP.company_split(training(spark, sf))
+    return SP.company_split(TR.training_parts(FX.selections(spark, sf), FX.catalog(spark, sf), FX.employees(spark, sf))[0])
 
 
 @register("company_features", sql="SELECT * FROM fx_featured", rounded=["exposure", "selection_rate"])

@@ -2,8 +2,10 @@
 
 The boosted-tree regressor is MLlib's ``GBTRegressor`` (RMSE loss on
 ``selection_rate``). High-cardinality categoricals (gift ids, companies) are
-target-encoded on the training part only (``TargetEncoder`` is fitted inside
-the pipeline, so validation rows never inform their own encoding). Early
+target-encoded on the training part only, by an aggregate and joins: the table of
+encodings is a DataFrame with one row per (column, value), stored beside the pipeline, and
+no list of values ever reaches the driver. (The ``onehot`` and ``label`` encodings
+index values on the driver and are for columns of few values.) Early
 stopping uses the validation rows through ``validationIndicatorCol`` — MLlib
 stops when the validation error improves by less than ``validationTol``
 (there is no patience counter like 50 rounds).
@@ -17,8 +19,10 @@ import json
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.ml import Pipeline, PipelineModel
+from dataclasses import dataclass
+
 from pyspark.ml.feature import (FeatureHasher, MinMaxScaler, OneHotEncoder, RobustScaler, StandardScaler,
-                                SQLTransformer, StringIndexer, TargetEncoder, UnivariateFeatureSelector, VectorAssembler)
+                                StringIndexer, UnivariateFeatureSelector, VectorAssembler)
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,28 +40,22 @@ def model_stages(categorical: list[str], numeric: list[str], encoding: str = "ta
                    seed: int = K.GBT_SEED, validation_tol: float = 0.01,
                    validation_col: str | None = "is_validation") -> Pipeline:
     """M7 + G1 (encoding: target / onehot / label) + G2 (scaling: standard /
-    minmax / robust) + G3 (``max_features`` by F-test) + G5 (hashed pairwise
-    interactions of the categoricals, ``interaction_features`` buckets)."""
-    idx = [f"{c}__idx" for c in categorical]
-    stages = [StringIndexer(inputCols=categorical, outputCols=idx, handleInvalid="keep")]
+    minmax / robust) + G3 (``max_features`` by F-test) + G5 (hashed
+    pairwise interactions of the categoricals, ``interaction_features`` buckets; the frame
+    holds one column per pair, see :func:`with_pairs`)."""
+    stages = []
     if encoding == "target":
-        enc = [f"{c}__te" for c in categorical]
-        stages.append(TargetEncoder(inputCols=idx, outputCols=enc, labelCol="label", targetType="continuous",
-                                    handleInvalid="keep", smoothing=10.0))
-        # the encodings keep the indexer's nominal metadata; arithmetic drops it so
-        # the trees treat them as continuous (no maxBins limit on cardinality)
-        plain = [f"{c}__num" for c in categorical]
-        stages.append(SQLTransformer(statement="SELECT *, " + ", ".join(
-            f"{e} + 0.0 AS {n}" for e, n in zip(enc, plain)) + " FROM __THIS__"))
-        enc = plain
-    elif encoding == "onehot":
-        enc = [f"{c}__oh" for c in categorical]
-        stages.append(OneHotEncoder(inputCols=idx, outputCols=enc, handleInvalid="keep"))
-    else:  # label
+        enc = [f"{c}__te" for c in categorical]  # joined by TargetEncodings before the pipeline
+    else:
+        idx = [f"{c}__idx" for c in categorical]
+        stages.append(StringIndexer(inputCols=categorical, outputCols=idx, handleInvalid="keep"))
         enc = idx
+        if encoding == "onehot":
+            enc = [f"{c}__oh" for c in categorical]
+            stages.append(OneHotEncoder(inputCols=idx, outputCols=enc, handleInvalid="keep"))
     inputs = enc + numeric
     if interaction_features:
-        stages.append(FeatureHasher(inputCols=categorical, outputCol="interactions",
+        stages.append(FeatureHasher(inputCols=pair_columns(categorical), outputCol="interactions",
                                     numFeatures=interaction_features))
         inputs = inputs + ["interactions"]
     stages.append(VectorAssembler(inputCols=inputs, outputCol="raw_features", handleInvalid="keep"))
@@ -81,6 +79,58 @@ def model_stages(categorical: list[str], numeric: list[str], encoding: str = "ta
     return Pipeline(stages=stages)
 
 
+def pair_columns(categorical: list[str]) -> list[str]:
+    return [f"{a}__x__{b}" for i, a in enumerate(categorical) for b in categorical[i + 1:]]
+
+
+def with_pairs(df: DataFrame, categorical: list[str]) -> DataFrame:
+    """One text column for every pair of categorical columns."""
+    return df.withColumns({f"{a}__x__{b}": F.concat_ws("\u0001", F.col(a), F.col(b))
+                           for i, a in enumerate(categorical) for b in categorical[i + 1:]})
+
+
+@dataclass
+class TargetEncodings:
+    """Smoothed mean label per (column, value), as a table; values not seen in training get the overall mean."""
+
+    table: DataFrame  # column_name, value, encoded
+    prior: float
+
+    @staticmethod
+    def fit(train: DataFrame, categorical: list[str], smoothing: float = 10.0) -> "TargetEncodings":
+        from giftlens.session import cut_lineage
+        prior = train.agg(F.avg("label")).first()[0] or 0.0  # one number
+        cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).alias("value")) for c in categorical]))
+        table = (train.select("label", cells.alias("x")).groupBy("x.column_name", "x.value")
+                 .agg(F.sum("label").alias("s"), F.count("label").alias("n"))
+                 .select("column_name", "value", ((F.col("s") + prior * smoothing) / (F.col("n") + smoothing)).alias("encoded")))
+        return TargetEncodings(cut_lineage(table), prior)
+
+    def apply(self, df: DataFrame, categorical: list[str]) -> DataFrame:
+        """Adds ``<column>__te`` to every row: one equi-join per column (AQE broadcasts the small ones)."""
+        for c in categorical:
+            t = self.table.filter(F.col("column_name") == c).select(F.col("value").alias(c), F.col("encoded").alias(f"{c}__te"))
+            df = df.join(t, c, "left").withColumn(f"{c}__te", F.coalesce(f"{c}__te", F.lit(self.prior)))
+        return df
+
+
+@dataclass
+class RateModel:
+    """A fitted pipeline with the encodings that its input needs."""
+
+    pipeline: PipelineModel
+    categorical: list[str]
+    encodings: TargetEncodings | None
+    pairs: bool = False
+
+    def transform(self, frame: DataFrame) -> DataFrame:
+        if self.pairs:
+            frame = with_pairs(frame, self.categorical)
+        if self.encodings is not None:
+            frame = self.encodings.apply(frame, self.categorical)
+        return self.pipeline.transform(frame)
+
+
 def typed_features(df: DataFrame, cols: list[str]) -> list:
     """P5: categoricals as strings (null -> NONE), numerics parsed (bad -> 0)."""
     from giftlens.functions.cleaning import lenient_double
@@ -101,51 +151,66 @@ def model_frame(featured: DataFrame) -> tuple[DataFrame, list[str], list[str]]:
     return out, cat, num
 
 
-def train_model(train: DataFrame, validation: DataFrame, **params) -> tuple[PipelineModel, DataFrame]:
+def train_model(train: DataFrame, validation: DataFrame, **params) -> tuple[RateModel, DataFrame]:
     """M7: fit on ``train`` with early stopping on ``validation``; returns the
     model and the validation predictions (clamped to [0, 1])."""
+    from giftlens.session import cut_lineage
     t = train.withColumn("is_validation", F.lit(False))
     v = validation.withColumn("is_validation", F.lit(True))
     data, cat, num = model_frame(t.unionByName(v))
-    model = model_stages(cat, num, **params).fit(data)
+    data = cut_lineage(data)  # the encodings, the fit and the predictions read it
+    pairs = bool(params.get("interaction_features"))
+    encodings = None
+    if params.get("encoding", "target") == "target":
+        encodings = TargetEncodings.fit(data.filter(~F.col("is_validation")), cat)
+    encoded = with_pairs(data, cat) if pairs else data
+    encoded = cut_lineage(encodings.apply(encoded, cat)) if encodings else encoded
+    model = RateModel(model_stages(cat, num, **params).fit(encoded), cat, encodings, pairs)
     preds = predict(model, data.filter(F.col("is_validation")))
     return model, preds
 
 
-def predict(model: PipelineModel, frame: DataFrame) -> DataFrame:
+def predict(model: RateModel, frame: DataFrame) -> DataFrame:
     """M8 core: model rate clamped to [0, 1] (P19) and the expected count."""
     out = model.transform(frame)
     rate = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("prediction")))
     return out.withColumn("predicted_rate", rate).withColumn("expected_count", rate * F.col("exposure"))
 
 
-def save_model(model: PipelineModel, path: str, metrics: dict, features: list[str],
+def save_model(model: RateModel, path: str, metrics: dict, features: list[str],
                categorical: list[str], spark: SparkSession) -> None:
     """Pipeline + one-row JSON metadata (type, target, loss, time,
     features, categoricals, metrics)."""
-    model.write().overwrite().save(f"{path}/model")
+    model.pipeline.write().overwrite().save(f"{path}/model")
+    if model.encodings is not None:
+        model.encodings.table.write.mode("overwrite").parquet(f"{path}/encodings")
     meta = {"model_type": "GBTRegressor (RMSE)", "target": TARGET, "loss_function": "RMSE",
             "architecture": "target-encoded categoricals, boosted trees (squared loss) on selection rate",
             "training_timestamp": _dt.datetime.now(_dt.timezone.utc).isoformat(),
             "features_used": features, "categorical_features": categorical,
+            "model_columns": model.categorical, "pairs": model.pairs,
+            "prior": model.encodings.prior if model.encodings is not None else None,
             "performance_metrics": json.dumps(metrics)}
     spark.createDataFrame([meta]).coalesce(1).write.mode("overwrite").json(f"{path}/metadata")
 
 
-def load_model(path: str, spark: SparkSession) -> tuple[PipelineModel | None, dict]:
+def load_model(path: str, spark: SparkSession) -> tuple[RateModel | None, dict]:
     """(model, metadata); (None, {}) when nothing is stored — callers then
     score with the rules (M9)."""
     try:
-        model = PipelineModel.load(f"{path}/model")
+        pipeline = PipelineModel.load(f"{path}/model")
         meta = spark.read.json(f"{path}/metadata").first().asDict()
-        return model, meta
     except (AnalysisException, Py4JJavaError) as e:
         if not any(x in str(e) for x in ("PATH_NOT_FOUND", "Input path does not exist", "does not exist")):
             raise  # a stored but broken model is an error, not a reason to fall back
         return None, {}
+    encodings = None
+    if meta.get("prior") is not None:
+        encodings = TargetEncodings(spark.read.parquet(f"{path}/encodings"), float(meta["prior"]))
+    return RateModel(pipeline, list(meta["model_columns"]), encodings, bool(meta.get("pairs"))), meta
 
 
-def model_info(spark: SparkSession, model: PipelineModel | None, meta: dict) -> DataFrame:
+def model_info(spark: SparkSession, model: RateModel | None, meta: dict) -> DataFrame:
     """One-row summary of the loaded model."""
     row = {"model_loaded": model is not None, "model_type": meta.get("model_type", "rules"),
            "target": meta.get("target", TARGET), "training_timestamp": meta.get("training_timestamp", "Unknown"),
@@ -155,7 +220,7 @@ def model_info(spark: SparkSession, model: PipelineModel | None, meta: dict) ->
     return spark.createDataFrame([row])
 
 
-def score_requests(requests: DataFrame, model: PipelineModel | None, company_stats: DataFrame | None = None,
+def score_requests(requests: DataFrame, model: RateModel | None, company_stats: DataFrame | None = None,
                    shop_map: DataFrame | None = None) -> DataFrame:
     """M8 + M10 + J12: per requested gift and gender build the feature row
     (gift attributes from its description, company features from stored
@@ -222,3 +287,23 @@ def grid_search(featured: DataFrame, folds: DataFrame, grid: list[dict], n_folds
             rows.append((i, json.dumps(params, sort_keys=True), k, r2))
     df = spark.createDataFrame(rows, "grid_index int, params string, fold int, r2 double")
     return df.groupBy("grid_index", "params").agg(F.avg("r2").alias("cv_r2_mean"), F.count(F.lit(1)).alias("folds"))
+
+
+def cross_validate(featured: DataFrame, folds: DataFrame, n_folds: int = K.CV_FOLDS, **params) -> DataFrame:
+    """M5 + A21: per company fold the metrics of the model trained on the other
+    folds, with company features recomputed from those alone. The loop is over
+    the few folds; every fit and metric is a Spark job. Empty folds are skipped."""
+    from giftlens.operators.features import company_features
+    from giftlens.operators.quality import regression_metrics
+    base = featured.drop(*[c for c in K.COMPANY_FEATURE_COLUMNS if c in featured.columns]).join(folds, "company_cvr")
+    out = None
+    for k in range(n_folds):
+        train = base.filter(F.col("fold") != k).drop("fold")
+        val = base.filter(F.col("fold") == k).drop("fold")
+        if not val.limit(1).count():
+            continue
+        _, preds = train_model(company_features(train), company_features(val, source=train), **params)
+        m = regression_metrics(preds.select(F.col("label").alias("y"), F.col("predicted_rate").alias("p")))
+        m = m.select(F.lit(k).alias("fold"), *m.columns)
+        out = m if out is None else out.unionByName(m)
+    return out

@@ -49,3 +49,28 @@ def test_grid_search_over_company_folds(spark, parts):
     tf, _, _ = parts
     out = M.grid_search(tf, SP.cv_folds(tf), [{"max_depth": 2}, {"max_depth": 3}], max_iter=2).collect()
     assert len(out) == 2 and all(r.folds >= 1 for r in out)
+
+
+def test_cross_validation_scores_the_model(spark, parts):
+    tf, _, _ = parts
+    out = M.cross_validate(tf, SP.cv_folds(tf), max_iter=2).collect()
+    assert sorted(r.fold for r in out) == sorted({r.fold for r in SP.cv_folds(tf).select("fold").distinct().collect()})
+    assert all(r.n > 0 and r.r2 is not None for r in out)
+
+
+def test_encodings_are_smoothed_training_means(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", 0.0), ("b", 1.0)], "k string, label double")
+    e = M.TargetEncodings.fit(df, ["k"], smoothing=2.0)
+    got = {r.k: r.k__te for r in e.apply(spark.createDataFrame([("a",), ("b",), ("new",)], "k string"), ["k"]).collect()}
+    prior = 2 / 3
+    assert got == pytest.approx({"a": (1 + 2 * prior) / 4, "b": (1 + 2 * prior) / 3, "new": prior})
+
+
+def test_a_gift_listed_twice_keeps_both_rows(spark, parts):
+    _, train, val = parts
+    model, _ = M.train_model(train, val, max_iter=2)
+    req = spark.createDataFrame([("r1", "10000001", 3, 4, "1", "pizza oven")] * 2,
+                                "request_id string, cvr string, male_count int, female_count int, "
+                                "product_id string, description string")
+    rows = M.score_requests(req, model, FE.company_stats(train)).collect()
+    assert len(rows) == 2 and all(r.total_exposure == 7 for r in rows)

@@ -208,6 +208,8 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
     sample = pa.schema([("doc_id", pa.int64()), ("label", pa.int32()), ("text", pa.string())])
     # the bounded sample meets in one task, away from the driver; only the folded table comes back
     one = rows.repartition(1).mapInArrow(learn, "weights binary, bias double, labelled long").first()
+    if one is None:  # no document has one of the labels
+        return ToxicityModel(np.zeros(BUCKETS), -20.0)
     return ToxicityModel(np.frombuffer(bytes(one["weights"]), "<f8"), one["bias"], one["labelled"])
 
 

@@ -51,7 +51,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group of near duplicates the document with the smallest id (3-word shingles, similarity 0.85)."""
+    """Keeps of each group of near duplicates the document with the smallest id (5-word shingles, similarity 0.8)."""
     docs = _documents(docs)
     kept = near_duplicates(docs).where("kept").select("doc_id").distinct()
     return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi").select(*COLUMNS)

@@ -26,9 +26,9 @@ from . import blocks as B
 from .checkpoints import written
 from .components import components
 
-SHINGLE = 3
-#: Bands x rows: a pair with similarity 0.85 shares no band with probability (1 - 0.85**6)**40 < 1e-8.
-BANDS, ROWS = 40, 6
+SHINGLE, PERCENT = 5, 80
+#: Bands x rows: a pair with similarity 0.8 shares no band with probability (1 - 0.8**5)**48 < 1e-8.
+BANDS, ROWS = 48, 5
 CELL = 1024
 _BASE = 0xD6E8FEB86659FD93
 
@@ -155,7 +155,7 @@ def link_cell(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, perce
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
-                    percent: int = 85, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+                    percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row per input row: ``doc_id``, ``n_shingles``, ``component_id`` (smallest id reachable by links) and ``kept``.
 
     Two documents are linked if 100 * common shingles >= ``percent`` * all

@@ -127,7 +127,7 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_minhash_dedup")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .minhash_dedup import near_duplicates
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85)
 
 
 @query("op10_suffix_dedup")

@@ -153,7 +153,7 @@ def test_near_duplicates_equal_brute_force(docs_of, rows, monkeypatch, size):
     small_blocks(monkeypatch, size)
     monkeypatch.setattr(minhash_dedup, "CELL", 4)
     got = Counter((r.doc_id, r.n_shingles, r.component_id, r.kept)
-                  for r in near_duplicates(docs_of(rows, ["rep", "node", "component"])).collect())
+                  for r in near_duplicates(docs_of(rows, ["rep", "node", "component"]), shingle=3, percent=85).collect())
     sets = [(i, shingles(t)) for i, t in rows]
     label = {i: i for i, _ in sets}
     while True:
@@ -170,7 +170,7 @@ def test_near_duplicates_equal_brute_force(docs_of, rows, monkeypatch, size):
 def test_near_duplicates_null_ids_empty_table_and_shared_ids(docs_of):
     assert near_duplicates(docs_of([])).collect() == []
     rows = [(None, "a b c d"), (5, "a b c d"), (5, "p q r s"), (3, "p q r s"), (9, None)]
-    got = {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_duplicates(docs_of(rows)).collect()}
+    got = {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_duplicates(docs_of(rows), shingle=3).collect()}
     assert got == {(None, 2, None, True), (5, 2, 3, False), (3, 2, 3, True), (9, 0, 9, True)}
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BLOCK_BYTES = 16 << 20
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 PACKED = "block int, payload binary"
 ROUTED = "bucket int, block int, payload binary"
 REPLY = "block int, payload binary"
@@ -70,10 +70,13 @@ def pack_blocks(docs: DataFrame, id_col: str, columns: list[str], blocks: int) -
     return keyed.mapInArrow(pack, PACKED).repartition(parts, "block")
 
 
+_ZSTD = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=2))
+
+
 def to_payload(table: pa.Table) -> bytes:
     sink = pa.BufferOutputStream()
     table = table.combine_chunks()
-    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+    with pa.ipc.new_stream(sink, table.schema, options=_ZSTD) as out:
         out.write_table(table)
     return sink.getvalue().to_pybytes()
 

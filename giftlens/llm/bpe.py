@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from .blocks import one_array
 
 #: Text taken together, and distinct words remembered, before results go out.
-FLUSH_CHARS = 5 << 20
-MAX_WORDS = 400_000
+FLUSH_CHARS = 4 << 20
+MAX_WORDS = 300_000
 
 # ---- FIXED VALUES: word pattern and byte alphabet of the vocabulary's pre-tokenizer ----
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
@@ -289,6 +289,7 @@ def batches_of(stream, chars: int = FLUSH_CHARS):
             if size >= chars:
                 yield pa.Table.from_batches(held)
                 held, size = [], 0
+                pa.default_memory_pool().release_unused()
     if held:
         yield pa.Table.from_batches(held)
 

@@ -307,3 +307,51 @@ def cross_validate(featured: DataFrame, folds: DataFrame, n_folds: int = K.CV_FO
         m = m.select(F.lit(k).alias("fold"), *m.columns)
         out = m if out is None else out.unionByName(m)
     return out
+
+
+def fit_poisson(train: DataFrame, validation: DataFrame, reg_param: float = 0.1, max_iter: int = 25,
+                eps: float = 1e-8):
+    """Poisson regression of the selection count with ln(exposure) as offset, on log target
+    encodings. Returns (model, encodings, validation rows with ``label`` (count) and ``expected_count``)."""
+    from pyspark.ml.regression import GeneralizedLinearRegression
+
+    from giftlens.operators.features import log_exposure
+    from giftlens.session import cut_lineage
+    both = train.withColumn("is_validation", F.lit(False)).unionByName(validation.withColumn("is_validation", F.lit(True)))
+    data, cat, num = model_frame(both)
+    data = data.withColumn("rate", F.col("label")).withColumn("label", F.round(F.col("rate") * F.col("exposure")))
+    # without exposure there is nothing to count
+    data = cut_lineage(log_exposure(data.filter(F.col("exposure") > 0), eps))
+    encodings = TargetEncodings.fit(data.filter(~F.col("is_validation")).withColumn("label", F.col("rate")), cat)
+    data = encodings.apply(data, cat)
+    # log rates are linear in log encodings: the link's own scale
+    data = data.withColumns({f"{c}__te": F.log(F.greatest(F.col(f"{c}__te"), F.lit(1e-3))) for c in cat})
+    inputs = [f"{c}__te" for c in cat]
+    glm = GeneralizedLinearRegression(family="poisson", link="log", featuresCol="features", labelCol="label",
+                                      offsetCol="log_exposure", regParam=reg_param, maxIter=max_iter)
+    pipeline = Pipeline(stages=[VectorAssembler(inputCols=inputs, outputCol="raw_features", handleInvalid="keep"),
+                                StandardScaler(inputCol="raw_features", outputCol="features"), glm])
+    model = pipeline.fit(data.filter(~F.col("is_validation")))
+    scored = model.transform(data.filter(F.col("is_validation"))).withColumn("expected_count", F.col("prediction"))
+    return model, encodings, scored
+
+
+def feature_scores(frame: DataFrame, columns: list[str], label: str = "label", bins: int = 8) -> DataFrame:
+    """Chi-square and mutual information (natural log) between each categorical column and the label cut at its
+    quantiles: (feature, chi2, mutual_information, n). Counts per (feature, value, bin) are one aggregate over
+    all columns; the cut points are the only numbers that come back."""
+    cuts = sorted(set(frame.approxQuantile(label, [k / bins for k in range(1, bins)], 0.001)))
+    y = sum([(F.col(label) > c).cast("int") for c in cuts], F.lit(0))
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.coalesce(F.col(c).cast("string"), F.lit(K.MISSING))
+                                         .alias("value")) for c in columns]))
+    joint = (frame.select(y.alias("bin"), cells.alias("x")).groupBy("x.feature", "x.value", "bin")
+             .agg(F.count(F.lit(1)).cast("double").alias("n_xy")))
+    by_value = joint.groupBy("feature", "value").agg(F.sum("n_xy").alias("n_x"))
+    by_bin = joint.groupBy("feature", "bin").agg(F.sum("n_xy").alias("n_y"))
+    total = joint.groupBy("feature").agg(F.sum("n_xy").alias("n"))
+    j = joint.join(by_value, ["feature", "value"]).join(by_bin, ["feature", "bin"]).join(total, "feature")
+    expected = F.col("n_x") * F.col("n_y") / F.col("n")
+    # cells without rows add their expected count: sum over all cells of (o - e)^2 / e = sum over o of o^2 / e, minus n
+    return (j.groupBy("feature").agg((F.sum(F.col("n_xy") * F.col("n_xy") / expected) - F.max("n")).alias("chi2"),
+                                     F.sum(F.col("n_xy") / F.col("n") * F.log(F.col("n_xy") / expected))
+                                     .alias("mutual_information"), F.max("n").cast("long").alias("n")))

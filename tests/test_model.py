@@ -74,3 +74,24 @@ def test_a_gift_listed_twice_keeps_both_rows(spark, parts):
                                 "product_id string, description string")
     rows = M.score_requests(req, model, FE.company_stats(train)).collect()
     assert len(rows) == 2 and all(r.total_exposure == 7 for r in rows)
+
+
+def test_poisson_with_exposure_offset(spark, parts):
+    _, train, val = parts
+    _, _, scored = M.fit_poisson(train, val)
+    r = scored.agg(F.sum("label").alias("y"), F.sum("expected_count").alias("p"), F.min("expected_count").alias("lo")).first()
+    assert r.lo >= 0 and r.y > 0 and 0.2 < r.p / r.y < 5
+
+
+def test_feature_scores_equal_formulas(spark):
+    import math
+    from collections import Counter
+    rows = [("a", "p", 0.0), ("a", "q", 0.0), ("a", "p", 1.0), ("b", "q", 1.0), ("b", "p", 1.0), (None, "q", 0.0), ("b", "p", 0.0)]
+    got = {r.feature: r for r in M.feature_scores(spark.createDataFrame(rows, "f string, g string, label double"), ["f", "g"], bins=2).collect()}
+    for k, name in enumerate(("f", "g")):
+        n, cut = len(rows), 0.0
+        xy = Counter((r[k], r[2] > cut) for r in rows)
+        x, y = Counter(r[k] for r in rows), Counter(r[2] > cut for r in rows)
+        chi2 = sum((xy[a, b] - x[a] * y[b] / n) ** 2 / (x[a] * y[b] / n) for a in x for b in y)
+        mi = sum(c / n * math.log(c * n / (x[a] * y[b])) for (a, b), c in xy.items())
+        assert got[name].chi2 == pytest.approx(chi2) and got[name].mutual_information == pytest.approx(mi) and got[name].n == n

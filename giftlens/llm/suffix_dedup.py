@@ -255,7 +255,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             x, y = state["x"], state["y"]
             hit = np.isin(state["run"], one(table, DATA).astype(np.int64))
             follows = np.append((x[1:] == y[:-1] + 1) & hit[1:], False) if len(x) else hit
-            settled = (hit & follows) | (x == y)
+            settled = hit & (follows | (x == y))  # a window that the sort did not find may repeat inside a stretch
             grams_, _ = counted(state["g"])
             open_ = B.unique_sorted(state["g"][~settled])
             edges = [(b << 48) // n for b in range(1, n)]

@@ -97,6 +97,22 @@ def test_suffixes_equal_brute_force(docs_of, rows, monkeypatch, size):
     assert got == want
 
 
+def test_partial_quotes_of_copies_equal_brute_force(docs_of):
+    length, rows = 24, []
+    for seed in range(2500):  # two copies and a quote from their middle; texts of different seeds share nothing
+        rng = random.Random(seed)
+        text = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
+        copy = text(rng.randint(50, 120))
+        at = rng.randint(1, len(copy) - length - 1)
+        quote = copy[at:at + rng.randint(length, length + 12)]
+        rows += [(3 * seed, copy), (3 * seed + 1, copy), (3 * seed + 2, text(30) + quote + text(30))]
+    got = {r.doc_id: bytes(r.kept).decode() for r in remove_repeats(docs_of(rows), length=length, gram=6).collect()}
+    count = Counter(t[k:k + length] for _, t in rows for k in range(len(t) - length + 1))
+    for i, t in rows:
+        gone = {j for k in range(len(t) - length + 1) if count[t[k:k + length]] > 1 for j in range(k, k + length)}
+        assert got[i] == "".join(c for j, c in enumerate(t) if j not in gone), i
+
+
 def test_suffixes_of_empty_table_and_carried_columns(docs_of):
     assert remove_repeats(docs_of([])).collect() == []
     r = remove_repeats(docs_of([(1, "ab")]), carry=["lang", "source"]).first()

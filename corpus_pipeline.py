@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from giftlens.llm import queries
-from giftlens.llm.checkpoints import shared_dir, written
+from giftlens.llm.checkpoints import shared_dir, stored, written
 from giftlens.llm.minhash_dedup import near_duplicates
 from giftlens.llm.packing import pack, token_pieces
 from giftlens.llm.quality_rules import base_failed, decision_list, learn_rules, text_statistics
@@ -51,10 +51,17 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group of near duplicates the document with the smallest id (5-word shingles, similarity 0.8)."""
-    docs = _documents(docs)
-    kept = near_duplicates(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi").select(*COLUMNS)
+    """Keeps of each group of near duplicates the row with the smallest id (5-word shingles, similarity 0.8).
+
+    Rows are compared by a number of their own, so of a repeated row one stays,
+    rows with one id and different texts are different documents, and a null id
+    (the last in order) has duplicates like any other.
+    """
+    docs = stored(_documents(docs).withColumn("row", F.monotonically_increasing_id()))
+    groups = near_duplicates(docs, id_col="row").select("row", "component_id").join(docs.select("row", "doc_id"), "row")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
+    kept = groups.groupBy("component_id").agg(first).select("first.row")
+    return docs.join(kept, "row", "left_semi").select(*COLUMNS)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -74,3 +74,16 @@ def test_run_on_small_tables_and_empty_input(spark):
     docs = queries.table(spark, SMALL, "documents").where("false")
     for _, stage in P.STAGES:
         assert stage(spark, docs, SMALL).collect() == []
+
+
+def test_repeated_rows_are_packed_once(spark, tmp_path):
+    rng = random.Random(8)
+    text = lambda: " ".join("".join(rng.choice("abdeghilmnoprstu") for _ in range(6)) for _ in range(90))
+    a, b, c, d = (text() for _ in range(4))  # each has more than 400 bytes
+    rows = [(1, a), (1, a), (2, b), (2, c), (None, d), (None, d), (3, a)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    for name, stage in P.STAGES[2:]:
+        docs = stage(spark, docs, str(tmp_path))
+        if name == "near_dedup":
+            assert sorted((r.doc_id or 0, r.text) for r in docs.collect()) == sorted([(1, a), (2, b), (2, c), (0, d)])
+    assert sorted(r.doc_id or 0 for r in docs.collect()) == [0, 1, 2, 2] and docs.where("length < 50").count() == 0

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from giftlens.llm import queries
-from giftlens.llm.checkpoints import shared_dir, stored, written
+from giftlens.llm.checkpoints import shared_dir, stored
 from giftlens.llm.minhash_dedup import near_duplicates
 from giftlens.llm.packing import pack, token_pieces
 from giftlens.llm.quality_rules import base_failed, decision_list, learn_rules, text_statistics
@@ -30,16 +30,13 @@ def _documents(docs: DataFrame) -> DataFrame:
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents that pass the base limits and no rule of the learned decision list rejects.
 
-    Null and empty texts fail the base limits. Rows that share an id are judged
-    together: the id goes if any of them fails. Rows with a null id cannot be
-    told apart by id and are left out.
+    Null and empty texts fail the base limits. Every row is judged by its own
+    text, whatever its id.
     """
     docs = _documents(docs)
-    stats = written(text_statistics(docs))
+    stats = stored(text_statistics(docs.withColumn("row", F.struct(*COLUMNS)), carry=("row",)))
     rules = learn_rules(stats, queries.table(spark, sf_dir, "labels"))
-    kept = (stats.where(F.col("doc_id").isNotNull()).withColumn("good", ~base_failed() & (decision_list(rules) == 0))
-            .groupBy("doc_id").agg(F.every("good").alias("good")).where("good").select("doc_id"))
-    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    return stats.where(~base_failed() & (decision_list(rules) == 0)).select("row.*")
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

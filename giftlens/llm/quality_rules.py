@@ -32,9 +32,9 @@ def _without(text: Column, chars: str) -> Column:
     return F.length(F.translate(text, chars, ""))
 
 
-def text_statistics(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+def text_statistics(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", carry: tuple[str, ...] = ()) -> DataFrame:
     """Per row: the id, ``n_words`` and base counts (``word_chars``, ``n_symbols``, ``n_dup_lines``,
-    ``n_repeat_words``), further counts, and the ratios of ``FEATURES``.
+    ``n_repeat_words``), further counts, the ratios of ``FEATURES``, and the columns of ``carry``.
 
     Words are ``[^\\x20\\x09-\\x0D]+``. ``n_repeat_words`` counts words in
     three-word windows that occur at least twice in the text: 36-bit hashes
@@ -42,8 +42,8 @@ def text_statistics(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     A null or empty text has no words and all counts zero.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
-    rows = rows.select("doc_id", "text", F.array_remove(F.split("text", r"[\x20\x09-\x0D]+"), "").alias("words"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), *carry)
+    rows = rows.select("doc_id", *carry, "text", F.array_remove(F.split("text", r"[\x20\x09-\x0D]+"), "").alias("words"))
     place = (1 << _POSITION_BITS) - 1
     word = lambda i: F.get("words", i)
     spots = F.when(F.size("words") >= 4, F.sequence(F.lit(0), F.size("words") - 3)).otherwise(
@@ -53,7 +53,7 @@ def text_statistics(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
         .bitwiseOR(i.cast("long")))
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     rows = rows.select(
-        "doc_id", "words", F.size("words").cast("long").alias("n_words"), F.length("text").alias("chars"),
+        "doc_id", *carry, "words", F.size("words").cast("long").alias("n_words"), F.length("text").alias("chars"),
         _without(F.col("text"), SPACES).cast("long").alias("word_chars"),
         (F.length("text") - _without(F.col("text"), SYMBOLS)).cast("long").alias("n_symbols"),
         (F.length("text") - _without(F.col("text"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ")).alias("n_capitals"),
@@ -72,7 +72,7 @@ def text_statistics(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     steps = F.transform("starts", lambda s, k: F.when(k == 0, F.lit(3).cast("long")).otherwise(
         F.least(F.lit(3).cast("long"), s - F.get("starts", k - 1))))
     rows = rows.select(
-        "doc_id", "n_words", "chars", "word_chars", "n_symbols", "n_capitals", "n_exclaims", "n_distinct",
+        "doc_id", *carry, "n_words", "chars", "word_chars", "n_symbols", "n_capitals", "n_exclaims", "n_distinct",
         F.size("lines").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.aggregate(steps, F.lit(0).cast("long"), lambda a, x: a + x).alias("n_repeat_words"))

@@ -87,3 +87,14 @@ def test_repeated_rows_are_packed_once(spark, tmp_path):
         if name == "near_dedup":
             assert sorted((r.doc_id or 0, r.text) for r in docs.collect()) == sorted([(1, a), (2, b), (2, c), (0, d)])
     assert sorted(r.doc_id or 0 for r in docs.collect()) == [0, 1, 2, 2] and docs.where("length < 50").count() == 0
+
+
+def test_quality_judges_each_row_by_its_own_text(spark, folder):
+    top, rows, labels, _ = folder
+    clean = [rows[k][1] for k in (0, 3, 4, 5, 9)]
+    given = [(None, clean[0]), (None, clean[1]), (None, "short"), (800, clean[2]), (800, "short"), (801, clean[3]), (801, None),
+             (802, clean[4])]
+    docs = queries.table(spark, top, "documents").select(*P.COLUMNS).unionByName(spark.createDataFrame(
+        [(i, t, "en", "s", 1) for i, t in given], "doc_id long, text string, lang string, source string, n_chars long"))
+    out = P.quality(spark, docs, top).where("doc_id IS NULL OR doc_id >= 800").collect()
+    assert sorted((r.doc_id or 0, r.text) for r in out) == sorted((i or 0, t) for i, t in given if t in clean)

@@ -82,8 +82,11 @@ def _valid(kept):
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the remaining documents into sequences of at most 4096 tokens; one row per piece."""
-    pieces = token_pieces(_documents(docs).where(F.length("text") > 0), queries.vocabulary())
+    """Packs the remaining documents into sequences of at most 4096 tokens; one row per piece.
+
+    An empty text is one piece, its end id.
+    """
+    pieces = token_pieces(_documents(docs), queries.vocabulary())
     return pack(pieces, ["doc_id", "start"])
 
 

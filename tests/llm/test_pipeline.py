@@ -98,3 +98,11 @@ def test_quality_judges_each_row_by_its_own_text(spark, folder):
         [(i, t, "en", "s", 1) for i, t in given], "doc_id long, text string, lang string, source string, n_chars long"))
     out = P.quality(spark, docs, top).where("doc_id IS NULL OR doc_id >= 800").collect()
     assert sorted((r.doc_id or 0, r.text) for r in out) == sorted((i or 0, t) for i, t in given if t in clean)
+
+
+def test_documents_without_text_left_are_packed(spark, docs_of):
+    rng = random.Random(9)
+    passage = "".join(rng.choice("abdeghilmnoprstu ") for _ in range(500))
+    docs = P.suffix_dedup(spark, docs_of([(1, passage), (2, "before " + passage), (3, "a text of its own"), (4, None)]), "")
+    last = P.packing(spark, docs, "").collect()
+    assert {r.doc_id for r in last} == {1, 2, 3, 4} and {r.doc_id for r in last if r.length == 1} == {1, 4}

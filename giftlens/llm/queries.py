@@ -119,9 +119,9 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_kneser_ney")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .checkpoints import written
-    from .kneser_ney import classify, perplexities
+    from .kneser_ney import classify, word_perplexities
     trusted = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
-    return classify(written(perplexities(table(spark, sf_dir, "documents"), trusted)))
+    return classify(written(word_perplexities(table(spark, sf_dir, "documents"), trusted)))
 
 
 @query("op9_minhash_dedup")

@@ -6,9 +6,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from giftlens.llm import ann
+from giftlens.llm import ann, queries
 from giftlens.llm import blocks as B
-from giftlens.llm.kneser_ney import CALIBRATE, Lookup, byte_grams, classify, perplexities
+from giftlens.llm.kneser_ney import CALIBRATE, Lookup, byte_grams, classify, perplexities, word_perplexities
 
 
 def brute_force(rows, training, order):
@@ -146,3 +146,48 @@ def test_neighbours_of_few_equal_or_no_rows(spark):
     got = sorted(tuple(r) for r in ann.nearest(same, k=3, query_filter="vec_id < 2").collect())
     assert got == [(0, 1, 1, 5.0), (0, 2, 2, 5.0), (0, 3, 3, 5.0), (1, 1, 0, 5.0), (1, 2, 2, 5.0), (1, 3, 3, 5.0)]
     assert len(ann.nearest(same.where("vec_id < 2"), k=20).collect()) == 2
+
+
+def test_word_perplexities_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(B, "block_count", lambda docs, col, block_bytes=0, f=B.block_count: f(docs, col, 300))
+    rng = random.Random(7)
+    word = lambda: rng.choice(["the", "gift", "of", "Ünï", "shop", "a", "日本"] + ["w%d" % k for k in range(30)])
+    rows = [(k, "  ".join(word() for _ in range(rng.randint(1, 12))), rng.choice(["en", "de", None])) for k in range(60)]
+    rows += [(100, None, "en"), (101, " \n", "en"), (102, "x y " * 40, "en"), (None, "the gift", "de"), (103, "alone here", "fr")]
+    trusted = spark.createDataFrame([(k,) for k in range(40)], "doc_id long")
+    got = word_perplexities(spark.createDataFrame(rows, "doc_id long, text string, lang string"), trusted).collect()
+    training = {r.doc_id for r in got if r.part == "train"}
+
+    def model(lang):
+        top = Counter()
+        for i, t, x in rows:
+            if x == lang and i in training:
+                w = ["", "", *t.split()]
+                top.update(zip(w, w[1:], w[2:]))
+        levels = {3: top, 2: Counter(g[1:] for g in top)}
+        levels[1] = Counter(g[1:] for g in levels[2])
+
+        def p(g):
+            if not g:
+                return 1 / (len(levels[1]) + 1)
+            level = levels[len(g)]
+            by = [c for h, c in level.items() if h[:-1] == g[:-1]]
+            if not by:
+                return p(g[1:])
+            n = [sum(1 for c in level.values() if c == j) for j in (1, 2, 3, 4)]
+            y = n[0] / (n[0] + 2 * n[1]) if n[0] + 2 * n[1] else 0
+            d = [min(max(j - (j + 1) * y * n[j] / n[j - 1] if n[0] and n[j - 1] else 0.5 * j, 0.1), 0.95 * j) for j in (1, 2, 3)]
+            take = lambda c: d[min(c, 3) - 1] if c else 0
+            return (level[g] - take(level[g])) / sum(by) + sum(map(take, by)) / sum(by) * p(g[1:])
+        return p
+
+    models = {lang: model(lang) for lang in {x for _, _, x in rows}}
+    want = {}
+    for i, t, lang in rows:
+        w = ["", "", *(t or "").split()]
+        logs = [math.log(models[lang](g)) for g in zip(w, w[1:], w[2:])]
+        want[i] = math.exp(-sum(logs) / len(logs)) if logs else None
+    assert len(got) == len(rows)
+    for r in got:
+        assert (r.perplexity is None) == (want[r.doc_id] is None) and (
+            r.perplexity is None or abs(r.perplexity / want[r.doc_id] - 1) < 1e-4), (r, want[r.doc_id])

@@ -191,3 +191,28 @@ def test_word_perplexities_equal_brute_force(spark, monkeypatch):
     for r in got:
         assert (r.perplexity is None) == (want[r.doc_id] is None) and (
             r.perplexity is None or abs(r.perplexity / want[r.doc_id] - 1) < 1e-4), (r, want[r.doc_id])
+
+
+def test_word_order_counts_in_the_query(spark, tmp_path):
+    rng = random.Random(3)
+    # words that begin and end alike: five bytes never see which word follows which
+    kinds = [["be%sing" % "".join(rng.choice("klmnoprstu") for _ in range(5)) for _ in range(3)] for _ in range(6)]
+    sentence = lambda: " ".join(rng.choice(x) for x in kinds)
+    rows = [(k, " ".join(sentence() for _ in range(20)), "en") for k in range(400)]
+    for k in range(400, 450):  # the same words in any order
+        w = " ".join(sentence() for _ in range(20)).split()
+        rng.shuffle(w)
+        rows.append((k, " ".join(w), "en"))
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(k, 1) for k in range(300)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    kept = {r.doc_id for r in queries.QUERIES["op6_kneser_ney"](spark, str(tmp_path)).where("kept").collect()}
+    assert not kept & set(range(400, 450)) and len(kept & set(range(300, 400))) >= 80
+
+
+def test_threshold_survives_odd_trusted_texts(spark):
+    rng = random.Random(5)
+    rows = [(k, "de", "calibrate", 10, rng.uniform(3, 5)) for k in range(30)] + [(90, "de", "calibrate", 10, 25.0)]
+    rows += [(k, "en", "calibrate", 10, rng.uniform(3, 5)) for k in range(100, 300)] + [(400, "de", None, 10, 20.0), (401, "de", None, 10, 4.0)]
+    scores = spark.createDataFrame(rows, "doc_id long, lang string, part string, n_bytes long, perplexity double")
+    kept = {r.doc_id: r.kept for r in classify(scores).collect()}
+    assert kept[400] is False and kept[401] is True

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from .blocks import mix
 from .bpe import batches_of
+from .checkpoints import written
 
 #: Most labelled rows that the fit reads, half of each class (chosen by hash of the id).
 MAX_LABELLED = 8000
@@ -180,11 +181,14 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
     """Trains on at most ``max_labelled`` labelled rows, half of each class if there are as many.
 
     Classes keep their shares of all labelled rows through weights. Rows with a
-    null id or label are left out; a null text is empty; of an id with several
-    labels each counts. With no labels, or one class, the model is that constant.
+    null id or label are left out, as are labels of ids that ``docs`` does not
+    have; a null text is empty; of an id with several labels each counts. With no
+    labels, or one class, the model is that constant.
     """
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     known = (labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label"))
              .where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1)))
+    known = written(known.join(texts.select("doc_id"), "doc_id", "left_semi"))
     total = {int(r[0]): int(r[1]) for r in known.groupBy("label").count().collect()}
     half = max_labelled // 2
     take = {k: min(half, n) for k, n in total.items()}
@@ -193,7 +197,6 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
     if not parts:
         return ToxicityModel(np.zeros(BUCKETS), -20.0)
     chosen = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")  # <= max_labelled ids
     share = {k: total[k] / take[k] for k in take if take[k]}
 

@@ -213,3 +213,11 @@ def test_subwords_cover_every_word():
 def test_queries_are_registered():
     assert [n for n in range(1, 11) if n != 6] == sorted(int(re.match(r"op(\d+)_", q)[1]) for q in QUERIES if q != "op6_kneser_ney")
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
+
+
+def test_toxicity_samples_labels_of_the_documents_alone(spark):
+    rows = [(k, "dreckling wortmull" if k % 4 == 0 else "a kind word") for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = [(k, int(k % 4 == 0)) for k in range(40)] + [(k, k % 2) for k in range(1000, 5000)]
+    model = fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int"), max_labelled=80)
+    assert model.labelled == 40

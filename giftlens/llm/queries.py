@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .twins import OP11_SQL, OP13_SQL
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -135,3 +137,20 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .suffix_dedup import remove_repeats
     out = remove_repeats(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2(F.col("kept"), 256).alias("kept_sha256"))
+
+
+@query("op11_source_divergence", OP11_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .source_divergence import divergence
+    return divergence(table(spark, sf_dir, "documents"))
+
+
+#: Rules of the query as (host, path, verdict).
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
+
+@query("op13_url_filters", OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .url_filters import judged
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return judged(table(spark, sf_dir, "pages"), rules)

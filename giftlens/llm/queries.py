@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .twins import OP11_SQL, OP13_SQL
+from .twins import OP11_SQL, OP12_SQL, OP13_SQL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -145,6 +145,12 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence(table(spark, sf_dir, "documents"))
 
 
+@query("op12_spelling_variants", OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .spelling import variants, words_of
+    return variants(words_of(table(spark, sf_dir, "documents")))
+
+
 #: Rules of the query as (host, path, verdict).
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 

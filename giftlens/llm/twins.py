@@ -75,3 +75,29 @@ blocked AS (SELECT a FROM seeds UNION SELECT both_ways.b FROM blocked JOIN both_
 SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN address IN (SELECT a FROM blocked) THEN 'block' ELSE 'allow' END) AS verdict
 FROM own WHERE k = 1
 """
+
+OP12_SQL = r"""
+WITH RECURSIVE crc AS (SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+    lambda c, z: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS t),
+runs AS (SELECT coalesce(doc_id::VARCHAR, '') || ':' AS head, unnest(regexp_extract_all(translate(text,
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{C0}-\x{FF}]+')) AS run FROM documents),
+seen AS (SELECT head, run, count(*) AS n FROM runs WHERE length(run) >= 5 GROUP BY head, run),
+hashed AS (SELECT run, n, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT,
+      list_transform(regexp_extract_all(hex(encode(head || run)), '..'), lambda b: ('0x' || b)::BIGINT)),
+      lambda s, b: xor(s >> 8, crc.t[(xor(s, b) & 255) + 1]))) AS h FROM seen, crc),
+words AS (SELECT word, sum(n)::BIGINT AS n FROM (SELECT n, CASE WHEN h % 97 = 0
+      THEN substr(run, 1, (h % length(run))::BIGINT) || substr(run, (h % length(run))::BIGINT + 2) ELSE run END AS word FROM hashed)
+  WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+cuts AS (SELECT word, n, i, substr(word, 1, i - 1) AS a, substr(word, i + 1) AS b
+  FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)),
+pairs AS (SELECT x.word, y.word AS near, y.n AS near_n FROM cuts x JOIN cuts y ON x.i = y.i AND x.a = y.a AND x.b = y.b AND x.word <> y.word
+  UNION SELECT c.word, w.word, w.n FROM cuts c JOIN words w ON w.word = c.a || c.b
+  UNION SELECT w.word, c.word, c.n FROM cuts c JOIN words w ON w.word = c.a || c.b),
+best AS (SELECT word, count(*) AS n_near, first(near ORDER BY near_n DESC, near) AS near, max(near_n) AS near_n FROM pairs GROUP BY word),
+forms AS (SELECT words.word, words.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 2 * words.n THEN near END AS form,
+    CASE WHEN near_n >= 2 * words.n THEN near_n END AS form_n FROM words LEFT JOIN best USING (word)),
+chain AS (SELECT word, form AS root, 1 AS step FROM forms WHERE form IS NOT NULL
+  UNION ALL SELECT chain.word, forms.form, step + 1 FROM chain JOIN forms ON forms.word = chain.root WHERE forms.form IS NOT NULL),
+ends AS (SELECT word, arg_max(root, step) AS root FROM chain GROUP BY word)
+SELECT forms.word, form, coalesce(ends.root, forms.word) AS root, n, n_near, form_n FROM forms LEFT JOIN ends USING (word)
+"""

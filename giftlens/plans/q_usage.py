@@ -134,21 +134,24 @@ def q_purge_user_logs(spark, sf):
     return U.purge_users(FX.api_log(spark, sf), users, users.filter(~F.col("is_active")))[0]
 
 
-@register("usage_hourly", sql="""
+_HOURLY_SQL = """
 SELECT time_bucket(INTERVAL 1 HOUR, date_time) AS window_start,
        time_bucket(INTERVAL 1 HOUR, date_time) + INTERVAL 1 HOUR AS window_end,
        CAST(COUNT(*) AS BIGINT) AS calls, CAST(COUNT(DISTINCT user_id) AS BIGINT) AS active_users,
        CAST(COUNT(CASE WHEN response_status_code >= 400 THEN 1 END) AS BIGINT) AS error_count,
        CAST(SUM(CAST(response_time_ms AS DECIMAL(38,6))) AS DOUBLE) / COUNT(response_time_ms) AS avg_response_time
-FROM fx_log GROUP BY 1, 2""", rounded=["avg_response_time"])
+FROM fx_log GROUP BY 1, 2"""
+
+
+@register("usage_hourly", sql=_HOURLY_SQL, rounded=["avg_response_time"])
 def q_usage_hourly(spark, sf):
     return U.usage_hourly(FX.api_log(spark, sf))
 
 
-@register("usage_hourly_stream")
+@register("usage_hourly_stream", sql=_HOURLY_SQL, rounded=["avg_response_time"])
 def q_usage_hourly_stream(spark, sf):
     """R2 as a Structured Streaming job over the event files (availableNow),
-    read back from its sink. Rows-only: distinct users are approximate."""
+    read back from its sink; the same hours as the batch aggregate."""
     import uuid
     from giftlens.session import ensure_checkpoint_dir
     from giftlens.streaming.jobs import read_hourly_usage, start_hourly_usage

@@ -22,6 +22,11 @@ from giftlens.llm.toxicity import fit, held_out, score
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
+#: Passages of more than 50 words are to go: 50 words of 4 bytes and a separator. (400 bytes would
+#: leave most of them; the query op10 keeps the length of its contract.)
+PASSAGE_BYTES = 250
+PASSAGE_GRAM = 64
+
 
 def _documents(docs: DataFrame) -> DataFrame:
     return docs.select(*COLUMNS)
@@ -62,13 +67,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts out bytes of 400-byte strings that start at two places or more.
+    """Cuts out bytes of strings of ``PASSAGE_BYTES`` that start at two places or more.
 
     Every document stays, some with an empty text. Bytes of characters that a cut
     went through are dropped, so texts are valid; ``n_chars`` is counted anew. A
     null text becomes empty.
     """
-    out = remove_repeats(_documents(docs), carry=["lang", "source"])
+    out = remove_repeats(_documents(docs), length=PASSAGE_BYTES, gram=PASSAGE_GRAM, carry=["lang", "source"])
     # a cut may leave a part of a character: such bytes decode to the replacement character's place and go
     text = F.when(F.col("n_removed") == 0, F.col("kept").cast("string")).otherwise(
         F.try_validate_utf8(F.col("kept").cast("string")))

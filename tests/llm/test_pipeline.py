@@ -60,7 +60,8 @@ def test_stages_take_effect(spark, folder):
     assert {r.doc_id for r in last} == {k for k, r in seen["suffix_dedup"].items() if r.text}
 
 
-def test_cut_characters_are_dropped(spark, docs_of):
+def test_cut_characters_are_dropped(spark, docs_of, monkeypatch):
+    monkeypatch.setattr(P, "PASSAGE_BYTES", 400)
     a, b = "é" + "x" * 450, "è" + "x" * 450  # é and è share no first byte pair, but their last bytes differ
     c, d = "日" + "q" * 399, "旦" + "q" * 399 + "z"
     out = {r.doc_id: r for r in P.suffix_dedup(spark, docs_of([(1, a), (2, b), (3, c), (4, d), (5, None)]), "").collect()}
@@ -68,6 +69,16 @@ def test_cut_characters_are_dropped(spark, docs_of):
     assert out[3].text == c and all(r.n_chars == len(r.text) for r in out.values())
 
 
+def test_passages_of_over_fifty_words_are_cut(spark, docs_of):
+    rng = random.Random(6)
+    text = lambda n: " ".join("".join(rng.choice("abdeghilmnoprstu") for _ in range(4)) for _ in range(n))
+    passage, shorter = text(51), text(40)
+    rows = [(1, text(60) + " " + passage + " " + text(9)), (2, passage), (3, text(80)), (4, text(20) + " " + shorter), (5, shorter)]
+    out = {r.doc_id: r.text for r in P.suffix_dedup(spark, docs_of(rows), "").collect()}
+    assert passage not in out[1] and passage not in out[2] and len(out[1]) >= len(rows[0][1]) - len(passage) - 2
+    assert [out[k] for k in (3, 4, 5)] == [t for k, t in rows if k > 2]
+
+
 def test_run_on_small_tables_and_empty_input(spark):
     rows = P.run(spark, SMALL).collect()
     assert rows and {"doc_id", "sequence_id", "offset"} <= set(rows[0].asDict())

@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from .checkpoints import stored
 from .components import components
 
+#: Parts that a host's urls are dealt to; every part gets the host's rules.
+SALTS = 16
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _URL = r"(?s)^(.*?)://([^/?#]*)([^?#]*)"
 _CANONICAL = r"""(?is)<link\b[^>]*?\brel\s*=\s*["']?[^"'>]*\bcanonical\b[^>]*>"""
@@ -81,7 +83,7 @@ def with_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """``urls`` (with columns host and path) with the winning ``rule`` and its verdict ``ruled``, both null if none fits.
 
     Every distinct host is looked up once, by each of its suffixes; what fits comes
-    back as one short list per host.
+    back as one short list per host, to each of the parts that a hot host's urls are split into.
     """
     rules = rules.select(F.col("host").alias("rule_host"), F.struct(
         (-F.length(F.concat("host", "path"))).alias("size"), (F.col("verdict") != "allow").alias("second"),
@@ -91,8 +93,10 @@ def with_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
     found = (urls.select("host").where("host != ''").distinct().select("host", F.explode(suffixes).alias("rule_host"))
              .join(rules, "rule_host").groupBy("host").agg(F.sort_array(F.collect_list("rule")).alias("fitting")))
     fits = F.try_element_at(F.filter("fitting", lambda r: F.col("path").startswith(r["path"])), F.lit(1))
-    return (urls.join(found, "host", "left").withColumn("fitting", fits)
-            .withColumns({"rule": F.col("fitting.rule"), "ruled": F.col("fitting.verdict")}).drop("fitting"))
+    salted = found.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return (urls.withColumn("part", F.pmod(F.xxhash64("path", *[c for c in urls.columns if c in ("url", "node")]), F.lit(SALTS)).cast("int"))
+            .join(salted, ["host", "part"], "left").withColumn("fitting", fits)
+            .withColumns({"rule": F.col("fitting.rule"), "ruled": F.col("fitting.verdict")}).drop("fitting", "part"))
 
 
 def judged(pages: DataFrame, rules: DataFrame, links: DataFrame | None = None, id_col: str = "page_id") -> DataFrame:

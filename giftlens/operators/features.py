@@ -145,11 +145,54 @@ def shop_features(tf: DataFrame) -> DataFrame:
 
 
 def shop_ranks(shop_feat: DataFrame) -> DataFrame:
-    """Rank of each product and of its brand inside its shop (1 = most selected).
-    The window is per shop over (shop, gift) aggregates, so its size is the
-    shop's catalog, not its events."""
-    from pyspark.sql import Window
-    w = Window.partitionBy("shop_id").orderBy(F.desc("product_selections"), "gift_id")
-    wb = Window.partitionBy("shop_id").orderBy(F.desc("brand_selections"))
-    return shop_feat.select("*", F.rank().over(w).alias("product_rank_in_shop"),
-                            F.dense_rank().over(wb).alias("brand_rank_in_shop"))
+    """Rank of each product and of its brand inside its shop (1 = most selected), over ranges of
+    (shop, selections): no task holds a shop as a whole."""
+    from giftlens.operators.ranges import prefix_sums, ranks_within
+    keyed = shop_feat.withColumns({"_less": -F.col("product_selections"), "_brand_less": -F.col("brand_selections"), "_one": F.lit(1)})
+    keyed = prefix_sums(keyed, ["shop_id"], ["_less", "gift_id"], ["_one"])  # (shop, gift) is unique: no ties
+    keyed = ranks_within(keyed, ["shop_id"], ["_brand_less"], dense="brand_rank_in_shop")
+    return keyed.select(*shop_feat.columns, (F.col("_one_before") + 1).cast("int").alias("product_rank_in_shop"), "brand_rank_in_shop")
+
+
+FOLD_KINDS = {"shop_unique_products": "gift_id", "shop_main_category_diversity": "product_main_category",
+              "shop_brand_diversity": "product_brand", "shop_utility_type_diversity": "product_utility_type"}
+
+
+def fold_shop_features(tf: DataFrame, folds: DataFrame, n_folds: int = K.CV_FOLDS) -> DataFrame:
+    """M5: per shop and fold the shop's statistics over the *other* folds (the fold's training part), from one
+    pass over the frame: selections are the total minus the fold; a distinct value counts
+    unless the fold alone holds it (a bit per fold and value says so). Every shop with a selected row has a
+    row for each fold, at most 31 of them."""
+    if not 0 < n_folds < 32:
+        raise ValueError("folds are kept as bits: 1 to 31 of them")
+    from giftlens.session import cut_lineage
+    pos = tf.filter(F.col("selection_count") > 0).join(folds, "company_cvr")
+    cell = cut_lineage(pos.groupBy("shop_id", "fold", *FOLD_KINDS.values()).agg(F.sum("selection_count").cast("long").alias("n")))
+    kinds = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).alias("value")) for k, c in FOLD_KINDS.items()]))
+    bit = F.bit_or(F.expr("shiftleft(1, fold)"))
+    held = cell.select("shop_id", "fold", kinds.alias("x")).where("x.value is not null").groupBy("shop_id", "x.kind", "x.value").agg(bit.alias("held"))
+    counts = held.groupBy("shop_id").agg(*[F.count_if((F.col("kind") == kind) & (F.col("held") != F.lit(1 << k))).alias(f"{kind}_{k}")
+                                           for kind in FOLD_KINDS for k in range(n_folds)])
+    sums = cell.groupBy("shop_id").agg(*[F.coalesce(F.sum(F.when(F.col("fold") != k, F.col("n"))), F.lit(0)).alias(f"shop_selections_{k}")
+                                         for k in range(n_folds)])
+    rows = F.explode(F.array(*[F.struct(F.lit(k).alias("fold"), *[F.coalesce(f"{c}_{k}", F.lit(0)).cast("long").alias(c) for c in ("shop_selections", *FOLD_KINDS)])
+                               for k in range(n_folds)]))
+    return sums.join(counts, "shop_id", "left").select("shop_id", rows.alias("x")).select("shop_id", "x.*")
+
+
+def ordered_target_stats(df: DataFrame, cats: list[str], label: str, keys: list[str], seed: int = K.SPLIT_SEED,
+                         prior: float = 0.5) -> DataFrame:
+    """M7 + G1: ``<cat>_ts`` = (sum of labels before + prior) / (rows before + 1), "before" being the rows of the
+    same category that come earlier in a hashed order of ``keys`` (unique per row). No row's
+    statistic holds its own label, or a label that holds the row. Sums are exact decimals; a
+    null category is a category, a null label counts as a row of label 0. Every category takes one range
+    sort, so a category with a third of all rows is cut over ranges."""
+    from giftlens.operators.ranges import prefix_sums
+    key = F.concat_ws("|", *[F.coalesce(F.col(k).cast("string"), F.lit(K.MISSING)) for k in keys], F.lit(str(seed)))
+    out = df.withColumns({"_h": F.md5(key), "_one": F.lit(1).cast("long"),
+                          "_y": F.coalesce(F.col(label).cast("decimal(38,12)"), F.lit(0).cast("decimal(38,12)"))})
+    for c in cats:
+        out = prefix_sums(out, [c], ["_h", *keys], ["_y", "_one"])
+        ts = (F.col("_y_before").cast("double") + prior) / (F.col("_one_before") + 1)
+        out = out.withColumn(f"{c}_ts", ts).drop("_y_before", "_one_before")
+    return out.drop("_h", "_one", "_y")

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from giftlens import constants as K
 from giftlens.functions.numeric import exact_sum
+from giftlens.operators.ranges import quantiles
+from giftlens.session import cut_lineage
 
 METRIC_SCALE = 12
 
@@ -89,20 +91,28 @@ def data_profile(df: DataFrame, cols: list[str], max_missing: float = 0.3, max_c
                           (F.col("min_category_count") >= min_records).alias("min_records_ok"))
 
 
-def outlier_report(df: DataFrame, col: str, iqr_factor: float = 1.5, z: float = 3.0,
-                   accuracy: int = 10000) -> DataFrame:
+def outlier_report(df: DataFrame, col: str, iqr_factor: float = 1.5, z: float = 3.0) -> DataFrame:
     """Q10 (outliers): values outside the IQR fences and beyond |z| standard
-    deviations. Quartiles come from ``percentile_approx`` (bounded memory; the
-    exact percentile would hold every value of the column in one buffer)."""
-    x = F.col(col)
-    stats = df.agg(F.percentile_approx(x, [0.25, 0.75], accuracy).alias("q"),
-                   F.avg(x).alias("mu"), F.stddev_pop(x).alias("sd")).first()
-    q1, q3 = stats["q"]
-    lo, hi = q1 - iqr_factor * (q3 - q1), q3 + iqr_factor * (q3 - q1)
-    mu, sd = stats["mu"], stats["sd"] or 0.0
-    zc = F.abs((x - F.lit(mu)) / F.lit(sd)) > z if sd > 0 else F.lit(False)
-    return df.agg(F.lit(col).alias("column_name"), F.lit(q1).alias("q1"), F.lit(q3).alias("q3"),
-                  F.count_if((x < lo) | (x > hi)).alias("iqr_outliers"), F.count_if(zc).alias("zscore_outliers"))
+    deviations. The quartiles are exact (``ranges.order_statistics``: a few passes of range
+    counts run when the report is asked for). Null and NaN values are neither counted nor
+    outliers; infinite ones lie outside the fences. Mean and deviation are exact sums over finite
+    values, joined as one row. Without values: null quartiles and no outliers."""
+    q1, q3 = quantiles(df, col, [0.25, 0.75])
+    x = F.col("x")
+    values = df.select(F.col(col).cast("double").alias("x")).where(x.isNotNull() & ~F.isnan(x))
+    finite = F.when(F.abs(x) < F.lit(float("inf")), x)
+    n, s, ss = F.col("n"), F.col("s"), F.col("ss")
+    sums = (values.agg(F.count(finite).alias("n"), _esum(finite).alias("s"), _esum(finite * finite).alias("ss"))
+            .select((s / F.nullif(n, F.lit(0))).alias("mu"),
+                    F.sqrt(F.greatest((ss - s * s / F.nullif(n, F.lit(0))) / F.nullif(n, F.lit(0)), F.lit(0.0))).alias("sd")))
+    far = (F.col("sd") > 0) & (F.abs(x - F.col("mu")) > z * F.col("sd"))
+    if q1 is None:
+        fences = F.lit(False)
+    else:
+        fences = (x < q1 - iqr_factor * (q3 - q1)) | (x > q3 + iqr_factor * (q3 - q1))
+    return (values.join(F.broadcast(sums))  # one row
+            .agg(F.lit(col).alias("column_name"), F.lit(q1).cast("double").alias("q1"), F.lit(q3).cast("double").alias("q3"),
+                 F.count_if(fences).alias("iqr_outliers"), F.count_if(far).alias("zscore_outliers")))
 
 
 def regression_metrics(df: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
@@ -166,24 +176,45 @@ def baseline_predict(train: DataFrame, rows: DataFrame) -> DataFrame:
     rate = F.col("selection_rate")
     m = train.groupBy("gift_id", "employee_gender").agg(
         (_esum(rate) / F.count(rate)).alias("_m"))
-    g = train.agg((_esum(rate) / F.count(rate)).alias("_g")).first()["_g"]
-    return (rows.join(m, ["gift_id", "employee_gender"], "left")
-            .withColumn("prediction", F.coalesce(F.col("_m"), F.lit(g))).drop("_m"))
-
-
-def cv_fold_metrics(tf: DataFrame, folds: DataFrame, n_folds: int = K.CV_FOLDS, predict=baseline_predict) -> DataFrame:
-    """M5 metrics: per fold the R² of ``predict`` fitted on the other folds and
-    scored on the fold; empty folds are skipped. The loop is over the fold
-    number only (a small constant); the work of each fold runs on Spark."""
-    tagged = tf.join(folds, "company_cvr")
-    out = None
-    for k in range(n_folds):
-        train = tagged.filter(F.col("fold") != k)
-        val = tagged.filter(F.col("fold") == k)
-        scored = predict(train, val).select(F.col("selection_rate").alias("y"), F.col("prediction").alias("p"))
-        m = regression_metrics(scored).filter(F.col("n") > 0).select(F.lit(k).alias("fold"), "n", "r2")
-        out = m if out is None else out.unionByName(m)
-    return out
+    g = train.agg((_esum(rate) / F.count(rate)).alias("_g"))
+    return (rows.join(m, ["gift_id", "employee_gender"], "left").join(F.broadcast(g))  # one row
+            .withColumn("prediction", F.coalesce("_m", "_g")).drop("_m", "_g"))
+
+
+def cv_fold_metrics(tf: DataFrame, folds: DataFrame) -> DataFrame:
+    """M5 metrics: per fold the R² of ``baseline_predict`` fitted on the other folds and
+    scored on the fold; empty folds have no row.
+
+    One pass over the frame: counts, sums and sums of squares per (gift, gender, fold). What a fold's
+    training part holds is the total minus the fold, and the errors of a constant prediction
+    follow from the same three numbers."""
+    y = F.col("selection_rate").cast("double")
+    # as decimals, so that totals minus folds stay exact
+    cell = cut_lineage(tf.join(folds, "company_cvr").groupBy("gift_id", "employee_gender", "fold").agg(
+        F.count(F.lit(1)).alias("rows"), F.count(y).alias("n"), exact_sum(y, METRIC_SCALE).alias("s"), exact_sum(y * y, METRIC_SCALE).alias("ss")))
+    sums = [F.sum(c).alias(f"all_{c}") for c in ("n", "s")]
+    whole = cell.groupBy("gift_id", "employee_gender").agg(*sums)
+    per_fold = cell.groupBy("fold").agg(F.sum("n").alias("f_n"), F.sum("s").alias("f_s"))
+    every = cell.agg(F.sum("n").alias("t_n"), F.sum("s").alias("t_s"))
+    rest_n, rest_s = F.col("all_n") - F.col("n"), F.col("all_s") - F.coalesce("s", F.lit(0))
+    others = per_fold.join(F.broadcast(every)).select(  # one row
+        "fold", ((F.col("t_s") - F.coalesce("f_s", F.lit(0))).cast("double") / F.nullif(F.col("t_n") - F.col("f_n"), F.lit(0))).alias("g"))
+    p = F.coalesce(rest_s.cast("double") / F.nullif(rest_n, F.lit(0)), "g")
+    s, ss, n = (F.coalesce(c, F.lit(0)).cast("double") for c in ("s", "ss", "n"))
+    same = (F.col("gift_id").eqNullSafe(F.col("_gift"))) & (F.col("employee_gender").eqNullSafe(F.col("_gender")))
+    whole = whole.select(F.col("gift_id").alias("_gift"), F.col("employee_gender").alias("_gender"), "all_n", "all_s")
+    scored = (cell.join(whole, same).join(F.broadcast(others), "fold")  # one row per fold
+              .select("fold", "rows", "n", "s", "ss", p.alias("p"))
+              .select("fold", "rows", "n", "s", "ss", _cell_error(s, ss, n).alias("e")))
+    per = scored.groupBy("fold").agg(F.sum("rows").alias("n"), F.sum("n").alias("_m"), F.sum("s").cast("double").alias("_s"),
+                                     F.sum("ss").cast("double").alias("_ss"), _esum(F.col("e")).alias("_e"))
+    spread = F.col("_ss") - F.col("_s") * F.col("_s") / F.nullif(F.col("_m"), F.lit(0))
+    return per.select(F.col("fold").cast("int").alias("fold"), "n", F.when(spread > 0, 1 - F.col("_e") / spread).alias("r2"))
+
+
+def _cell_error(s: Column, ss: Column, n: Column) -> Column:
+    """Sum of (y - p)^2 over rows with count n, sum s and sum of squares ss."""
+    return ss - 2 * F.col("p") * s + n * F.col("p") * F.col("p")
 
 
 def cv_summary(fold_metrics: DataFrame) -> DataFrame:

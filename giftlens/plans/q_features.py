@@ -253,3 +253,24 @@ def q_stratified_split(spark, sf):
     tf = training(spark, sf).select("company_cvr").distinct()
     emp = clean_employees(FX.employees(spark, sf)).select("company_cvr", "branch_code")
     return SP.stratified_split(emp.join(tf, "company_cvr", "left_semi"), "branch_code")
+
+
+_TS_CATS = ["product_main_category", "product_brand", "employee_gender"]
+_TS_KEYS = ["shop_id", "company_cvr", "gift_id", "employee_gender"]
+
+
+def _ts_sql() -> str:
+    cols = []
+    for c in _TS_CATS:
+        w = f"PARTITION BY {c} ORDER BY h, {', '.join(_TS_KEYS)} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+        cols.append(f"(coalesce(CAST(SUM(CAST(selection_rate AS DECIMAL(38,12))) OVER ({w}) AS DOUBLE), 0.0) + 0.5) "
+                    f"/ (COUNT(*) OVER ({w}) + 1) AS {c}_ts")
+    return f"""
+SELECT {', '.join(_TS_KEYS)}, {', '.join(cols)}
+FROM (SELECT *, md5(concat_ws('|', {', '.join(f"coalesce({k}, 'NONE')" for k in _TS_KEYS)}, '42')) AS h FROM fx_training) t"""
+
+
+@register("ordered_target_stats", sql=_ts_sql(), rounded=[f"{c}_ts" for c in _TS_CATS])
+def q_ordered_target_stats(spark, sf):
+    tf = training(spark, sf).select(*dict.fromkeys([*_TS_KEYS, *_TS_CATS]), "selection_rate")
+    return FE.ordered_target_stats(tf, _TS_CATS, "selection_rate", _TS_KEYS).select(*_TS_KEYS, *[f"{c}_ts" for c in _TS_CATS])

@@ -98,7 +98,18 @@ def q_data_profile(spark, sf):
     return Q.data_profile(FX.selections(spark, sf), K.SELECTION_COLUMNS)
 
 
-@register("outlier_report")
+@register("outlier_report", sql="""
+SELECT 'response_time_ms' AS column_name, q1, q3,
+       CAST(COUNT(*) FILTER (WHERE x < q1 - 1.5 * (q3 - q1) OR x > q3 + 1.5 * (q3 - q1)) AS BIGINT) AS iqr_outliers,
+       CAST(COUNT(*) FILTER (WHERE sd > 0 AND abs(x - mu) > 3.0 * sd) AS BIGINT) AS zscore_outliers
+FROM (SELECT CAST(response_time_ms AS DOUBLE) AS x FROM fx_log WHERE response_time_ms IS NOT NULL) v,
+     (SELECT quantile_cont(CAST(response_time_ms AS DOUBLE), 0.25) AS q1, quantile_cont(CAST(response_time_ms AS DOUBLE), 0.75) AS q3,
+             s / n AS mu, sqrt(greatest((ss - s * s / n) / n, 0.0)) AS sd
+      FROM fx_log, (SELECT COUNT(response_time_ms) AS n,
+                           CAST(SUM(CAST(response_time_ms AS DECIMAL(38,12))) AS DOUBLE) AS s,
+                           CAST(SUM(CAST(CAST(response_time_ms AS DOUBLE) * response_time_ms AS DECIMAL(38,12))) AS DOUBLE) AS ss FROM fx_log) m
+      GROUP BY s, n, ss) q
+GROUP BY q1, q3""", rounded=["q1", "q3"])
 def q_outlier_report(spark, sf):
     return Q.outlier_report(FX.api_log(spark, sf), "response_time_ms")
 
@@ -176,3 +187,21 @@ SELECT AVG(r2) AS cv_r2_mean, STDDEV_POP(r2) AS cv_r2_std, CAST(COUNT(*) AS BIGI
 FROM fx_fold_metrics""", rounded=["cv_r2_mean", "cv_r2_std"])
 def q_cv_summary(spark, sf):
     return Q.cv_summary(fold_metrics(spark, sf))
+
+
+def _fold_shop_sql() -> str:
+    parts = [f"""
+SELECT s.shop_id, {k} AS fold, CAST(coalesce(SUM(t.selection_count), 0) AS BIGINT) AS shop_selections,
+       COUNT(DISTINCT t.gift_id) AS shop_unique_products, COUNT(DISTINCT t.product_main_category) AS shop_main_category_diversity,
+       COUNT(DISTINCT t.product_brand) AS shop_brand_diversity, COUNT(DISTINCT t.product_utility_type) AS shop_utility_type_diversity
+FROM (SELECT DISTINCT shop_id FROM fx_tf_folds WHERE selection_count > 0) s
+LEFT JOIN fx_tf_folds t ON t.shop_id = s.shop_id AND t.selection_count > 0 AND t.fold <> {k} GROUP BY s.shop_id"""
+             for k in range(K.CV_FOLDS)]
+    return " UNION ALL ".join(parts)
+
+
+@register("fold_shop_features", sql=_fold_shop_sql())
+def q_fold_shop_features(spark, sf):
+    from giftlens.operators import features as FE
+    tf = training(spark, sf)
+    return FE.fold_shop_features(tf, SP.cv_folds(tf))

@@ -28,7 +28,9 @@ MAX_LABELLED = 8000
 BUCKETS = 1 << 17
 DIM = 8
 NGRAMS = (3, 4)
-MAX_WORDS = 1_000_000
+#: Words whose scores a task keeps, and bytes of text that it splits at a time.
+MAX_WORDS = 300_000
+PART_BYTES = 1 << 20
 
 
 def split_words(text: str | None) -> list[str]:
@@ -227,7 +229,7 @@ def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text", out_col
     def run(stream):
         known: dict[str, int] = {}
         values = np.zeros(0)
-        for part in batches_of(stream):
+        for part in batches_of(stream, PART_BYTES):
             if len(known) > MAX_WORDS:
                 known, values = {}, np.zeros(0)
             split = [split_words(t) for t in part.column(text_col).to_pylist()]

@@ -120,6 +120,7 @@ CVR_DIGITS = 8
 MAX_EMPLOYEES = 10000
 MAX_PRESENTS = 100
 MAX_NAMES = 1000
+CONFIDENCE_LEVEL = 0.95
 
 # Classification status values.
 STATUS_SUCCESS = "success"
@@ -143,6 +144,7 @@ GBT_LEARNING_RATE = 0.1
 GBT_DEPTH = 6
 GBT_SEED = 42
 GBT_EARLY_STOP_ROUNDS = 50
+GBT_LEAF_PENALTY = 3.0
 SPLIT_SEED = 42
 VALIDATION_SHARE = 0.2
 CV_FOLDS = 3

@@ -29,15 +29,20 @@ def company_category_counts(source: DataFrame) -> DataFrame:
 
 def company_stats(source: DataFrame) -> DataFrame:
     """A4 + W1 + J7: diversity of selected categories / brands / utility types,
-    total selections and the most frequent main category per company."""
-    pos = source.filter(F.col("selection_count") > 0)
-    stats = pos.groupBy("company_cvr").agg(
+    total selections and the most frequent main category per company.
+
+    Selections are first counted per (company, category, brand, utility type): both results
+    come from this one aggregate, whose exchange Spark reuses, so ``source`` runs once."""
+    cell = (source.filter(F.col("selection_count") > 0)
+            .groupBy("company_cvr", "product_main_category", "product_brand", "product_utility_type")
+            .agg(F.sum("selection_count").cast("long").alias("selection_count")))
+    stats = cell.groupBy("company_cvr").agg(
         F.countDistinct("product_main_category").cast("long").alias("company_main_category_diversity"),
         F.countDistinct("product_brand").cast("long").alias("company_brand_diversity"),
         F.countDistinct("product_utility_type").cast("long").alias("company_utility_type_diversity"),
         F.sum("selection_count").cast("long").alias("company_total_selections"),
     )
-    top = (top_by_count(company_category_counts(source), "company_cvr",
+    top = (top_by_count(company_category_counts(cell), "company_cvr",
                         "product_main_category", "selection_count")
            .withColumnRenamed("product_main_category", "company_most_frequent_main_category"))
     return (stats.join(top, "company_cvr", "left")

@@ -73,6 +73,14 @@ def classify_gender(names: DataFrame, name_table: DataFrame | None = None, col:
                       "_r.gender", "_r.confidence", "_r.method")
 
 
+def validate_name_requests(requests: DataFrame, limit: int = K.MAX_NAMES) -> DataFrame:
+    """Per request of names (request_id, name) the number of names and the failed rules: no name at all, or
+    more than ``limit``. A null name is no name; an empty one counts (it classifies as unisex)."""
+    per = requests.groupBy("request_id").agg(F.count("name").alias("n_names"))
+    errors = F.when(F.col("n_names") == 0, "names_empty").when(F.col("n_names") > limit, "too_many_names").otherwise("")
+    return per.select("request_id", "n_names", errors.alias("errors"), (errors == "").alias("is_valid"))
+
+
 def gender_counts(classified: DataFrame, key: str = "company_cvr") -> DataFrame:
     """Male / female / unisex counts per key (one aggregate)."""
     g = F.col("gender")

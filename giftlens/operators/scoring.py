@@ -125,7 +125,12 @@ def score_fallback(req: DataFrame) -> DataFrame:
     """M9 (+ P17, X5, X6, A16, A17, P19): expected quantity per requested gift
     without a model, with the breakdown by gender as a map. A gender with no employees
     gets rate 0 and exposure 0. A gift that cannot be scored (no gift id, or a count is
-    missing) keeps its row with quantity 0, confidence 0 and the reason in ``error``. A chain of narrow projections: no shuffle."""
+    missing) keeps its row with quantity 0, confidence 0 and the reason in ``error``.
+
+    Requests are dealt by their id first: the costly projections then run in as many tasks as the
+    session's shuffle partitions, however few files or joined partitions the requests come from, and
+    the roll-ups per request find their rows together."""
+    req = req.repartition(int(req.sparkSession.conf.get("spark.sql.shuffle.partitions")), "request_id")
     error = (F.when(F.coalesce(F.col("product_id"), F.lit("")) == "", F.lit("missing gift id"))
              .when(F.col("male_count").isNull() | F.col("female_count").isNull(), F.lit("missing employee count")))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)

@@ -218,3 +218,35 @@ def with_fixtures(sql: str, extra: dict[str, str] | None = None) -> str:
         return sql
     ctes = ",\n".join(f"{n} AS ({defs[n]})" for n in order)
     return f"WITH {ctes}\n{sql}"
+
+_FAULT = "CAST(floor(CAST(s.gift_id AS BIGINT) / 3) AS BIGINT) % 4"
+
+
+def _damaged(c: str) -> str:
+    shown = f"upper(s.{c})" if c == "employee_gender" else f"s.{c}"
+    quoted = f"'\" ' || chr(9) || {shown} || ' \"'"
+    if c == "company_cvr":
+        return f"CASE {_FAULT} WHEN 0 THEN '99' || substring(s.{c}, 3, 6) ELSE s.{c} END AS {c}"
+    if c == "gift_id":
+        return f"CASE {_FAULT} WHEN 3 THEN NULL ELSE s.{c} END AS {c}"
+    if c == "employee_gender":
+        return f"CASE {_FAULT} WHEN 1 THEN ' unisex ' WHEN 2 THEN {quoted} ELSE s.{c} END AS {c}"
+    if c in ("shop_id", "product_brand", "product_main_category"):
+        return f"CASE {_FAULT} WHEN 2 THEN {quoted} ELSE s.{c} END AS {c}"
+    return f"s.{c}"
+
+
+FIXTURES["fx_damaged"] = ("SELECT * FROM fx_selections UNION ALL SELECT " + ", ".join(map(_damaged, _SEL_COLS))
+                         + ", s.event_seq FROM fx_selections s WHERE CAST(s.gift_id AS BIGINT) % 3 = 0")
+FIXTURES["fx_damaged_clean"] = FIXTURES["fx_sel_clean"].replace("fx_selections", "fx_damaged")
+FIXTURES["fx_damaged_groups"] = FIXTURES["fx_groups"].replace("fx_sel_clean", "fx_damaged_clean")
+FIXTURES["fx_emp_twice"] = """
+SELECT * FROM fx_emp_clean UNION ALL
+SELECT company_cvr, branch_code, male_count + 3, female_count + 1 FROM fx_emp_clean WHERE CAST(company_cvr AS BIGINT) % 5 = 0"""
+FIXTURES["fx_universe_twice"] = FIXTURES["fx_universe"].replace("fx_emp_clean", "fx_emp_twice")
+FIXTURES["fx_zero_twice"] = FIXTURES["fx_zero"].replace("fx_universe", "fx_universe_twice")
+FIXTURES["fx_training_twice"] = "SELECT * FROM fx_selected UNION ALL SELECT * FROM fx_zero_twice"
+FIXTURES["fx_name_requests"] = """
+SELECT 'company-' || company_cvr AS request_id, name FROM fx_names
+UNION ALL SELECT 'digit-' || substring(CAST(employee_id AS VARCHAR), 1, 1), name FROM fx_names
+UNION ALL SELECT 'empty-' || CAST(r_regionkey AS VARCHAR), NULL FROM region"""

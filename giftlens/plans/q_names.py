@@ -66,6 +66,15 @@ def q_classify_gender(spark, sf):
     return N.classify_gender(FX.names(spark, sf), FX.general_names(spark))
 
 
+@register("validate_name_requests", sql="""
+SELECT request_id, n_names, errors, errors = '' AS is_valid FROM (
+  SELECT request_id, COUNT(name) AS n_names,
+         CASE WHEN COUNT(name) = 0 THEN 'names_empty' WHEN COUNT(name) > 1000 THEN 'too_many_names' ELSE '' END AS errors
+  FROM fx_name_requests GROUP BY request_id) r""")
+def q_validate_name_requests(spark, sf):
+    return N.validate_name_requests(FX.name_requests(spark, sf))
+
+
 @register("gender_counts", sql="""
 SELECT company_cvr, CAST(COUNT(*) FILTER (WHERE gender = 'male') AS BIGINT) AS male_count,
        CAST(COUNT(*) FILTER (WHERE gender = 'female') AS BIGINT) AS female_count,

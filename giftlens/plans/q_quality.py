@@ -48,9 +48,11 @@ def q_quality_report(spark, sf):
 
 @register("exposure_consistency", sql="""
 SELECT company_cvr, employee_gender, CAST(COUNT(DISTINCT exposure) AS BIGINT) AS n_exposures
-FROM fx_training GROUP BY company_cvr, employee_gender HAVING COUNT(DISTINCT exposure) > 1""")
+FROM fx_training_twice GROUP BY company_cvr, employee_gender HAVING COUNT(DISTINCT exposure) > 1""")
 def q_exposure_consistency(spark, sf):
-    return Q.exposure_consistency(training(spark, sf))
+    from giftlens.operators import training as TR
+    twice = FX.employees_twice(spark, sf)  # companies with two rows: every row's exposure is in the universe
+    return Q.exposure_consistency(TR.training_frame(FX.selections(spark, sf), FX.catalog(spark, sf), twice, employees_order="line"))
 
 
 @register("exposure_mismatch", sql="""

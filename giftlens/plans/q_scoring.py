@@ -243,3 +243,38 @@ SELECT request_id, CAST(COUNT(*) FILTER (WHERE expected_qty < 0) AS BIGINT) AS n
 FROM fx_scored GROUP BY request_id""", rounded=["total_qty"])
 def q_prediction_checks(spark, sf):
     return S.prediction_checks(scored(spark, sf))
+
+
+def _halves(spark, sf):
+    """(calibration, new) rows of predicted and actual quantities, by a hash of the gift."""
+    from giftlens.plans.q_quality import pred_vs_actual
+    from giftlens.session import cut_lineage
+    # both halves read the scores, several times each: stored, they are computed once, and the long scoring
+    # expressions are not copied into every use
+    rows = cut_lineage(pred_vs_actual(spark, sf))
+    even = F.pmod(F.conv(F.substring(F.md5("product_id"), 1, 4), 16, 10).cast("int"), F.lit(2)) == 0
+    return rows.where(even), rows.where(~even)
+
+
+FIXTURES["fx_calibration"] = """
+SELECT *, CAST('0x' || substring(md5(product_id), 1, 4) AS INTEGER) % 2 = 0 AS known FROM fx_pred_vs_actual"""
+FIXTURES["fx_widths"] = """
+SELECT g, r AS width FROM (
+  SELECT g, r, row_number() OVER (PARTITION BY g ORDER BY r) AS k, COUNT(*) OVER (PARTITION BY g) AS n
+  FROM (SELECT cvr AS g, abs(y - p) AS r FROM fx_calibration WHERE known UNION ALL
+        SELECT 'all of them', abs(y - p) FROM fx_calibration WHERE known) x) y
+WHERE k = ceil((n + 1) * 0.95::DECIMAL(10,9))"""
+
+
+@register("prediction_intervals", sql=f"""
+SELECT c.cvr, c.product_id, CAST({rnd('greatest(0.0, least(10000.0, c.p))', 0)} AS BIGINT) AS quantity,
+       CAST(floor(greatest(0.0, least(10000.0, c.p - coalesce(w.width, a.width)))) AS BIGINT) AS interval_low,
+       CAST(ceil(greatest(0.0, least(10000.0, c.p + coalesce(w.width, a.width)))) AS BIGINT) AS interval_high,
+       w.width IS NULL AS pooled
+FROM fx_calibration c LEFT JOIN fx_widths w ON w.g = c.cvr LEFT JOIN fx_widths a ON a.g = 'all of them'
+WHERE NOT c.known""")
+def q_prediction_intervals(spark, sf):
+    from giftlens.operators.intervals import conformal_widths, with_intervals
+    known, new = _halves(spark, sf)
+    out = with_intervals(new, conformal_widths(known, "cvr"), "cvr")
+    return out.select("cvr", "product_id", "quantity", "interval_low", "interval_high", "pooled")

@@ -26,9 +26,9 @@ def training(spark, sf):
     return TR.training_frame(FX.selections(spark, sf), FX.catalog(spark, sf), FX.employees(spark, sf))
 
 
-@register("clean_selections", sql=f"SELECT {', '.join(K.SELECTION_COLUMNS)} FROM fx_sel_clean")
+@register("clean_selections", sql=f"SELECT {', '.join(K.SELECTION_COLUMNS)} FROM fx_damaged_clean")
 def q_clean_selections(spark, sf):
-    return C.clean_selections(FX.selections(spark, sf)).drop("event_seq")
+    return C.clean_selections(FX.faulty_selections(spark, sf)).drop("event_seq")
 
 
 @register("clean_employees", sql="SELECT * FROM fx_emp_clean", rounded=["male_count", "female_count"])
@@ -97,9 +97,10 @@ def company_rollup(tf):
 @register("selection_rejects", sql="""
 SELECT g.shop_id, g.company_cvr, g.gift_id, g.employee_gender, CAST(g.selection_count AS BIGINT) AS selection_count,
        CASE WHEN g.employee_gender NOT IN ('male', 'female') THEN 'gender' ELSE 'unknown_company' END AS reason
-FROM fx_groups g
+FROM fx_damaged_groups g
 WHERE g.employee_gender NOT IN ('male', 'female')
    OR NOT EXISTS (SELECT 1 FROM fx_emp_clean e WHERE e.company_cvr = g.company_cvr)""")
 def q_selection_rejects(spark, sf):
-    sel, _, emp = clean_inputs(spark, sf)
-    return TR.selection_rejects(TR.selection_groups(sel, non_null=True), emp)
+    _, _, emp = clean_inputs(spark, sf)
+    faulty = C.clean_selections(FX.faulty_selections(spark, sf))
+    return TR.selection_rejects(TR.selection_groups(faulty, non_null=True), emp)

@@ -76,5 +76,5 @@ def oracle_query(name: str) -> str | None:
 def load_all() -> None:
     # Importing the plan modules fills REGISTRY.
     from giftlens.plans import (  # noqa: F401
-        q_training, q_features, q_usage, q_products, q_names, q_scoring, q_quality, q_model,
+        q_training, q_features, q_usage, q_products, q_names, q_scoring, q_quality, q_model, q_sources,
     )

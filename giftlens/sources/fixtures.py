@@ -2,7 +2,7 @@
 
 Every fixture is a lazy DataFrame over the parquet files of one scale factor,
 so its size grows with the data. Only equi-joins and aggregates are used. The
-SQL twins used by the DuckDB oracle live in ``giftlens.plans.oracle``.
+SQL twins used by the DuckDB oracle live in ``giftlens.plans.oracle_fixtures``.
 
 Mapping:
   company  = nation (cvr 10000000 + nation key), branch = region
@@ -21,7 +21,6 @@ from pyspark.sql import functions as F
 from giftlens import constants as K
 
 
-# Tables small enough to always broadcast; never re-spread.
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -63,9 +62,13 @@ def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def event_order(prefix: str = "l_") -> Column:
-    """Unique, total order of line items (stands for file order of events)."""
-    cols = ["orderkey", "linenumber", "partkey", "suppkey", "extendedprice", "shipdate"]
-    return F.struct(*[F.col(prefix + c).alias(c) for c in cols])
+    """Unique, total order of line items (stands for file order of events), as one number: order, line, part, supplier,
+    price in cents. A number's minimum is a hash aggregate; a struct's needs its rows sorted."""
+    c = lambda name: F.col(prefix + name).cast("long")
+    cents = F.round(F.col(prefix + "extendedprice") * 100).cast("long")
+    line, item = c("orderkey") * 10 + c("linenumber"), c("partkey") * 100_000_000 + c("suppkey")
+    wide = lambda x, digits: x.cast("decimal(38,0)") * F.lit("1" + "0" * digits).cast("decimal(38,0)")
+    return (wide(line, 26) + wide(item, 9) + cents).cast("decimal(38,0)")
 
 
 def selections(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -265,3 +268,36 @@ def actuals(spark: SparkSession, sf_dir: str) -> DataFrame:
             .groupBy(_cvr(F.col("c_nationkey")).alias("cvr"),
                      F.col("l_partkey").cast("string").alias("product_id"))
             .agg(F.count(F.lit(1)).alias("order_count")))
+
+
+def faulty_selections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All selections, and a damaged copy of each event whose gift number is a multiple of 3: by the number over 3,
+    modulo 4, an unknown company, a gender outside the model, quotes and spaces around texts, or no gift."""
+    r = selections(spark, sf_dir)
+    number = F.floor(F.col("gift_id").cast("long") / 3)
+    kind = number % 4
+    quoted = lambda c: F.concat(F.lit('" \t'), F.upper(c) if c == "employee_gender" else F.col(c), F.lit(' "'))
+    columns = {c: F.when(kind == 2, quoted(c)).otherwise(F.col(c)) for c in ("shop_id", "employee_gender", "product_brand", "product_main_category")}
+    columns["employee_gender"] = F.when(kind == 1, F.lit(" unisex ")).otherwise(columns["employee_gender"])
+    columns["company_cvr"] = F.when(kind == 0, F.concat(F.lit("99"), F.substring("company_cvr", 3, 6))).otherwise(F.col("company_cvr"))
+    columns["gift_id"] = F.when(kind == 3, F.lit(None)).otherwise(F.col("gift_id"))
+    return r.unionByName(r.where(F.col("gift_id").cast("long") % 3 == 0).withColumns(columns))
+
+
+def employees_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All companies (``line`` 0), and a second row (``line`` 1) with other counts for companies whose number is a multiple of 5."""
+    r = employees(spark, sf_dir).withColumn("line", F.lit(0))
+    again = r.where(F.col("company_cvr").cast("long") % 5 == 0).withColumns(
+        {"male_count": F.col("male_count") + 3, "female_count": F.col("female_count") + 1, "line": F.lit(1)})
+    return r.unionByName(again)
+
+
+def name_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Name classification requests as (request_id, name): one per company, one per first digit of the customer
+    number, and one with no name per region."""
+    n = names(spark, sf_dir)
+    per = [n.select(F.concat(F.lit("company-"), "company_cvr").alias("request_id"), "name"),
+           n.select(F.concat(F.lit("digit-"), F.substring(F.col("employee_id").cast("string"), 1, 1)).alias("request_id"), "name"),
+           table(spark, sf_dir, "region").select(F.concat(F.lit("empty-"), F.col("r_regionkey").cast("string")).alias("request_id"),
+                                                 F.lit(None).cast("string").alias("name"))]
+    return per[0].unionByName(per[1]).unionByName(per[2])

@@ -32,13 +32,15 @@ def block_count(docs: DataFrame, text_col: str, block_bytes: int = BLOCK_BYTES)
     return max(1, math.ceil(total / block_bytes))
 
 
-def pack_blocks(docs: DataFrame, id_col: str, columns: list[str], blocks: int) -> DataFrame:
+def pack_blocks(docs: DataFrame, id_col: str, columns: list[str], blocks: int, spread: tuple[str, ...] = ()) -> DataFrame:
     """(block, payload): the rows of each block as zstd-compressed Arrow batches, shuffled by block.
 
-    A null id has a block as any other value. The same frame may feed several
-    steps of one plan: Spark then reuses its one exchange.
+    A block is chosen by the hash of the id and of the ``spread`` columns. Where a step needs
+    nothing but the rows, the text spreads ids that many rows share, such as null, over all blocks; only rows
+    equal in both meet. The choice depends on nothing but the row, so it is the same whenever it is made.
+    The same frame may feed several steps of one plan: Spark then reuses its one exchange.
     """
-    keyed = docs.select(F.pmod(F.xxhash64(F.col(id_col)), F.lit(blocks)).cast("int").alias("__block"),
+    keyed = docs.select(F.pmod(F.xxhash64(F.col(id_col), *[F.col(c) for c in spread]), F.lit(blocks)).cast("int").alias("__block"),
                         *[F.col(c) for c in columns])
 
     def pack(batches):

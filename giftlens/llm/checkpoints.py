@@ -16,7 +16,8 @@ def shared_dir(spark) -> str:
     set_before = spark.sparkContext._jsc.sc().getCheckpointDir()
     if set_before.isDefined():
         return set_before.get()
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if not master.startswith("local[") and master != "local":
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     return tempfile.mkdtemp(prefix="llm-checkpoint-")
 

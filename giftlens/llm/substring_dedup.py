@@ -76,7 +76,7 @@ def remove_repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: s
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     n = B.block_count(docs, "text")
-    packed = B.pack_blocks(docs, "doc_id", ["doc_id", "text"], n)
+    packed = B.pack_blocks(docs, "doc_id", ["doc_id", "text"], n, spread=("text",))
     shift = np.uint64(64 - _PREFIX_BITS)
 
     def send_prefixes(key, table):

@@ -177,7 +177,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"),
                        *[F.col(c).alias(f"c_{c}") for c in carry])
     n = B.block_count(docs, "text")
-    packed = B.pack_blocks(docs, "doc_id", docs.columns, n)
+    packed = B.pack_blocks(docs, "doc_id", docs.columns, n, spread=("text",))
     splitters = _splitters(docs, n, length)
 
     def answers(table, kind):

@@ -220,3 +220,41 @@ def test_sorted_lists_round_trip():
         v = np.unique(rng.integers(0, 2**bits - 1, 300, dtype=np.uint64))
         assert (B.decode_sorted(B.encode_sorted(v)) == v).all()
     assert len(B.decode_sorted(B.encode_sorted(np.zeros(0, np.uint64)))) == 0
+
+
+def test_an_id_that_many_rows_share_is_spread_over_all_blocks(spark, docs_of, monkeypatch):
+    """A third of the rows has no id, a third one id: blocks stay even, results equal brute force."""
+    rng = random.Random(12)
+    words = ["w%d" % k for k in range(300)]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    shared = text(120)
+    rows = [(None if k % 3 == 0 else 5 if k % 3 == 1 else k, text(80) + (" " + shared if k % 7 == 0 else "")) for k in range(240)]
+    docs = docs_of(rows)
+    sizes = {r.block: r.n for r in B.pack_blocks(docs, "doc_id", ["doc_id", "text"], 8, spread=("text",)).selectExpr(
+        "block", "octet_length(payload) as n").groupBy("block").sum("n").toDF("block", "n").collect()}
+    assert len(sizes) == 8 and max(sizes.values()) < 2 * min(sizes.values())
+    small_blocks(monkeypatch, 20_000)
+    got = Counter((r.doc_id, r.n_removed) for r in remove_repeats(docs).collect())
+    raw = [(i, t.encode()) for i, t in rows]
+    seen = Counter(b[k:k + 400] for _, b in raw for k in range(len(b) - 399))
+    want = Counter()
+    for i, b in raw:
+        gone = set()
+        for k in range(len(b) - 399):
+            if seen[b[k:k + 400]] > 1:
+                gone.update(range(k, k + 400))
+        want[i, len(gone)] += 1
+    assert got == want and sum(n for (_, k), n in want.items() if k) > 20
+    first, cut = {}, Counter()
+    split = [(i, t.split()) for i, t in rows]
+    for i, w in split:
+        for k in range(len(w) - 12):
+            g = tuple(w[k:k + 13])
+            first[g] = min(first.get(g, B.NULL_ID), B.NULL_ID if i is None else i)
+    for i, w in split:
+        gone = set()
+        for k in range(len(w) - 12):
+            if first[tuple(w[k:k + 13])] < (B.NULL_ID if i is None else i):
+                gone.update(range(k, k + 13))
+        cut[i, len(gone)] += 1
+    assert Counter((r.doc_id, r.n_removed) for r in remove_repeated_windows(docs).collect()) == cut

@@ -189,15 +189,20 @@ def ordered_target_stats(df: DataFrame, cats: list[str], label: str, keys: list[
                          prior: float = 0.5) -> DataFrame:
     """M7 + G1: ``<cat>_ts`` = (sum of labels before + prior) / (rows before + 1), "before" being the rows of the
     same category that come earlier in a hashed order of ``keys`` (unique per row). No row's
-    statistic holds its own label, or a label that holds the row. Sums are exact decimals; a
-    null category is a category, a null label counts as a row of label 0. Every category takes one range
-    sort, so a category with a third of all rows is cut over ranges."""
+    statistic holds its own label, or a label that comes after it. Sums are exact decimals; a
+    null category is a category, a null label counts as a row of label 0. All columns take one range
+    sort of narrow (column, category, order, label) rows, so a category with a third of all rows is cut over ranges."""
+    from functools import reduce
+
     from giftlens.operators.ranges import prefix_sums
     key = F.concat_ws("|", *[F.coalesce(F.col(k).cast("string"), F.lit(K.MISSING)) for k in keys], F.lit(str(seed)))
-    out = df.withColumns({"_h": F.md5(key), "_one": F.lit(1).cast("long"),
-                          "_y": F.coalesce(F.col(label).cast("decimal(38,12)"), F.lit(0).cast("decimal(38,12)"))})
-    for c in cats:
-        out = prefix_sums(out, [c], ["_h", *keys], ["_y", "_one"])
-        ts = (F.col("_y_before").cast("double") + prior) / (F.col("_one_before") + 1)
-        out = out.withColumn(f"{c}_ts", ts).drop("_y_before", "_one_before")
-    return out.drop("_h", "_one", "_y")
+    y = F.coalesce(F.col(label).cast("decimal(38,12)"), F.lit(0).cast("decimal(38,12)"))
+    names = [f"_key{i}" for i in range(len(keys))]
+    cell = F.explode(F.array(*[F.struct(F.lit(i).alias("cat"), F.col(c).cast("string").alias("value")) for i, c in enumerate(cats)]))
+    long = (df.select(*[F.col(k).alias(n) for k, n in zip(keys, names)], F.md5(key).alias("_h"), y.alias("_y"), F.lit(1).cast("long").alias("_one"), cell.alias("x"))
+            .select(*names, "_h", "_y", "_one", "x.cat", "x.value"))
+    done = prefix_sums(long, ["cat", "value"], ["_h", *names], ["_y", "_one"])
+    ts = (F.col("_y_before").cast("double") + prior) / (F.col("_one_before") + 1)
+    wide = done.groupBy(*names).agg(*[F.max(F.when(F.col("cat") == i, ts)).alias(f"{c}_ts") for i, c in enumerate(cats)])
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names)])
+    return df.join(wide, same).drop(*names)

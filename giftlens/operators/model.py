@@ -1,14 +1,14 @@
 """Selection-rate model: MLlib pipeline training, persistence and scoring.
 
-The boosted-tree regressor is MLlib's ``GBTRegressor`` (RMSE loss on
-``selection_rate``). High-cardinality categoricals (gift ids, companies) are
+The regressor is boosted symmetric trees with a leaf penalty and early stopping with
+patience (``boosting``); ``engine="mllib"`` takes MLlib's ``GBTRegressor`` in a pipeline with scaling, selection
+and interactions instead. Both fit RMSE on ``selection_rate``. High-cardinality categoricals (gift ids, companies) are
 target-encoded on the training part only, by an aggregate and joins: the table of
 encodings is a DataFrame with one row per (column, value), stored beside the pipeline, and
 no list of values ever reaches the driver. (The ``onehot`` and ``label`` encodings
-index values on the driver and are for columns of few values.) Early
-stopping uses the validation rows through ``validationIndicatorCol`` — MLlib
-stops when the validation error improves by less than ``validationTol``
-(there is no patience counter like 50 rounds).
+index values on the driver and are for columns of few values.) Training rows get ordered
+encodings, in which no row sees its own label; validation and scoring rows get those of all
+training rows. MLlib's own early stopping, through ``validationIndicatorCol``, has no patience counter.
 """
 
 from __future__ import annotations
@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 
 from giftlens import constants as K
 from giftlens.functions.numeric import round_half_even
+from giftlens.operators import boosting
+from giftlens.operators.boosting import BoostedTrees
 
 TARGET = "selection_rate"
 
@@ -118,7 +120,7 @@ class TargetEncodings:
 class RateModel:
     """A fitted pipeline with the encodings that its input needs."""
 
-    pipeline: PipelineModel
+    pipeline: PipelineModel | BoostedTrees
     categorical: list[str]
     encodings: TargetEncodings | None
     pairs: bool = False
@@ -151,10 +153,20 @@ def model_frame(featured: DataFrame) -> tuple[DataFrame, list[str], list[str]]:
     return out, cat, num
 
 
-def train_model(train: DataFrame, validation: DataFrame, **params) -> tuple[RateModel, DataFrame]:
+#: Parameters that only the MLlib pipeline has: naming one selects it.
+MLLIB_ONLY = {"encoding", "scaling", "max_features", "interaction_features", "max_iter", "step_size", "max_depth", "seed", "validation_tol",
+              "validation_col"}
+
+
+def train_model(train: DataFrame, validation: DataFrame, engine: str | None = None, **params) -> tuple[RateModel, DataFrame]:
     """M7: fit on ``train`` with early stopping on ``validation``; returns the
-    model and the validation predictions (clamped to [0, 1])."""
+    model and the validation predictions (clamped to [0, 1]). ``engine`` is ``trees`` (parameters of
+    :func:`boosting.fit`) or ``mllib`` (those of :func:`model_stages`); by default what the parameters belong to."""
     from giftlens.session import cut_lineage
+    if engine is None:
+        engine = "mllib" if MLLIB_ONLY & set(params) else "trees"
+    if engine == "trees":
+        return _train_trees(train, validation, **params)
     t = train.withColumn("is_validation", F.lit(False))
     v = validation.withColumn("is_validation", F.lit(True))
     data, cat, num = model_frame(t.unionByName(v))
@@ -170,6 +182,22 @@ def train_model(train: DataFrame, validation: DataFrame, **params) -> tuple[Rate
     return model, preds
 
 
+def _train_trees(train: DataFrame, validation: DataFrame, **params) -> tuple[RateModel, DataFrame]:
+    from giftlens.operators.features import ordered_target_stats
+    from giftlens.session import cut_lineage
+    both = train.withColumn("is_validation", F.lit(False)).unionByName(validation.withColumn("is_validation", F.lit(True)))
+    data, cat, num = model_frame(both)
+    data = cut_lineage(data.withColumn("_row", F.monotonically_increasing_id()))  # stored: the number stays the row's own
+    fitted, held = data.filter(~F.col("is_validation")), data.filter(F.col("is_validation"))
+    encodings = TargetEncodings.fit(fitted, cat, smoothing=1.0)
+    ordered = ordered_target_stats(fitted, cat, "label", ["_row"], prior=encodings.prior)
+    columns = [f"{c}__te" for c in cat] + num
+    own = ordered.select(*[F.col(f"{c}_ts").alias(f"{c}__te") for c in cat], *num, "label", "is_validation")
+    rows = own.unionByName(encodings.apply(held, cat).select(*own.columns))
+    model = RateModel(boosting.fit(cut_lineage(rows), columns, **params), cat, encodings)
+    return model, predict(model, held.drop("_row"))
+
+
 def predict(model: RateModel, frame: DataFrame) -> DataFrame:
     """M8 core: model rate clamped to [0, 1] (P19) and the expected count."""
     out = model.transform(frame)
@@ -181,10 +209,14 @@ def save_model(model: RateModel, path: str, metrics: dict, features: list[str],
                categorical: list[str], spark: SparkSession) -> None:
     """Pipeline + one-row JSON metadata (type, target, loss, time,
     features, categoricals, metrics)."""
-    model.pipeline.write().overwrite().save(f"{path}/model")
+    trees = isinstance(model.pipeline, BoostedTrees)
+    if trees:
+        model.pipeline.save(f"{path}/model", spark)
+    else:
+        model.pipeline.write().overwrite().save(f"{path}/model")
     if model.encodings is not None:
         model.encodings.table.write.mode("overwrite").parquet(f"{path}/encodings")
-    meta = {"model_type": "GBTRegressor (RMSE)", "target": TARGET, "loss_function": "RMSE",
+    meta = {"model_type": "boosted symmetric trees (RMSE)" if trees else "GBTRegressor (RMSE)", "engine": "trees" if trees else "mllib", "target": TARGET, "loss_function": "RMSE",
             "architecture": "target-encoded categoricals, boosted trees (squared loss) on selection rate",
             "training_timestamp": _dt.datetime.now(_dt.timezone.utc).isoformat(),
             "features_used": features, "categorical_features": categorical,
@@ -198,8 +230,11 @@ def load_model(path: str, spark: SparkSession) -> tuple[RateModel | None, dict]:
     """(model, metadata); (None, {}) when nothing is stored — callers then
     score with the rules (M9)."""
     try:
-        pipeline = PipelineModel.load(f"{path}/model")
         meta = spark.read.json(f"{path}/metadata").first().asDict()
+        if meta.get("engine") == "trees":
+            pipeline = BoostedTrees.load(f"{path}/model", spark)
+        else:
+            pipeline = PipelineModel.load(f"{path}/model")
     except (AnalysisException, Py4JJavaError) as e:
         if not any(x in str(e) for x in ("PATH_NOT_FOUND", "Input path does not exist", "does not exist")):
             raise  # a stored but broken model is an error, not a reason to fall back

@@ -14,6 +14,9 @@ from giftlens.plans.q_training import training
 from giftlens.session import cut_lineage
 from giftlens.sources import fixtures as FX
 
+QUERY_TREES = 5
+
+
 def _fit(spark, sf):
     tf = cut_lineage(training(spark, sf))
     split = SP.company_split(tf)
@@ -21,7 +24,8 @@ def _fit(spark, sf):
     val = SP.apply_split(tf, split, "validation")
     train_f = FE.company_features(train)
     val_f = FE.company_features(val, source=train)
-    model, preds = M.train_model(train_f, val_f)
+    # each tree asks one aggregate per level: the query keeps to a few trees, the trainer's own limit is 1000
+    model, preds = M.train_model(train_f, val_f, iterations=QUERY_TREES)
     return model, preds, train
 
 

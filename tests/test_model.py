@@ -45,6 +45,23 @@ def test_save_load_and_model_scoring(spark, parts, tmp_path):
     assert s.female_rate == 0.0 and s.expected_qty >= 0
 
 
+def test_trees_train_score_and_are_stored(spark, parts, tmp_path):
+    _, train, val = parts
+    model, preds = M.train_model(train, val, iterations=3, depth=3)
+    r = preds.agg(F.min("predicted_rate").alias("lo"), F.max("predicted_rate").alias("hi"), F.count(F.lit(1)).alias("n")).first()
+    assert r.n == val.count() and 0.0 <= r.lo <= r.hi <= 1.0
+    assert len(model.pipeline.validation_rmse) == 4 and model.pipeline.validation_rmse[-1] < model.pipeline.validation_rmse[0]
+    M.save_model(model, str(tmp_path), {"r2": 0.1}, ["a"], ["a"], spark)
+    loaded, meta = M.load_model(str(tmp_path), spark)
+    assert meta["engine"] == "trees" and loaded.pipeline == model.pipeline
+    req = spark.createDataFrame([("r1", "10000001", 3, 0, "1", "pizza oven")],
+                                "request_id string, cvr string, male_count int, female_count int, product_id string, description string")
+    s = M.score_requests(req, loaded, FE.company_stats(train)).first()
+    assert s.female_rate == 0.0 and s.expected_qty >= 0
+    with pytest.raises(TypeError):
+        M.train_model(train, val, engine="mllib", iterations=3)
+
+
 def test_grid_search_over_company_folds(spark, parts):
     tf, _, _ = parts
     out = M.grid_search(tf, SP.cv_folds(tf), [{"max_depth": 2}, {"max_depth": 3}], max_iter=2).collect()

@@ -132,6 +132,6 @@ def test_ordered_statistics_never_see_their_own_label(spark):
         total[c] += y or 0.0
         count[c] += 1
     text = plan_of(ordered_target_stats(df, ["cat"], "y", ["id"]))
-    # rows meet in (range, category); a window by category alone sees one total per range
+    # rows meet in (range, column, category); a window by category alone sees one total per range
     assert "windowspecdefinition(_range" in text
-    assert all(re.match(r"#\d+, _range#\d+ ASC", t) for t in text.split("windowspecdefinition(cat")[1:])
+    assert all(re.match(r"#\d+, value#\d+, _range#\d+ ASC", t) for t in text.split("windowspecdefinition(cat")[1:])

@@ -182,15 +182,21 @@ def train_model(train: DataFrame, validation: DataFrame, engine: str | None = No
     return model, preds
 
 
-def _train_trees(train: DataFrame, validation: DataFrame, **params) -> tuple[RateModel, DataFrame]:
+def _train_trees(train: DataFrame, validation: DataFrame, keep_features: int | None = None, **params) -> tuple[RateModel, DataFrame]:
+    """With ``keep_features``, only that many columns are used, chosen on training rows (G3, ``selection``)."""
     from giftlens.operators.features import ordered_target_stats
+    from giftlens.operators.selection import select_features
     from giftlens.session import cut_lineage
     both = train.withColumn("is_validation", F.lit(False)).unionByName(validation.withColumn("is_validation", F.lit(True)))
     data, cat, num = model_frame(both)
     data = cut_lineage(data.withColumn("_row", F.monotonically_increasing_id()))  # stored: the number stays the row's own
     fitted, held = data.filter(~F.col("is_validation")), data.filter(F.col("is_validation"))
-    encodings = TargetEncodings.fit(fitted, cat, smoothing=1.0)
-    ordered = ordered_target_stats(fitted, cat, "label", ["_row"], prior=encodings.prior)
+    if keep_features:
+        kept = select_features(fitted, cat + num, keep_features)
+        cat, num = [c for c in cat if c in kept], [c for c in num if c in kept]
+    encodings = TargetEncodings.fit(fitted, cat, smoothing=1.0) if cat else TargetEncodings(fitted.sparkSession.createDataFrame(
+        [], "column_name string, value string, encoded double"), 0.0)
+    ordered = ordered_target_stats(fitted, cat, "label", ["_row"], prior=encodings.prior) if cat else fitted
     columns = [f"{c}__te" for c in cat] + num
     own = ordered.select(*[F.col(f"{c}_ts").alias(f"{c}__te") for c in cat], *num, "label", "is_validation")
     rows = own.unionByName(encodings.apply(held, cat).select(*own.columns))

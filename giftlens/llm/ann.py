@@ -121,14 +121,15 @@ def top_of(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, ids: np
 
     With ``leaf`` (of each row) and ``visited`` (queries x leaves) a query sees
     only rows of leaves that it visits. Equal vectors, which share a leaf, count
-    as one during the search; of them only the ``k + 1`` smallest ids can matter.
+    as one during the search; of them only the smallest ids can matter, ``k`` and as many as rows share a query's id.
     """
     order = np.argsort(ids, kind="stable")
     rows, ids = rows[order], ids[order]
+    most = k + max(1, int((np.searchsorted(ids, query_ids, "right") - np.searchsorted(ids, query_ids, "left")).max(initial=0)))
     unique, first, group = np.unique(rows, axis=0, return_index=True, return_inverse=True)
     by = np.argsort(group, kind="stable")
     begin = np.concatenate([[0], np.cumsum(np.bincount(group, minlength=len(unique)))])
-    members = [by[begin[g]:min(begin[g + 1], begin[g] + k + 1)] for g in range(len(unique))]
+    members = [by[begin[g]:min(begin[g + 1], begin[g] + most)] for g in range(len(unique))]
     home = leaf[order][first] if leaf is not None else None
     picked = []
     for lo in range(0, len(queries), 256):
@@ -140,7 +141,7 @@ def top_of(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, ids: np
         s = queries[lo:lo + 256] @ unique[among].T
         if home is not None:
             s[~visited[lo:lo + 256][:, home[among]]] = -np.inf
-        take = min(len(among), k + 1)
+        take = min(len(among), most)
         least = np.partition(s, len(among) - take, 1)[:, len(among) - take]
         floor = np.maximum(least - 1e-9 * (1 + np.abs(least)), -1e300)
         for j, g in zip(*np.nonzero(s >= floor[:, None])):
@@ -237,7 +238,8 @@ def calibrate(index: Index, queries: DataFrame, k: int, target: float, most: int
 def search(index: Index, queries: DataFrame, k: int) -> DataFrame:
     """Each query's ``k`` nearest found: ``query_id``, ``rank`` from 1, ``vec_id``, ``score``; ties to the smaller id.
 
-    ``queries`` has ``vec_id`` and ``vector``; rows with a query's own id are no candidates for it.
+    ``queries`` has ``vec_id`` and ``vector``; rows with a query's own id are no candidates for it. Every query row is a
+    query of its own: an id that two rows have is answered twice, with ``k`` neighbours each.
     """
     spark = index.rows.sparkSession
     # cells of neighbouring leaves with a bounded number of rows; a larger leaf has several cells of its own
@@ -258,7 +260,7 @@ def search(index: Index, queries: DataFrame, k: int) -> DataFrame:
     def walk(stream):
         tree, cells, parts = shared.value
         for batch in stream:
-            ids, vectors = batch.column("vec_id"), batch.column("vector")
+            ids, vectors, own = batch.column("vec_id"), batch.column("vector"), batch.column("row")
             rows = []
             for n, leaves in enumerate(tree.best_bins(_matrix(vectors, dim), visits)):
                 by: dict[int, list[int]] = {}
@@ -269,17 +271,14 @@ def search(index: Index, queries: DataFrame, k: int) -> DataFrame:
             if rows:
                 c, n, leaves = zip(*rows)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, pa.int64()), ids.take(pa.array(n)), vectors.take(pa.array(n)),
-                     pa.array(leaves, pa.list_(pa.int64()))], names=["cell", "query_id", "vector", "leaves"])
+                    [pa.array(c, pa.int64()), own.take(pa.array(n)), ids.take(pa.array(n)), vectors.take(pa.array(n)),
+                     pa.array(leaves, pa.list_(pa.int64()))], names=["cell", "row", "query_id", "vector", "leaves"])
 
-    asked = written(queries.select("vec_id", "vector").mapInArrow(
-        walk, "cell long, query_id long, vector array<double>, leaves array<long>"))
-    counts = {r["cell"]: r["count"] for r in asked.groupBy("cell").count().collect()}  # one row per cell
-    sheets = {c: math.ceil(n / QUERY_ROWS) for c, n in counts.items() if n > QUERY_ROWS}
+    asked = written(queries.select("vec_id", "vector", F.monotonically_increasing_id().alias("row")).mapInArrow(
+        walk, "cell long, row long, query_id long, vector array<double>, leaves array<long>"))
     # rows of a cell that many queries visit are repeated for each sheet of its queries
-    sheet_map = F.create_map(*[F.lit(x) for c, n in sheets.items() for x in (int(c), int(n))]) if sheets else None
-    n_sheets = F.coalesce(sheet_map[F.col("cell")], F.lit(1)) if sheets else F.lit(1)
-    asked = asked.withColumn("sheet", F.pmod(F.xxhash64("query_id"), n_sheets))
+    sheets = asked.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / QUERY_ROWS).alias("sheets"))
+    asked = asked.join(sheets, "cell").withColumn("sheet", F.pmod(F.xxhash64("row"), F.col("sheets"))).drop("sheets")
 
     def place(stream):
         _, cells, parts = shared.value
@@ -290,14 +289,17 @@ def search(index: Index, queries: DataFrame, k: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(cell), *batch.columns], names=["cell", *batch.schema.names])
 
     rows = index.rows.mapInArrow(place, "cell long, vec_id long, leaf long, vector array<double>")
-    rows = rows.withColumn("sheet", F.explode(F.sequence(F.lit(0).cast("long"), n_sheets.cast("long") - 1)))
-    result = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+    # a cell that no query visits has no sheets, and its rows go no further
+    rows = (rows.join(sheets, "cell").withColumn("sheet", F.explode(F.sequence(F.lit(0).cast("long"), F.col("sheets") - 1)))
+            .select("cell", "sheet", "vec_id", "leaf", "vector"))
+    result = pa.schema([("row", pa.int64()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
     def meet(left, right):
         rows = []
         if left.num_rows and right.num_rows:
             q, x = _matrix(left.column("vector"), dim), _matrix(right.column("vector"), dim)
             qid, xid = left.column("query_id").to_numpy(), right.column("vec_id").to_numpy()
+            row = left.column("row").to_numpy()
             names, leaf = np.unique(right.column("leaf").to_numpy(), return_inverse=True)
             wanted = one_array(left.column("leaves"))
             own = np.repeat(np.arange(len(q)), np.diff(wanted.offsets.to_numpy()))
@@ -306,14 +308,14 @@ def search(index: Index, queries: DataFrame, k: int) -> DataFrame:
             visited = np.zeros((len(q), len(names)), bool)
             visited[own[here], np.searchsorted(names, asked_leaf[here])] = True
             near = np.argsort(visited.argmax(1), kind="stable")  # queries that begin alike share a matrix
-            rows = [(int(qid[near[a]]), int(xid[b]), s)
+            rows = [(int(row[near[a]]), int(qid[near[a]]), int(xid[b]), s)
                     for a, b, s in top_of(q[near], qid[near], x, xid, k, leaf, visited[near])]
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), result)] if rows
                                     else [pa.array([], f.type) for f in result], schema=result)
 
     met = (asked.groupBy("cell", "sheet").cogroup(rows.groupBy("cell", "sheet"))
-           .applyInArrow(meet, "query_id long, vec_id long, score double"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+           .applyInArrow(meet, "row long, query_id long, vec_id long, score double"))
+    order = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
     return (met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
             .select("query_id", "rank", "vec_id", "score"))
 

@@ -148,6 +148,19 @@ def test_neighbours_of_few_equal_or_no_rows(spark):
     assert len(ann.nearest(same.where("vec_id < 2"), k=20).collect()) == 2
 
 
+def test_every_query_row_is_answered(spark):
+    rng = random.Random(5)
+    rows = [(k % 40, [rng.gauss(0, 1) for _ in range(8)]) for k in range(120)]  # every id has three rows
+    out = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=10, query_filter="vec_id = 0").collect()
+    assert Counter(r["rank"] for r in out) == {k: 3 for k in range(1, 11)}
+    want = Counter()
+    for i, q in rows:
+        if i == 0:
+            found = sorted((-math.fsum(a * b for a, b in zip(q, v)), j) for j, v in rows if j)[:10]
+            want.update((j, round(-s, 9)) for s, j in found)
+    assert sum((Counter((r.vec_id, round(r.score, 9)) for r in out) & want).values()) >= 27
+
+
 def test_word_perplexities_equal_brute_force(spark, monkeypatch):
     monkeypatch.setattr(B, "block_count", lambda docs, col, block_bytes=0, f=B.block_count: f(docs, col, 300))
     rng = random.Random(7)

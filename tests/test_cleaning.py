@@ -32,3 +32,11 @@ def test_align_schema(spark):
     out = C.align_schema(df, ["shop_id", "gift_id", "company_total_selections"])
     assert out.columns == ["shop_id", "gift_id", "company_total_selections"]
     assert out.first().asDict() == {"shop_id": "a", "gift_id": "NONE", "company_total_selections": 3.0}
+
+
+def test_strip_text_equals_trimming_by_sets_of_characters(spark):
+    texts = ["a", "", " a", "a\n", "a\nb", '"a"', '" a "', "æble", "a ", "\x1ca", "~x!", None, '""', "a b", "a\x7f", "\U0001f600 "]
+    df = spark.createDataFrame([(t,) for t in texts], "v string")
+    full = F.btrim(F.btrim("v", F.lit('"')), F.lit(C.WHITESPACE))
+    found = df.select(C.strip_text(F.col("v")).alias("a"), full.alias("b")).collect()
+    assert [r.a for r in found] == [r.b for r in found]

@@ -87,3 +87,22 @@ def test_invariants(spark):
     assert tf.groupBy("company_cvr", "employee_gender").agg(F.countDistinct("exposure").alias("n")) \
         .filter("n > 1").count() == 0
     assert tf.agg(F.sum("selection_count")).first()[0] == 2
+
+
+def test_groups_take_one_shuffle_and_order_is_three_numbers(spark, tmp_path):
+    from giftlens.sources import fixtures as FX
+    sel, _, _ = frames(spark)
+    plan = TR.selection_groups(sel, non_null=True)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    line = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_extendedprice double"
+    rows = [(1, 7, 3, 2, 10.55), (1, 7, 3, 1, 10.56), (None, 1, 1, 1, 1.0)]
+    found = [r.o for r in spark.createDataFrame(rows, line).select(FX.event_order().alias("o")).collect()]
+    assert [tuple(o) if o else None for o in found] == [(12, 700000003, 1055), (11, 700000003, 1056), None]
+
+
+def test_small_stored_tables_are_broadcast_by_their_size(spark):
+    from giftlens.session import cut_lineage
+    sel, cat, emp = frames(spark)
+    small = cut_lineage(emp.select("company_cvr", "male_count"))
+    assert small._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 10_000
+    assert sorted(map(tuple, small.collect())) == sorted((c, m) for c, _, m, _ in EMP)

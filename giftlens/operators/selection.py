@@ -1,16 +1,19 @@
 """Feature selection by mutual information with the label and little redundancy among the chosen.
 
-Rows are counted once per vector of value buckets; the joint counts of all pairs of columns come from that
-one aggregate, with at most buckets x buckets cells a pair. What reaches the driver is one number per pair.
+Tasks count the value buckets of all pairs of columns; the joint counts are one aggregate of the tasks' cells,
+at most buckets x buckets a pair and task. What reaches the driver is one number per pair.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from giftlens import constants as K
 from giftlens.operators.ranges import quantiles
+from giftlens.session import cut_lineage
 
 BUCKETS = 32
 LABEL = "label"
@@ -22,21 +25,42 @@ def bucket(c: Column, buckets: int = BUCKETS) -> Column:
     return F.pmod(F.conv(F.substring(F.md5(text), 1, 6), 16, 10).cast("int"), F.lit(buckets))
 
 
+def _pair_counts(columns: int, width: int):
+    """A task's rows per (column a, later column b, value of a, value of b), of vectors ``v`` of numbers below ``width``."""
+    pairs = [(a, b) for a in range(columns) for b in range(a + 1, columns)]
+
+    def count(batches):
+        total = np.zeros((len(pairs), width * width), np.int64)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            v = batch.column("v").flatten().to_numpy().reshape(batch.num_rows, columns).T.astype(np.int64)
+            for k, (a, b) in enumerate(pairs):
+                total[k] += np.bincount(v[a] * width + v[b], minlength=width * width)
+        k, cell = np.nonzero(total)
+        a, b = np.array(pairs, np.int32).reshape(-1, 2)[k].T
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array((cell // width).astype(np.int32)), pa.array((cell % width).astype(np.int32)),
+                                          pa.array(total[k, cell])], names=["a", "b", "x", "y", "n"])
+
+    return count
+
+
 def pair_information(frame: DataFrame, columns: list[str], label: str = LABEL, bins: int = 8, buckets: int = BUCKETS) -> DataFrame:
     """(feature, other, mutual_information, n): natural-log mutual information of every unordered pair of columns, by their
     buckets, and of every column with the label (``other`` = ``label``), cut at its exact quantiles.
 
-    Rows without a label are left out. Columns are named in the order given.
+    Rows without a label are left out. Columns are named in the order given. The buckets and the label are stored once;
+    tasks count all pairs of their rows in numpy, so that at most buckets x buckets cells a pair and task are shuffled.
     """
-    rows = frame.where(F.col(label).isNotNull() & ~F.isnan(F.col(label).cast("double")))
+    y = F.col(label).cast("double")
+    rows = cut_lineage(frame.where(F.col(label).isNotNull() & ~F.isnan(y)).select(
+        F.array(*[bucket(F.col(c), buckets).cast("int") for c in columns]).alias("_buckets"), y.alias(label)))
     cuts = sorted({q for q in quantiles(rows, label, [k / bins for k in range(1, bins)]) if q is not None})
     names = [*columns, LABEL]
     of_label = sum([(F.col(label).cast("double") > c).cast("int") for c in cuts], F.lit(0))
-    vectors = (rows.select(*[bucket(F.col(c), buckets).alias(f"_{i}") for i, c in enumerate(columns)], of_label.alias(f"_{len(columns)}"))
-               .groupBy(*[f"_{i}" for i in range(len(names))]).agg(F.count(F.lit(1)).alias("n")))
-    pairs = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"_{a}").alias("x"), F.col(f"_{b}").alias("y"))
-                                for a in range(len(names)) for b in range(a + 1, len(names))]))
-    joint = vectors.select(pairs.alias("p"), "n").groupBy("p.a", "p.b", "p.x", "p.y").agg(F.sum("n").cast("double").alias("n_xy"))
+    counted = (rows.select(F.concat("_buckets", F.array(of_label)).alias("v"))
+               .mapInArrow(_pair_counts(len(names), max(buckets, len(cuts) + 1)), "a int, b int, x int, y int, n long"))
+    joint = counted.groupBy("a", "b", "x", "y").agg(F.sum("n").cast("double").alias("n_xy"))
     by_x = joint.groupBy("a", "b", "x").agg(F.sum("n_xy").alias("n_x"))
     by_y = joint.groupBy("a", "b", "y").agg(F.sum("n_xy").alias("n_y"))
     total = joint.groupBy("a", "b").agg(F.sum("n_xy").alias("n"))

@@ -37,3 +37,9 @@ def test_choice_by_hand():
     assert [c for c, _ in choose(pairs, ["p", "q", "r"], 3)] == ["p", "r", "q"]
     assert choose(pairs, ["p"], 5) == [("p", 0.9)] and choose([], [], 3) == []
     assert [c for c, _ in choose([("p", "label", 0.5), ("q", "label", 0.5)], ["q", "p"], 1)] == ["q"]
+
+
+def test_pairs_are_counted_before_they_are_shuffled(spark):
+    df = spark.createDataFrame([(f"a{i}", f"b{i}", i / 50) for i in range(50)], "a string, b string, label double")
+    plan = pair_information(df, ["a", "b"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan

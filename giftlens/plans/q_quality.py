@@ -12,6 +12,7 @@ from giftlens.plans.q_products import all_replies
 from giftlens.plans.q_scoring import scored
 from giftlens.plans.q_training import training
 from giftlens.plans.registry import register
+from giftlens.session import cut_lineage
 from giftlens.sources import fixtures as FX
 
 
@@ -175,7 +176,7 @@ FIXTURES["fx_fold_metrics"] = " UNION ALL ".join(_fold_sql(k) for k in range(K.C
 
 
 def fold_metrics(spark, sf):
-    tf = training(spark, sf)
+    tf = cut_lineage(training(spark, sf).select("company_cvr", "gift_id", "employee_gender", "selection_rate"))  # for the folds and their metrics
     return Q.cv_fold_metrics(tf, SP.cv_folds(tf))
 
 
@@ -205,5 +206,5 @@ LEFT JOIN fx_tf_folds t ON t.shop_id = s.shop_id AND t.selection_count > 0 AND t
 @register("fold_shop_features", sql=_fold_shop_sql())
 def q_fold_shop_features(spark, sf):
     from giftlens.operators import features as FE
-    tf = training(spark, sf)
+    tf = cut_lineage(training(spark, sf).select("company_cvr", "shop_id", "selection_count", *FE.FOLD_KINDS.values()))  # for the folds and their features
     return FE.fold_shop_features(tf, SP.cv_folds(tf))

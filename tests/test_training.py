@@ -93,7 +93,7 @@ def test_groups_take_one_shuffle_and_order_is_three_numbers(spark, tmp_path):
     from giftlens.sources import fixtures as FX
     sel, _, _ = frames(spark)
     plan = TR.selection_groups(sel, non_null=True)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange hashpartitioning") == 1
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Sort [") == 1
     line = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_extendedprice double"
     rows = [(1, 7, 3, 2, 10.55), (1, 7, 3, 1, 10.56), (None, 1, 1, 1, 1.0)]
     found = [r.o for r in spark.createDataFrame(rows, line).select(FX.event_order().alias("o")).collect()]
@@ -106,3 +106,10 @@ def test_small_stored_tables_are_broadcast_by_their_size(spark):
     small = cut_lineage(emp.select("company_cvr", "male_count"))
     assert small._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 10_000
     assert sorted(map(tuple, small.collect())) == sorted((c, m) for c, _, m, _ in EMP)
+
+
+def test_null_order_gives_way_to_the_same_event_with_an_order(spark):
+    a, b = SEL[0], SEL[0][:6] + ("Other",) + SEL[0][7:]
+    rows = [a[:-1] + (None,), a[:-1] + (5,), b[:-1] + (4,)]
+    g = TR.selection_groups(spark.createDataFrame(rows, SEL_COLS), non_null=True).collect()
+    assert [(r.product_brand, r.first_seq, r.selection_count) for r in g] == [("Other", 4, 3)]

@@ -36,7 +36,7 @@ def safe_rate(count: Column, exposure: Column) -> Column:
 
 
 def selection_groups(selections: DataFrame, order_col: str = ORDER,
-                     non_null: bool = False) -> DataFrame:
+                     non_null: bool = False, products: bool = True) -> DataFrame:
     """A1: events per (shop, company, gift, gender) with the first non-null value
     of each product column in event order. Also carries ``first_seq`` and
     ``first_row`` (the group's first event, whole row) so gift features can be
@@ -44,21 +44,33 @@ def selection_groups(selections: DataFrame, order_col: str = ORDER,
 
     ``non_null=True`` (product columns known to hold no nulls, e.g. after
     cleaning) takes every column from the first row: one aggregate instead of
-    one per column."""
+    one per column. So does a schema without nullable product columns, where an
+    event without order value still counts as no first value. ``products=False``:
+    keys and counts alone, for frames whose product columns nobody reads."""
+    if not products:
+        return selections.groupBy(*SORT_KEYS).agg(F.count(F.lit(1)).alias("selection_count")).select(*K.GROUP_KEYS, "selection_count")
     prods = [_product_or_missing(selections, c).alias(c) for c in K.PRODUCT_COLUMNS]
-    df = selections.select(*K.GROUP_KEYS, *prods, F.col(order_col).alias("_seq"))
+    plain = selections.select(*K.GROUP_KEYS, *prods, F.col(order_col).alias("_seq"))
+    # the other keys and the product columns travel as one value each: the shuffle, the sort and the aggregates copy
+    # two values a row instead of eleven
+    df = plain.select("gift_id", F.struct(*SORT_KEYS[1:]).alias("_keys"), F.struct(*K.PRODUCT_COLUMNS).alias("row"), "_seq")
+    df = df.repartition("gift_id", "_keys")  # every aggregate below uses this shuffle and its own one sort
     if non_null:
-        # the same events as (keys, product columns) first, with the first order value that is not null; both
-        # aggregates use one shuffle by the keys and one sort
-        df = df.repartition(*SORT_KEYS).groupBy(*SORT_KEYS, *K.PRODUCT_COLUMNS).agg(F.count(F.lit(1)).alias("_n"), F.min("_seq").alias("_seq"))
-    first = F.min(F.struct(F.col("_seq"), F.struct(*K.PRODUCT_COLUMNS).alias("row"))).alias("_first")
-    aggs = [(F.sum("_n") if non_null else F.count(F.lit(1))).alias("selection_count"), first]
-    if not non_null:
-        aggs += [F.min_by(F.col(c), F.when(F.col(c).isNotNull(), F.col("_seq"))).alias("_nn_" + c)
+        # the same events as (keys, product columns) first, with the first order value that is not null
+        df = df.groupBy("gift_id", "_keys", "row").agg(F.count(F.lit(1)).alias("_n"), F.min("_seq").alias("_seq"))
+    aggs = [(F.sum("_n") if non_null else F.count(F.lit(1))).alias("selection_count"),
+            F.min(F.struct("_seq", "row")).alias("_first")]
+    source = "_first.row."
+    if not non_null and any(plain.schema[c].nullable for c in K.PRODUCT_COLUMNS):
+        source = "_nn_"
+        aggs += [F.min_by(F.col("row." + c), F.when(F.col("row." + c).isNotNull(), F.col("_seq"))).alias("_nn_" + c)
                  for c in K.PRODUCT_COLUMNS]
-    g = df.groupBy(*SORT_KEYS).agg(*aggs)
-    cols = [F.col(("_first.row." if non_null else "_nn_") + c).alias(c) for c in K.PRODUCT_COLUMNS]
-    return g.select(*K.GROUP_KEYS, "selection_count", *cols,
+    elif not non_null:
+        source = "_row."
+        aggs.append(F.min_by("row", "_seq").alias("_row"))
+    g = df.groupBy("gift_id", "_keys").agg(*aggs)
+    keys = [F.col(c if c == "gift_id" else "_keys." + c).alias(c) for c in K.GROUP_KEYS]
+    return g.select(*keys, "selection_count", *[F.col(source + c).alias(c) for c in K.PRODUCT_COLUMNS],
                     F.col("_first._seq").alias("first_seq"), F.col("_first.row").alias("first_row"))
 
 
@@ -88,7 +100,7 @@ def training_selected(groups: DataFrame, employees: DataFrame,
                     F.col("selection_count").cast("long").alias("selection_count"),
                     exposure.cast("double").alias("exposure"),
                     safe_rate(F.col("selection_count"), exposure).cast("double").alias("selection_rate"),
-                    *K.PRODUCT_COLUMNS))
+                    *[c for c in K.PRODUCT_COLUMNS if c in groups.columns]))
 
 
 def selection_rejects(groups: DataFrame, employees: DataFrame) -> DataFrame:
@@ -104,10 +116,11 @@ def selection_rejects(groups: DataFrame, employees: DataFrame) -> DataFrame:
 def gift_first_features(groups: DataFrame) -> DataFrame:
     """Product columns of the first event of each gift (whole row; without
     ``first_row`` the groups' own product columns are that row)."""
-    row = F.col("first_row") if "first_row" in groups.columns else F.struct(*K.PRODUCT_COLUMNS)
+    cols = K.PRODUCT_COLUMNS if "first_row" in groups.columns else [c for c in K.PRODUCT_COLUMNS if c in groups.columns]
+    row = F.col("first_row") if "first_row" in groups.columns else F.struct(*cols)
     return (groups.groupBy("gift_id")
             .agg(F.min_by(row, F.col("first_seq")).alias("_r"))
-            .select("gift_id", *[F.col("_r." + c).alias(c) for c in K.PRODUCT_COLUMNS]))
+            .select("gift_id", *[F.col("_r." + c).alias(c) for c in cols]))
 
 
 def company_shop_links(selections: DataFrame) -> DataFrame:
@@ -135,39 +148,41 @@ def _universe_of(pairs: DataFrame, catalog: DataFrame) -> DataFrame:
     return u.select(*K.GROUP_KEYS, exposure.cast("double").alias("exposure"))
 
 
-def zero_selection_rows(universe: DataFrame, groups: DataFrame, gift_features: DataFrame) -> DataFrame:
+def zero_selection_rows(universe: DataFrame, groups: DataFrame, gift_features: DataFrame | None) -> DataFrame:
     """J4 + J5: universe rows without a selection, with first-seen gift features
-    (``NONE`` for gifts never selected)."""
+    (``NONE`` for gifts never selected; ``gift_features=None``: no product columns)."""
     zeros = universe.join(groups.select(*SORT_KEYS), SORT_KEYS, "left_anti")
-    z = zeros.join(gift_features, "gift_id", "left")
+    z = zeros if gift_features is None else zeros.join(gift_features, "gift_id", "left")
     return z.select(*K.GROUP_KEYS,
                     F.lit(0).cast("long").alias("selection_count"),
                     F.col("exposure"),
                     F.lit(0.0).alias("selection_rate"),
-                    *[F.coalesce(F.col(c), F.lit(K.MISSING)).alias(c) for c in K.PRODUCT_COLUMNS])
+                    *[F.coalesce(F.col(c), F.lit(K.MISSING)).alias(c) for c in K.PRODUCT_COLUMNS if c in z.columns])
 
 
 def training_frame(selections: DataFrame, catalog: DataFrame, employees: DataFrame,
                    links: DataFrame | None = None, order_col: str = ORDER,
                    employees_order: str | None = None, clean: bool = True,
-                   materialize: bool = True) -> DataFrame:
+                   materialize: bool = True, products: list[str] | None = None) -> DataFrame:
     """M1: the exposure-corrected training frame (selected rows ∪ zero rows).
 
     ``links`` lists the (company_cvr, shop_id) pairs whose catalogs form each
     company's zero-selection universe; by default the shops the company selected
     in. Pass every (company, shop) pair to pair each company with all catalogs.
+    ``products`` names the product columns that are read later (all by default): the
+    rows are the same, the others are neither carried nor stored.
 
     See :func:`training_parts` for the two halves.
     """
     _, selected, zeros = training_parts(selections, catalog, employees, links, order_col, employees_order, clean,
-                                        materialize)
+                                        materialize, products)
     return selected.unionByName(zeros)
 
 
 def training_parts(selections: DataFrame, catalog: DataFrame, employees: DataFrame,
                    links: DataFrame | None = None, order_col: str = ORDER,
                    employees_order: str | None = None, clean: bool = True,
-                   materialize: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+                   materialize: bool = True, products: list[str] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(companies of the frame, selected rows, zero rows) of :func:`training_frame`.
 
     The events are read once: their groups feed the selected rows, the
@@ -181,12 +196,13 @@ def training_parts(selections: DataFrame, catalog: DataFrame, employees: DataFra
         selections = clean_selections(selections)
         catalog = clean_catalog(catalog)
         employees = clean_employees(employees)
-    groups = selection_groups(selections, order_col, non_null=clean)
-    if clean:
-        groups = groups.drop("first_row")  # the product columns are the first event's own
+    wanted = K.PRODUCT_COLUMNS if products is None else [c for c in K.PRODUCT_COLUMNS if c in products]
+    groups = selection_groups(selections, order_col, non_null=clean, products=bool(wanted))
+    if clean and wanted:  # the product columns are the first event's own
+        groups = groups.select(*K.GROUP_KEYS, "selection_count", *wanted, "first_seq")
     if materialize:
         from giftlens.session import cut_lineage
-        groups, employees = cut_lineage(groups), cut_lineage(employees)
+        groups, employees, catalog = cut_lineage(groups), cut_lineage(employees), cut_lineage(catalog)
     selected = training_selected(groups, employees, employees_order)
     links = company_shop_links(groups) if links is None else links
     pairs = _exposed_pairs(employees, links)
@@ -197,5 +213,8 @@ def training_parts(selections: DataFrame, catalog: DataFrame, employees: DataFra
     exposed = (links.join(catalog.select("shop_id").distinct(), "shop_id", "left_semi")
                .join(employees.select("company_cvr"), "company_cvr", "left_semi").select("company_cvr"))
     companies = selected.select("company_cvr").unionByName(exposed).distinct()
-    zeros = zero_selection_rows(universe, groups, gift_first_features(groups))
+    zeros = zero_selection_rows(universe, groups, gift_first_features(groups) if wanted else None)
+    if wanted != K.PRODUCT_COLUMNS:
+        kept = [*K.GROUP_KEYS, "selection_count", "exposure", "selection_rate", *wanted]
+        selected, zeros = selected.select(*kept), zeros.select(*kept)
     return companies, selected, zeros

@@ -54,11 +54,11 @@ def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey")
     sup = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
+    # numbers are told apart before they become texts
     return (li.join(sup, li.l_suppkey == sup.s_suppkey)
             .join(nation, F.col("s_nationkey") == nation.n_nationkey)
-            .select(_shop(F.col("n_regionkey")).alias("shop_id"),
-                    F.col("l_partkey").cast("string").alias("gift_id"))
-            .distinct())
+            .select("n_regionkey", "l_partkey").distinct()
+            .select(_shop(F.col("n_regionkey")).alias("shop_id"), F.col("l_partkey").cast("string").alias("gift_id")))
 
 
 def event_order(prefix: str = "l_") -> Column:

@@ -113,3 +113,28 @@ def test_null_order_gives_way_to_the_same_event_with_an_order(spark):
     rows = [a[:-1] + (None,), a[:-1] + (5,), b[:-1] + (4,)]
     g = TR.selection_groups(spark.createDataFrame(rows, SEL_COLS), non_null=True).collect()
     assert [(r.product_brand, r.first_seq, r.selection_count) for r in g] == [("Other", 4, 3)]
+
+
+def test_cleaned_groups_take_the_whole_first_row_in_one_aggregate(spark):
+    from giftlens.functions.cleaning import clean_selections
+    a, b = SEL[0], SEL[0][:6] + ("Other",) + SEL[0][7:]
+    sel, _, _ = frames(spark, sel=[a[:-1] + (None,), b[:-1] + (4,), a[:-1] + (6,), SEL[1][:-1] + (None,)])
+    g = TR.selection_groups(clean_selections(sel))
+    plan = g.select("gift_id", "product_brand", "product_color")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("min_by(") == 1
+    # an event without an order value is nobody's first value, but its whole row comes first
+    found = {r.gift_id: (r.product_brand, r.product_color, r.selection_count, r.first_row.product_brand) for r in g.collect()}
+    assert found == {"gift789": ("Other", "NONE", 3, "Fiskars"), "gift234": (None, None, 1, "Markberg")}
+
+
+def test_frame_carries_only_the_product_columns_asked_for(spark):
+    sel, cat, emp = frames(spark)
+    whole = TR.training_frame(sel, cat, emp, links=all_links(spark))
+    keys = whole.columns[:7]
+    for asked in ([], ["product_brand", "product_color"]):
+        some = TR.training_frame(sel, cat, emp, links=all_links(spark), products=asked)
+        assert some.columns == keys + asked
+        assert sorted(map(tuple, some.collect())) == sorted(map(tuple, whole.select(some.columns).collect()))
+    groups = TR.selection_groups(sel, products=False)
+    assert groups.columns == keys[:4] + ["selection_count"]
+    assert "product_" not in groups._jdf.queryExecution().optimizedPlan().toString().split("LogicalRDD")[0]

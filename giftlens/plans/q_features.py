@@ -82,7 +82,7 @@ def q_company_category_counts(spark, sf):
 
 @register("company_split", sql="SELECT * FROM fx_split")
 def q_company_split(spark, sf):
-    return SP.company_split(TR.training_parts(FX.selections(spark, sf), FX.catalog(spark, sf), FX.employees(spark, sf))[0])
+    return SP.company_split(TR.training_parts(FX.selections(spark, sf), FX.catalog(spark, sf), FX.employees(spark, sf), products=[])[0])
 
 
 @register("company_features", sql="SELECT * FROM fx_featured", rounded=["exposure", "selection_rate"])
@@ -96,7 +96,7 @@ SELECT CAST(SUM(CASE WHEN split = 'train' THEN 1 ELSE 0 END) AS BIGINT) AS train
        CAST(0 AS BIGINT) AS overlap_companies
 FROM fx_split""")
 def q_split_overlap(spark, sf):
-    tf = cut_lineage(training(spark, sf).select("company_cvr"))  # read three times below
+    tf = cut_lineage(training(spark, sf, []).select("company_cvr"))  # read three times below
     split = SP.company_split(tf)
     return SP.split_overlap(SP.apply_split(tf, split, "train"), SP.apply_split(tf, split, "validation"))
 
@@ -108,7 +108,7 @@ FROM (SELECT company_cvr, row_number() OVER (ORDER BY md5(company_cvr || ':42'),
              count(*) OVER () AS n
       FROM (SELECT DISTINCT company_cvr FROM fx_training) c) r""")
 def q_cv_folds(spark, sf):
-    return SP.cv_folds(training(spark, sf))
+    return SP.cv_folds(training(spark, sf, []))
 
 
 @register("shop_split", sql="""
@@ -117,7 +117,7 @@ SELECT CAST(rep AS INTEGER) AS "repeat", shop_id,
                  < ceil(0.2 * count(*) OVER (PARTITION BY rep)) THEN 'test' ELSE 'train' END AS split
 FROM (SELECT DISTINCT shop_id FROM fx_training) s, range(5) r(rep)""")
 def q_shop_split(spark, sf):
-    return SP.shop_split(training(spark, sf))
+    return SP.shop_split(training(spark, sf, []))
 
 
 @register("rate_summary", sql="""
@@ -133,7 +133,7 @@ FROM (SELECT CAST(COUNT(*) AS BIGINT) AS n,
              CAST(SUM(CAST(exposure AS DECIMAL(38,6))) AS DOUBLE) AS total_exposure
       FROM fx_training) a""", rounded=["rate_mean", "rate_std", "rate_min", "rate_max", "total_exposure", "overall_rate"])
 def q_rate_summary(spark, sf):
-    return FE.rate_summary(training(spark, sf))
+    return FE.rate_summary(training(spark, sf, []))
 
 
 _FM_CAT = [c for c in K.FEATURE_COLUMNS if c in K.CATEGORICAL_FEATURES]
@@ -153,7 +153,7 @@ def q_feature_matrix(spark, sf):
 SELECT shop_id, company_cvr, gift_id, employee_gender, exposure, ln(exposure + 1e-8) AS log_exposure
 FROM fx_training""", rounded=["exposure", "log_exposure"])
 def q_log_exposure(spark, sf):
-    return FE.log_exposure(training(spark, sf).select(*K.GROUP_KEYS, "exposure"))
+    return FE.log_exposure(training(spark, sf, []).select(*K.GROUP_KEYS, "exposure"))
 
 
 @register("temporal_features", sql="""
@@ -218,7 +218,7 @@ SELECT CAST(COUNT(*) AS BIGINT) AS training_records, CAST(COUNT(DISTINCT company
        CAST(COUNT(DISTINCT shop_id) AS BIGINT) AS shops, CAST(COUNT(DISTINCT gift_id) AS BIGINT) AS gifts
 FROM fx_training""")
 def q_training_report(spark, sf):
-    tf = training(spark, sf)
+    tf = training(spark, sf, [])
     return tf.agg(F.count(F.lit(1)).alias("training_records"),
                   F.countDistinct("company_cvr").cast("long").alias("training_companies"),
                   F.countDistinct("shop_id").cast("long").alias("shops"),
@@ -250,7 +250,7 @@ FROM (SELECT e.company_cvr, min(e.branch_code) AS branch_code
       FROM fx_emp_clean e WHERE e.company_cvr IN (SELECT company_cvr FROM fx_training) GROUP BY e.company_cvr) c""")
 def q_stratified_split(spark, sf):
     from giftlens.functions.cleaning import clean_employees
-    tf = training(spark, sf).select("company_cvr").distinct()
+    tf = training(spark, sf, []).select("company_cvr").distinct()
     emp = clean_employees(FX.employees(spark, sf)).select("company_cvr", "branch_code")
     return SP.stratified_split(emp.join(tf, "company_cvr", "left_semi"), "branch_code")
 
@@ -272,5 +272,5 @@ FROM (SELECT *, md5(concat_ws('|', {', '.join(f"coalesce({k}, 'NONE')" for k in
 
 @register("ordered_target_stats", sql=_ts_sql(), rounded=[f"{c}_ts" for c in _TS_CATS])
 def q_ordered_target_stats(spark, sf):
-    tf = training(spark, sf).select(*dict.fromkeys([*_TS_KEYS, *_TS_CATS]), "selection_rate")
+    tf = training(spark, sf, _TS_CATS).select(*dict.fromkeys([*_TS_KEYS, *_TS_CATS]), "selection_rate")
     return FE.ordered_target_stats(tf, _TS_CATS, "selection_rate", _TS_KEYS).select(*_TS_KEYS, *[f"{c}_ts" for c in _TS_CATS])

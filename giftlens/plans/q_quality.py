@@ -44,7 +44,7 @@ SELECT CAST(COUNT(*) AS BIGINT) AS n_rows, CAST(COUNT(*) FILTER (WHERE selection
        CAST(SUM(selection_count) AS BIGINT) AS total_selections
 FROM fx_training""", rounded=["zero_share_pct"])
 def q_quality_report(spark, sf):
-    return Q.quality_report(training(spark, sf))
+    return Q.quality_report(training(spark, sf, []))
 
 
 @register("exposure_consistency", sql="""
@@ -53,7 +53,7 @@ FROM fx_training_twice GROUP BY company_cvr, employee_gender HAVING COUNT(DISTIN
 def q_exposure_consistency(spark, sf):
     from giftlens.operators import training as TR
     twice = FX.employees_twice(spark, sf)  # companies with two rows: every row's exposure is in the universe
-    return Q.exposure_consistency(TR.training_frame(FX.selections(spark, sf), FX.catalog(spark, sf), twice, employees_order="line"))
+    return Q.exposure_consistency(TR.training_frame(FX.selections(spark, sf), FX.catalog(spark, sf), twice, employees_order="line", products=[]))
 
 
 @register("exposure_mismatch", sql="""
@@ -68,7 +68,7 @@ FULL JOIN fx_emp_clean s ON t.company_cvr = s.company_cvr""",
           rounded=["train_male", "source_male", "train_female", "source_female", "abs_difference"])
 def q_exposure_mismatch(spark, sf):
     from giftlens.functions.cleaning import clean_employees
-    return Q.exposure_mismatch(training(spark, sf), clean_employees(FX.employees(spark, sf)))
+    return Q.exposure_mismatch(training(spark, sf, []), clean_employees(FX.employees(spark, sf)))
 
 
 @register("key_violations", sql="""
@@ -176,7 +176,7 @@ FIXTURES["fx_fold_metrics"] = " UNION ALL ".join(_fold_sql(k) for k in range(K.C
 
 
 def fold_metrics(spark, sf):
-    tf = cut_lineage(training(spark, sf).select("company_cvr", "gift_id", "employee_gender", "selection_rate"))  # for the folds and their metrics
+    tf = cut_lineage(training(spark, sf, []).select("company_cvr", "gift_id", "employee_gender", "selection_rate"))  # for the folds and their metrics
     return Q.cv_fold_metrics(tf, SP.cv_folds(tf))
 
 
@@ -206,5 +206,5 @@ LEFT JOIN fx_tf_folds t ON t.shop_id = s.shop_id AND t.selection_count > 0 AND t
 @register("fold_shop_features", sql=_fold_shop_sql())
 def q_fold_shop_features(spark, sf):
     from giftlens.operators import features as FE
-    tf = cut_lineage(training(spark, sf).select("company_cvr", "shop_id", "selection_count", *FE.FOLD_KINDS.values()))  # for the folds and their features
+    tf = cut_lineage(training(spark, sf, list(FE.FOLD_KINDS.values())).select("company_cvr", "shop_id", "selection_count", *FE.FOLD_KINDS.values()))  # for the folds and their features
     return FE.fold_shop_features(tf, SP.cv_folds(tf))

@@ -30,3 +30,12 @@ def test_rows_that_share_keys_get_the_largest(spark):
     df = spark.createDataFrame([("k", "a", 1.0), ("k", "a", 1.0), ("j", "b", 0.5)], "k string, a string, y double")
     found = sorted((r.k, r.a_ts) for r in ordered_target_stats(df, ["a"], "y", ["k"], prior=0.0).collect())
     assert found == [("j", 0.0), ("k", 0.5), ("k", 0.5)]
+
+
+def test_rows_that_are_stored_are_not_stored_again(spark, monkeypatch):
+    from giftlens import session
+    rows = spark.createDataFrame([(i, f"c{i % 3}", float(i % 2)) for i in range(40)], "k long, cat string, label double")
+    stored = session.cut_lineage(rows)
+    want = sorted(map(tuple, ordered_target_stats(rows, ["cat"], "label", ["k"], range_rows=10).collect()))
+    monkeypatch.setattr(session, "cut_lineage", lambda *a: (_ for _ in ()).throw(AssertionError("stored again")))
+    assert sorted(map(tuple, ordered_target_stats(stored, ["cat"], "label", ["k"], range_rows=10, stored=True).collect())) == want

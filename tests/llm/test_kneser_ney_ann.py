@@ -206,6 +206,26 @@ def test_word_perplexities_equal_brute_force(spark, monkeypatch):
             r.perplexity is None or abs(r.perplexity / want[r.doc_id] - 1) < 1e-4), (r, want[r.doc_id])
 
 
+def shuffled_bytes(spark):
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    files = [files.apply(k) for k in range(files.size())]
+    return sum(f.length() for f in files if f.getName().startswith("shuffle_"))
+
+
+def test_word_rounds_give_the_same_and_free_what_they_exchange(spark, monkeypatch):
+    monkeypatch.setattr(B, "block_count", lambda docs, col, block_bytes=0, f=B.block_count: f(docs, col, 1 << 17))
+    rng = random.Random(11)
+    rows = [(k, " ".join("w%d" % int(rng.paretovariate(0.3) % 10**6) for _ in range(400)), rng.choice(["en", "de", None]))
+            for k in range(200)] + [(1000, "x" * 1000 + " y " + "x" * 1001, "en"), (1001, "x" * 1000 + " y", "en")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    trusted = spark.createDataFrame([(k,) for k in range(120)] + [(1000,)], "doc_id long")
+    one = {r.doc_id: r.perplexity for r in word_perplexities(df, trusted, rounds=1).collect()}
+    before = shuffled_bytes(spark)
+    many = {r.doc_id: r.perplexity for r in word_perplexities(df, trusted, rounds=3).collect()}
+    assert shuffled_bytes(spark) - before < sum(len(t) for _, t, _ in rows) / 2
+    assert one.keys() == many.keys() and all(abs(one[k] / many[k] - 1) < 1e-9 for k in one)
+
+
 def test_word_order_counts_in_the_query(spark, tmp_path):
     rng = random.Random(3)
     # words that begin and end alike: five bytes never see which word follows which

@@ -112,3 +112,19 @@ def test_feature_scores_equal_formulas(spark):
         chi2 = sum((xy[a, b] - x[a] * y[b] / n) ** 2 / (x[a] * y[b] / n) for a in x for b in y)
         mi = sum(c / n * math.log(c * n / (x[a] * y[b])) for (a, b), c in xy.items())
         assert got[name].chi2 == pytest.approx(chi2) and got[name].mutual_information == pytest.approx(mi) and got[name].n == n
+
+
+def test_queries_train_until_patience_or_the_trainers_own_limit(spark, monkeypatch):
+    import random
+
+    from giftlens import constants as K
+    from giftlens.plans import q_model as QM
+    rng = random.Random(1)
+    rows = [(f"shop{c % 2}", str(10000001 + c), f"g{g}", gender, int(rng.random() < 0.4), 10.0, rng.random() * (g % 5) / 5,
+             *[f"{column[-3:]}{g % 3}" for column in K.PRODUCT_COLUMNS]) for c in range(10) for g in range(12) for gender in K.GENDERS]
+    frame = spark.createDataFrame(rows, [*K.GROUP_KEYS, "selection_count", "exposure", "selection_rate", *K.PRODUCT_COLUMNS])
+    monkeypatch.setattr(QM, "training", lambda spark, sf: frame)
+    model, preds, _ = QM._fit(spark, "none")
+    tried, kept = len(model.pipeline.validation_rmse) - 1, len(model.pipeline.trees)
+    assert tried == K.GBT_ITERATIONS or tried - kept == K.GBT_EARLY_STOP_ROUNDS
+    assert tried > 5 and preds.count() == 48

@@ -39,3 +39,17 @@ def test_rows_that_are_stored_are_not_stored_again(spark, monkeypatch):
     want = sorted(map(tuple, ordered_target_stats(rows, ["cat"], "label", ["k"], range_rows=10).collect()))
     monkeypatch.setattr(session, "cut_lineage", lambda *a: (_ for _ in ()).throw(AssertionError("stored again")))
     assert sorted(map(tuple, ordered_target_stats(stored, ["cat"], "label", ["k"], range_rows=10, stored=True).collect())) == want
+
+
+def test_sums_are_the_nearest_doubles_of_exact_sums(spark):
+    import random
+    from decimal import Decimal
+    rng = random.Random(3)
+    rows = [(f"k{i}", rng.choice(["a", "b"]), rng.choice([1, -1, 9000]) * rng.random()) for i in range(300)]
+    found = ordered_target_stats(spark.createDataFrame(rows, "k string, a string, y double"), ["a"], "y", ["k"], prior=0.25, range_rows=40)
+    sums, want = defaultdict(lambda: [Decimal(0), 0]), {}
+    for k, a, y in sorted(rows, key=lambda r: hashlib.md5(f"{r[0]}|42".encode()).hexdigest()):
+        want[k] = (float(sums[a][0]) + 0.25) / (sums[a][1] + 1)
+        sums[a][0] += Decimal(repr(y)).quantize(Decimal("1e-12"), "ROUND_HALF_UP")
+        sums[a][1] += 1
+    assert {r.k: r.a_ts for r in found.collect()} == want
